@@ -63,3 +63,17 @@ def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone: 48 bits of their MD5."""
     digest = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts]).cast("binary"))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a number from 0 in ``order``, whose values must be distinct enough to deal into ranges.
+
+    Ranges are numbered where they lie; only their row counts, one for each partition, meet in one place.
+    """
+    from pyspark.sql import Window
+
+    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_own") - 1).drop("_part", "_own", "_base")  # a row for each shuffle partition

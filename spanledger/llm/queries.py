@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import quality_rules
+from spanledger.llm import licences, mixing, quality_rules, sharding
 from spanledger.llm.common import table
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reports(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.reports(table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.reports(table(spark, sf_dir, "documents"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.reports(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {f.__name__: f for f in (op4_mixing, op7_quality_rules, op8_sharding, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.SQL}
