@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import licences, mixing, quality_rules, sharding
+from spanledger.llm import licences, mixing, quality_rules, sharding, simhash, suffix_dedup
 from spanledger.llm.common import table
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.reports(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reports(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.reports(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.reports(table(spark, sf_dir, "documents"))
 
@@ -25,7 +33,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mixing, op7_quality_rules, op8_sharding, op9_licences)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_mixing, op5_simhash, op7_quality_rules, op8_sharding, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
