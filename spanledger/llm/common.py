@@ -51,7 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Maximal runs of anything but ASCII white space; null text has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
+    return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " "), " "), "")
 
 
 def let(value: Column, body) -> Column:

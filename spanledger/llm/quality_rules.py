@@ -7,6 +7,7 @@ come from one grouped sum over all documents, a row for each language.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,26 +36,35 @@ MAX_WORD_DISTANCE = 0.60
 MAX_LANGUAGES = 64
 N_CLASSES = 7
 N_COMMON = 13
+#: Repeated windows up to which positions are looked up among them; beyond, windows are sorted with their positions.
+FEW = 24
 
 
-def _removed(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _count(text: Column, chars: str) -> Column:
+    return F.regexp_count(text, F.lit("[" + re.escape(chars) + "]")).cast("long")
 
 
 def _repeated(w: Column) -> Column:
     """Words in three-word windows that the text holds twice or more, the first included."""
 
-    def covered(hashes: Column) -> Column:
+    def width(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+
+    def by_sort(hashes: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def same(s: Column) -> Column:
             twice = F.filter(s, lambda x, j: F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)))
             return let(F.sort_array(F.transform(twice, lambda x: x["i"])), width)
 
-        def width(p: Column) -> Column:
-            return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+        return let(pairs, same)
+
+    def covered(hashes: Column) -> Column:
+        def among(v: Column) -> Column:
+            few = let(F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(v, F.get(hashes, i))), width)
+            return F.when(F.size(v) == 0, F.lit(0)).when(F.size(v) <= FEW, few).otherwise(by_sort(hashes))
 
-        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(pairs, same)).otherwise(F.lit(0))
+        return let(let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda x, j: x == F.get(s, j + 1)))), among)
 
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(F.size(w) >= 3, let(windows, covered)).otherwise(F.lit(0)).cast("long")
@@ -63,11 +73,10 @@ def _repeated(w: Column) -> Column:
 def _common(w: Column, lang: Column) -> Column:
     """How often each common word of the language occurs, and last how many other words there are."""
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    longest = max(len(x) for v in COMMON_WORDS.values() for x in v)
 
     def by_list(own: Column) -> Column:
-        short = F.transform(F.filter(w, lambda x: F.length(x) <= longest), lambda x: F.lower(x))
-        return let(F.filter(short, lambda x: F.array_contains(own, x)), lambda c: F.concat(F.transform(own, lambda s: F.size(F.filter(c, lambda x: x == s)).cast("long")), F.array((F.size(w) - F.size(c)).cast("long"))))
+        each = F.array(*[(F.size(w) - F.size(F.array_remove(w, F.get(own, F.lit(i))))).cast("long") for i in range(N_COMMON - 1)])
+        return let(each, lambda c: F.concat(c, F.array(F.size(w) - F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b))))
 
     own = F.try_element_at(lists, F.coalesce(lang, F.lit("")))
     return F.when(own.isNotNull(), let(own, by_list))
@@ -75,7 +84,7 @@ def _common(w: Column, lang: Column) -> Column:
 
 def character_classes(text: Column, word_chars: Column, symbols: Column) -> Column:
     """Counts of upper case, digits, stops, symbols, white space, bytes beyond ASCII's one a character, and the rest."""
-    own = F.array(_removed(text, UPPER), _removed(text, DIGITS), _removed(text, STOPS), symbols, F.length(text) - word_chars, F.octet_length(text).cast("long") - F.length(text))
+    own = F.array(_count(text, UPPER), _count(text, DIGITS), _count(text, STOPS), symbols, F.length(text) - word_chars, F.octet_length(text).cast("long") - F.length(text))
     return let(own, lambda c: F.concat(c, F.array(F.greatest(F.lit(0), F.length(text) - F.get(c, F.lit(0)) - F.get(c, F.lit(1)) - F.get(c, F.lit(2)) - F.get(c, F.lit(3)) - F.get(c, F.lit(4)) - F.get(c, F.lit(5))).cast("long"))))
 
 
@@ -84,12 +93,12 @@ def measured(docs: DataFrame, name: str = "_q") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def figures(w: Column) -> Column:
-        chars = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        chars = F.length(F.array_join(w, "")).cast("long")
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
-            F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), _removed(text, SYMBOLS).alias("n_symbols"),
+            F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), _count(text, SYMBOLS).alias("n_symbols"),
             let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), _repeated(w).alias("n_repeat_words"),
-            let(chars, lambda n: character_classes(text, n, _removed(text, SYMBOLS))).alias("classes"), _common(w, F.col("lang")).alias("common"))
+            let(chars, lambda n: character_classes(text, n, _count(text, SYMBOLS))).alias("classes"), _common(w, F.col("lang")).alias("common"))
 
     return docs.withColumn(name, let(words(F.col("text")), figures))
 
