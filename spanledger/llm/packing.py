@@ -21,9 +21,9 @@ from spanledger.llm.common import stored
 
 LENGTH = 2048
 #: Tokens by which lengths are rounded up to classes.
-GRAIN = 4
+GRAIN = 16
 #: Part of the number of sequences by which the program may miss its lower bound, and rounds at most.
-GAP = 1e-4
+GAP = 1e-3
 ROUNDS = 4000
 END = 1
 #: Words whose ids a worker remembers.
@@ -113,8 +113,8 @@ def knapsack(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
 def patterns(demand: np.ndarray, gap: float = GAP) -> list[tuple[int, np.ndarray]]:
     """How often to use which pattern so that demand (by class: weight 1 to the room) is met exactly.
 
-    Revised simplex with the inverse of the basis; the start fills sequences with one class each. The knapsack's value
-    bounds the optimum from below (the duals over that value are feasible), which ends the rounds.
+    Revised simplex with the inverse of the basis; the start fills sequences with one class each. Prices over
+    the knapsack's value are feasible duals and bound the optimum from below, which ends the rounds.
     """
     room = len(demand)
     need = np.flatnonzero(demand)
@@ -124,12 +124,16 @@ def patterns(demand: np.ndarray, gap: float = GAP) -> list[tuple[int, np.ndarray
     columns = np.diag(room // (need + 1)).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
     amount = demand[need] / np.diag(columns)
+    bound = float(demand @ (np.arange(room) + 1)) / room
     for _ in range(ROUNDS):
+        if amount.sum() <= bound * (1 + gap):
+            break
         duals = np.clip(inverse.sum(0), 0, None)
         values = np.zeros(room)
         values[need] = duals
         worth, pattern = knapsack(values, room)
-        if worth <= 1 + gap:
+        bound = max(bound, float(demand[need] @ duals) / max(worth, 1e-12))
+        if worth <= 1 + 1e-9:
             break
         enter = pattern[need].astype(float)
         direction = inverse @ enter

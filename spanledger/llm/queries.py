@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import licences, mixing, quality_rules, sharding, simhash, suffix_dedup
+from spanledger.llm import licences, mixing, packing, quality_rules, sharding, simhash, suffix_dedup
 from spanledger.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer of the packing query; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.reports(table(spark, sf_dir, "documents"))
 
@@ -33,7 +44,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_mixing, op5_simhash, op7_quality_rules, op8_sharding, op9_licences)}
+    return {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_mixing, op5_simhash, op7_quality_rules, op8_sharding, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
