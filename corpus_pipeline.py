@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import quality_rules
+from spanledger.llm import mixing, packing, quality_rules, simhash, suffix_dedup
 from spanledger.llm.common import stored, table
+from spanledger.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +14,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity of 0.8 or more) the document with the smallest id stays."""
+    return simhash.survivors(docs, **simhash.STAGE)
 
-#: Several stages (fingerprints, suffix arrays, packing) have no SQL form; tests hold them against brute force.
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each string of 200 bytes that starts more than once the first copy stays."""
+    return suffix_dedup.cleaned(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stays as often as its source's target takes it."""
+    return mixing.taken(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES = [("quality rules", quality), ("simhash near-dedup", near_copies), ("suffix-array dedup", repeats), ("mixing to target weights", mix), ("packing", pack)]
+
+#: Fingerprints, suffix arrays and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

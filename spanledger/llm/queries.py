@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import licences, mixing, packing, quality_rules, sharding, simhash, suffix_dedup
+from spanledger.llm import kmeans_tree, licences, mixing, packing, pseudo_likelihood, quality_classifier, quality_rules, sharding, simhash, suffix_dedup
 from spanledger.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.reports(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.reports(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.reports(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.reports(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.reports(table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,12 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.reports(table(spark, sf_dir, "documents"))
 
 
+def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_suffix_dedup, op4_mixing, op5_simhash, op7_quality_rules, op8_sharding, op9_licences)}
+    return {f.__name__: f for f in (op1_packing, op2_pseudo_likelihood, op3_suffix_dedup, op4_mixing, op5_simhash, op6_quality_classifier, op7_quality_rules, op8_sharding, op9_licences, op10_kmeans_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
