@@ -28,37 +28,49 @@ ROUNDS = 4000
 END = 1
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
-# The white space of the tokenizer's pattern (Unicode White_Space).
+# The tokenizer's pattern, and its white space (Unicode White_Space).
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = "\t-\r \x85\xa0  -     　"
 
 
-class Ids:
+class Ids(dict):
     """Little-endian ids of texts under a byte-level BPE whose words end before white space.
 
-    A word with the space before it is encoded for itself, so its ids are remembered; texts with the string of a
-    special token go to the tokenizer whole.
+    A word with the space before it is encoded for itself, so its ids are remembered: this dict, from words to bytes.
+    Texts with the string of a special token go to the tokenizer whole. New words go through the same vocabulary in a
+    faster library; that both agree is checked on a few words at the start.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        added = self.whole.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
         self.words = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-        self.known: dict[str, bytes] = {}
+        # Byte-level vocabularies spell bytes as characters: printable ones as themselves, others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spelled = {chr(c): c for c in plain} | {chr(256 + n): c for n, c in enumerate(c for c in range(256) if c not in plain)}
+        ranks = {bytes(spelled[x] for x in word): i for word, i in self.whole.get_vocab().items() if i not in added}
+        self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for word in (" The", "it's", " \u00e9t\u00e9,", "\n\n", " 12.5%", "\u65e5\u672c", " supercalifragilistic"):
+            if self[word] != self.encode(word):
+                raise ValueError(f"{path} is not a byte-level BPE of this pattern")
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        ids = self[word] = np.array(self.encoding.encode_ordinary(word), "<u4").tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [None if any(s in x for s in self.special) else self.words.findall(x) for x in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for ws in plain if ws for w in ws if w not in known})
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.encode(x) if ws is None else b"".join([known[w] for w in ws]) for x, ws in zip(texts, plain)]
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.encode(text)
+        return b"".join(map(self.__getitem__, self.words.findall(text)))
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
@@ -74,8 +86,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, grain: int = GRAIN)
             for at in range(0, b.num_rows, 256):
                 own, texts = b.column(0).slice(at, 256), [x or "" for x in b.column(1).slice(at, 256).to_pylist()]
                 rows = []
-                for k, raw in enumerate(ids(texts)):
-                    raw += end
+                for k, text in enumerate(texts):
+                    raw = ids(text) + end
                     n = len(raw) // 4
                     for start in range(0, n, length):
                         size = min(length, n - start)
