@@ -30,8 +30,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Jensen-Shannon distances (base 2, 0 to 1) beyond which a text is far from its language.
-MAX_CHARACTER_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.60
+MAX_CHARACTER_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.25
+#: Words from which on a text's histograms are full enough to be held against them.
+MIN_JUDGED_WORDS = 100
 #: Languages with a reference of their own, the most frequent; further ones use that of all documents.
 MAX_LANGUAGES = 64
 N_CLASSES = 7
@@ -147,7 +149,7 @@ def judged(df: DataFrame, references: DataFrame, name: str = "_q") -> DataFrame:
     df = df.withColumn("_character_distance", js_distance(q["classes"], F.coalesce(find(classes), longs(rows[None]["classes"]))))
     df = df.withColumn("_word_distance", F.when(q["common"].isNotNull() & find(own).isNotNull(), js_distance(q["common"], find(own))).otherwise(F.lit(0.0)))
     far = (F.col("_character_distance") > MAX_CHARACTER_DISTANCE) | (F.col("_word_distance") > MAX_WORD_DISTANCE)
-    return df.withColumn("_kept", ~F.col("_failed") & ~((q["n_words"] >= MIN_WORDS) & far))
+    return df.withColumn("_kept", ~F.col("_failed") & ~((q["n_words"] >= MIN_JUDGED_WORDS) & far))
 
 
 def reports(docs: DataFrame) -> DataFrame:
@@ -156,7 +158,8 @@ def reports(docs: DataFrame) -> DataFrame:
     docs: text and lang, each of which may be null, and any further columns, which return unless they clash with
     the names of the result. Null or empty text has no word and fails the length rule; a language that is null or
     without a reference is held against all documents; repeated rows return as often as they came; an empty table
-    returns none. Texts below MIN_WORDS words fail by length and are not held against a distribution.
+    returns none. Texts below MIN_WORDS words fail by length; those below
+    MIN_JUDGED_WORDS are not held against a distribution.
     """
     q = F.col("_q")
     narrow = stored(measured(docs.select(*[c for c in docs.columns if c in ("doc_id", "text", "lang")])).drop("text"))
