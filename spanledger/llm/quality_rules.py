@@ -164,10 +164,40 @@ def reports(docs: DataFrame) -> DataFrame:
     q = F.col("_q")
     narrow = stored(measured(docs.select(*[c for c in docs.columns if c in ("doc_id", "text", "lang")])).drop("text"))
     out = judged(narrow, language_references(narrow.select("lang", "_q.classes", "_q.common")))
-    return out.select("doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_character_distance").alias("character_distance"), F.col("_word_distance").alias("word_distance"))
+    return out.select("doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_character_distance", 9).alias("character_distance"), F.round("_word_distance", 9).alias("word_distance"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     figures = measured(docs.select("text", "lang")).select("lang", "_q.classes", "_q.common")
     return judged(measured(docs), language_references(figures)).where("_kept").select(*docs.columns)
+
+
+def _sql() -> str:
+    space = "[^\\x20\\x09-\\x0D]"
+    found = lambda chars: f"len(regexp_extract_all(t, '[{chars}]'))"
+    own = [found("A-Z"), found("0-9"), found(".,;:!?''\"()\\-"), found("#*$%&|<>"), "length(t) - word_chars", "strlen(t) - length(t)"]
+    lists = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in COMMON_WORDS.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{space}+') AS w FROM documents),
+b AS (SELECT r, doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({found("#*$%&|<>")} AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS lines FROM d),
+p AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM p WHERE n > 1) GROUP BY r),
+c AS (SELECT r, lang, [{", ".join(own)}] AS c6, length(t) AS n, w, CASE lang {lists} END AS l FROM b),
+h AS (
+  SELECT r, lang, 'c' AS kind, unnest(range(1, 8)) AS k, unnest(list_append(c6, greatest(0, n - list_sum(c6)::BIGINT))) AS v FROM c
+  UNION ALL SELECT r, lang, 'w', unnest(range(1, 14)), unnest(list_append(list_transform(l, lambda s: len(list_filter(w, lambda x: x = s))), len(w) - len(list_filter(w, lambda x: list_contains(l, x))))) FROM c WHERE l IS NOT NULL),
+own AS (SELECT lang, kind, k, sum(v) AS v, sum(sum(v)) OVER (PARTITION BY lang, kind) AS n FROM h WHERE lang IS NOT NULL GROUP BY lang, kind, k),
+every AS (SELECT kind, k, sum(v) AS v, sum(sum(v)) OVER (PARTITION BY kind) AS n FROM h WHERE kind = 'c' GROUP BY kind, k),
+q AS (SELECT h.r, h.kind, h.v / nullif(sum(h.v) OVER (PARTITION BY h.r, h.kind), 0) AS p, coalesce(own.v / nullif(own.n, 0), every.v / nullif(every.n, 0)) AS q
+  FROM h LEFT JOIN own ON own.lang = h.lang AND own.kind = h.kind AND own.k = h.k LEFT JOIN every ON every.kind = h.kind AND every.k = h.k),
+j AS (SELECT r, kind, round(sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / (2 * ln(2))))), 9) AS js FROM q WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY r, kind),
+o AS (SELECT b.*, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(jc.js, 0.0) AS character_distance, coalesce(jw.js, 0.0) AS word_distance
+  FROM b LEFT JOIN rep USING (r) LEFT JOIN (SELECT * FROM j WHERE kind = 'c') jc USING (r) LEFT JOIN (SELECT * FROM j WHERE kind = 'w') jw USING (r)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {MIN_JUDGED_WORDS} AND (character_distance > {MAX_CHARACTER_DISTANCE} OR word_distance > {MAX_WORD_DISTANCE})) AS kept, character_distance, word_distance FROM f"""
+
+
+SQL = _sql()

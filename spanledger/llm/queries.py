@@ -60,4 +60,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL}
+    return {"op4_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
