@@ -10,6 +10,9 @@ from spanledger.functions.model import TOKENS
 #: Columns of the representative row, that of the greatest id, which later stages group by.
 CARRIED = ["host_id", "project_id", "session_id", "thread_id", "model", "provider", "capability_type", "capability_name", "status", "usage_source", "timestamp"]
 
+#: Column of a stored event that says which part of the store holds it; a fold of such events lists them by group.
+BUCKET = "bucket"
+
 
 def mode(policies: dict[str, str]) -> Column:
     """Fold mode of a row's agent; policies are configuration, so they become a CASE and need no join."""
@@ -39,6 +42,8 @@ def folded(events: DataFrame, policies: dict[str, str], certificate: bool = Fals
     aggs += [F.max(F.coalesce("duration_ms", F.lit(0))).alias("duration_ms"), F.max("cost_reported").alias("rep_cost"), F.max("credits").alias("credits"), F.max(F.struct("id", *CARRIED)).alias("_rep")]
     if certificate:
         aggs += [F.count("*").alias("member_count"), F.count("timestamp").alias("ts_count"), F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts")]
+    if BUCKET in events.columns:
+        aggs.append(F.array_sort(F.collect_set(BUCKET)).alias("member_buckets"))
     rows = keyed(events, policies).groupBy("agent_key", "req_key").agg(*aggs)
     return rows.select("*", F.col("_rep")["id"].alias("rep_id"), *[F.col("_rep")[c].alias(c) for c in CARRIED]).drop("_rep").withColumn("agent_id", F.col("agent_key"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from spanledger.plans import fold as folds
 
 #: Columns that name where a row came from; a replay never rewrites them.
 PROVENANCE = ["id", "source_id", "raw_seq", "raw_offset", "ingested_at", "schema_version", "agent_id"]
+#: Parts of a store; a batch rewrites those that it touches.
+BUCKETS = 64
 DERIVED = [f.name for f in EVENT_SCHEMA.fields if f.name not in PROVENANCE]
 
 
@@ -52,16 +54,17 @@ def pruned(events: DataFrame, payloads: DataFrame, now: int, days: int = 30, eve
 
 
 class Store:
-    """Events and their fold below one path, each as one Parquet folder a version, named by a small pointer file.
+    """Events and their fold below one path, in buckets: events by source, groups by key.
 
-    A batch writes the next version and then moves the pointer, so a reader sees one version whole, and a batch that
-    fails or comes twice leaves nothing behind that anyone reads. Groups that a batch touches are folded from all
-    their events: a running maximum could not go down when a record is repaired. No watermark: late data is data.
+    A batch writes new versions of the buckets that it touches and then moves one small pointer file, which maps
+    buckets to versions; so a reader sees one state whole, and a batch that fails or comes twice leaves nothing that
+    anyone reads. Groups that a batch touches are folded from all their events, since a running maximum could not go
+    down when a record is repaired; a group lists the buckets of its members, so only those are read. No watermark:
+    late data is data.
     """
 
-    def __init__(self, spark: SparkSession, path: str, policies: dict[str, str], buckets: int | None = None):
-        self.spark, self.path, self.policies = spark, path.rstrip("/"), policies
-        self.buckets = buckets
+    def __init__(self, spark: SparkSession, path: str, policies: dict[str, str], buckets: int = BUCKETS):
+        self.spark, self.path, self.policies, self.buckets = spark, path.rstrip("/"), policies, buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,7 +73,7 @@ class Store:
     def pointer(self) -> dict:
         p, fs = self._fs(f"{self.path}/current.json")
         if not fs.exists(p):
-            return {"version": 0, "batches": [], "policies": {}}
+            return {"version": 0, "batches": [], "policies": {}, "events": {}, "fold": {}}
         return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
 
     def _point(self, state: dict) -> None:
@@ -83,19 +86,36 @@ class Store:
         if not fs.rename(p, final):
             raise RuntimeError(f"cannot move the pointer of {self.path}")
 
-    def _read(self, what: str, version: int, schema: T.StructType | None = None) -> DataFrame:
-        if not version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.path}/{what}/v{version}")
+    def _read(self, what: str, state: dict, only: set[int] | None = None) -> DataFrame | None:
+        """The current buckets of events or fold, or some of them; null if there are none."""
+        paths = [f"{self.path}/{what}/v{v}/bucket={b}" for b, v in state[what].items() if only is None or int(b) in only]
+        if not paths:
+            return None
+        return self.spark.read.parquet(*paths).withColumn(folds.BUCKET, F.regexp_extract(F.col("_metadata.file_path"), r"bucket=(\d+)/", 1).cast("int"))
+
+    def _write(self, what: str, version: int, rows: DataFrame, hit: set[int], state: dict) -> None:
+        """The next version of the buckets in hit. Those that have become empty leave the pointer."""
+        rows.repartition(folds.BUCKET).write.mode("overwrite").partitionBy(folds.BUCKET).parquet(f"{self.path}/{what}/v{version}")
+        p, fs = self._fs(f"{self.path}/{what}/v{version}")
+        there = {int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(p) if x.isDirectory() and "=" in x.getPath().getName()}
+        state[what] = {b: v for b, v in state[what].items() if int(b) not in hit} | {str(b): version for b in sorted(there)}
+
+    def _of_source(self) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce("source_id", F.lit(""))), F.lit(self.buckets)).cast("int")
+
+    def _of_key(self) -> Column:
+        return F.pmod(F.xxhash64("agent_key", "req_key"), F.lit(self.buckets)).cast("int")
+
+    def _distinct(self, column: DataFrame) -> set[int]:
+        return {r[0] for r in column.distinct().collect()}  # as many as buckets at most
 
     def events(self) -> DataFrame:
-        return self._read("events", self.pointer()["version"], EVENT_SCHEMA)
+        found = self._read("events", self.pointer())
+        return self.spark.createDataFrame([], EVENT_SCHEMA) if found is None else found.drop(folds.BUCKET)
 
     def fold(self) -> DataFrame:
-        version = self.pointer()["version"]
-        if not version:
-            return folds.folded(self.events(), self.policies, certificate=True)
-        return self._read("fold", version)
+        found = self._read("fold", self.pointer())
+        return folds.folded(self.events(), self.policies, certificate=True) if found is None else found.drop(folds.BUCKET)
 
     def apply(self, batch: DataFrame, batch_id: int | None = None) -> dict[str, int]:
         """Writes a batch; a batch id that was applied before changes nothing. Returns how many rows were new or changed."""
@@ -103,41 +123,66 @@ class Store:
         if batch_id is not None and batch_id in state["batches"]:
             return {"new": 0, "changed": 0}
         version = state["version"] + 1
-        old = self.events()
-        merged = upserted(old, batch)
-        merged.write.mode("overwrite").parquet(f"{self.path}/merged/v{version}")
-        merged = self.spark.read.parquet(f"{self.path}/merged/v{version}")
+        hit = self._distinct(batch.select(self._of_source()))
+        old = self._read("events", state, hit)
+        old = self.spark.createDataFrame([], EVENT_SCHEMA) if old is None else old.drop(folds.BUCKET)
+        path = f"{self.path}/merged/v{version}"
+        upserted(old, batch).write.mode("overwrite").parquet(path)
+        merged = self.spark.read.parquet(path)
         counts = {r[0]: r[1] for r in merged.groupBy("_change").count().collect()}
         done = {"new": counts.get("new", 0), "changed": counts.get("changed", 0)}
         if batch_id is not None:
             state["batches"] = [*state["batches"], batch_id][-1000:]
         moved = state["policies"] != self.policies and state["version"] > 0
-        if not any(done.values()) and not moved:
-            self._point(state)
-            return done
-        now = merged.drop("_change")
-        now.write.mode("overwrite").parquet(f"{self.path}/events/v{version}")
-        if moved or not state["version"]:
-            fold = folds.folded(now, self.policies, certificate=True)
-        else:
-            hit = merged.where("_change <> 'same'").drop("_change")
-            before = old.join(hit.select("id"), "id", "left_semi")
-            touched = folds.keyed(hit, self.policies).select("agent_key", "req_key").union(folds.keyed(before, self.policies).select("agent_key", "req_key"))
-            fold = folds.refolded(self._read("fold", state["version"]), now, touched, self.policies)
-        fold.write.mode("overwrite").parquet(f"{self.path}/fold/v{version}")
-        self._point({"version": version, "batches": state["batches"], "policies": self.policies})
+        if any(done.values()) or moved:
+            changed = merged.where("_change <> 'same'").drop("_change")
+            touched = folds.keyed(changed, self.policies).unionByName(folds.keyed(old.join(changed.select("id"), "id", "left_semi"), self.policies)).select("agent_key", "req_key").distinct()
+            self._write("events", version, merged.drop("_change").withColumn(folds.BUCKET, self._of_source()), hit, state)
+            self._refold(state, version, None if moved else touched, hit)
+            state |= {"version": version, "policies": self.policies}
+        self._point(state)
+        p, fs = self._fs(path)
+        fs.delete(p, True)
         return done
 
+    def _refold(self, state: dict, version: int, touched: DataFrame | None, hit: set[int]) -> None:
+        """New versions of the fold's buckets that hold touched groups; without them, of all."""
+        if touched is None:
+            rows = self._read("events", state)
+            if rows is None:
+                state["fold"] = {}
+                return
+            self._write("fold", version, folds.folded(rows, self.policies, certificate=True).withColumn(folds.BUCKET, self._of_key()), set(range(self.buckets)), state)
+            return
+        of = self._distinct(touched.select(self._of_key()))
+        kept = self._read("fold", state, of)
+        if kept is not None:
+            kept = kept.drop(folds.BUCKET)
+            hit = hit | self._distinct(kept.join(touched, ["agent_key", "req_key"], "left_semi").select(F.explode("member_buckets")))
+            kept = kept.join(touched, ["agent_key", "req_key"], "left_anti")
+        members = self._read("events", state, hit)
+        if members is not None:
+            members = folds.keyed(members, self.policies).join(touched, ["agent_key", "req_key"], "left_semi").drop("agent_key", "req_key")
+            new = folds.folded(members, self.policies, certificate=True)
+            kept = new if kept is None else kept.unionByName(new)
+        if kept is not None:
+            self._write("fold", version, kept.withColumn(folds.BUCKET, self._of_key()), of, state)
+
     def prune(self, now: int, days: int) -> int:
         """Drops events older than ``days`` and folds their groups again; returns how many went."""
         state = self.pointer()
-        left, _, gone = pruned(self.events(), self.spark.createDataFrame([], "event_id string, at long"), now, days, events_too=True)
+        rows = self._read("events", state)
+        if rows is None:
+            return 0
+        left, _, gone = pruned(rows, self.spark.createDataFrame([], "event_id string, at long"), now, days, events_too=True)
         n = gone.count()
         if n:
-            version = state["version"] + 1
-            left.write.mode("overwrite").parquet(f"{self.path}/events/v{version}")
-            folds.refolded(self._read("fold", state["version"]), self.spark.read.parquet(f"{self.path}/events/v{version}"), folds.keyed(gone, self.policies), self.policies).write.mode("overwrite").parquet(f"{self.path}/fold/v{version}")
-            self._point(state | {"version": version})
+            version, hit = state["version"] + 1, self._distinct(gone.select(folds.BUCKET))
+            touched = folds.keyed(gone, self.policies).select("agent_key", "req_key").distinct()
+            self._write("events", version, left.where(F.col(folds.BUCKET).isin(sorted(hit))), hit, state)
+            self._refold(state, version, touched, hit)
+            state["version"] = version
+            self._point(state)
         return n
 
 
