@@ -274,7 +274,8 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 47,
 
     64 bits are too few to tell a similarity of 0.8 from 0.6 and no 16-bit blocks survive that many changed bits, so
     fingerprints are wider here and buckets come from bands of least shingle hashes. A bucket with more than
-    BUCKET_LIMIT different texts is dealt into parts by a further least hash, of which the next bands have others.
+    BUCKET_LIMIT different texts is dealt into parts, each of which also holds the bucket's first text, so that copies
+    of one text meet through it; the other bands deal them otherwise.
     Null doc_id counts as the largest. Of rows that repeat, one stays. Documents without a word form one group.
     """
     node = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -282,9 +283,13 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 47,
     marked = docs.withColumn("_node", node).withColumn("_id", number)
     sketches = stored(sketched(marked.select("_node", "_id", "text"), size, words, bands, rows))
     nodes = sketches.groupBy("_node").agg(F.min("_id").alias("_least"), F.first("_print").alias("_print"), F.first("_keys").alias("_keys"))
-    spread = nodes.select(F.posexplode("_keys").alias("_band", "_key"), "_node", "_print", "_keys")
-    found = shared_buckets(spread.withColumn("_next", F.get("_keys", (F.col("_band") + 1) % bands)).drop("_keys", "_band"))
-    found = stored(found.withColumn("_key", F.when(F.col("_n") > BUCKET_LIMIT, F.xxhash64("_key", "_next")).otherwise(F.col("_key"))).drop("_next"))
+    spread = nodes.select(F.explode("_keys").alias("_key"), "_node", "_print")
+    counts = stored(spread.groupBy("_key").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_print")).alias("_lead")).where("_n > 1"))
+    parts = F.ceil(F.col("_n") / BUCKET_LIMIT)
+    dealt = lambda part: F.when(F.col("_n") > BUCKET_LIMIT, F.xxhash64("_key", part)).otherwise(F.col("_key"))
+    found = spread.join(counts.select("_key", "_n"), "_key").select(dealt(F.pmod("_node", parts)).alias("_key"), "_node", "_print")
+    leads = counts.where(F.col("_n") > BUCKET_LIMIT).select("_key", "_n", "_lead", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    found = found.union(leads.select(dealt(F.col("_part")), "_lead._node", "_lead._print"))
     links = bucket_links(found.repartition("_key").sortWithinPartitions("_key"), words, radius)
     labels = components(links).withColumnRenamed("node", "_node")
     best = nodes.select("_node", "_least").join(labels, "_node", "left").withColumn("label", F.coalesce("label", "_node"))

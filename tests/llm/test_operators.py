@@ -184,7 +184,9 @@ def test_flips_and_components(spark):
     assert {r["label"] for r in simhash.components(chain).collect()} == {0}
 
 
-def test_survivors(docs, none):
+@pytest.mark.parametrize("limit", [2, 1024])
+def test_survivors(docs, none, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BUCKET_LIMIT", limit)
     rows = simhash.survivors(docs, **simhash.STAGE).collect()
     kept = [r["doc_id"] for r in rows]
     assert kept.count(4) == 1 and 5 not in kept and 6 not in kept and {3, 7, 8, 10, None} <= set(kept) and len([i for i in kept if i in (0, 1, 2)]) == 1
