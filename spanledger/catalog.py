@@ -151,8 +151,8 @@ def fold_null_request_rows(spark, sf_dir):
     return rows.groupBy(F.col("agent_id").alias("agent")).agg(F.count("*").alias("n"), F.count_if(F.col("req_key") == F.col("id")).alias("own_key"), F.count_if(F.col("request_id") == "").alias("blank"))
 
 
-@register(testbed.sql() + """, g AS (SELECT agent_id, CAST(sum(mx) AS BIGINT) AS one_policy FROM (SELECT agent_id, coalesce(nullif(request_id, ''), id) AS k, max(coalesce(output_tokens, 0)) AS mx FROM ev GROUP BY ALL) GROUP BY 1)
-SELECT g.agent_id AS agent, g.one_policy, CAST(sum(f.output_tokens) AS BIGINT) AS own_policy, one_policy = CAST(sum(f.output_tokens) AS BIGINT) AS same FROM g JOIN fold f ON f.agent_key = g.agent_id GROUP BY ALL""")
+@register(testbed.sql() + """, g AS (SELECT agent_id, CAST(sum(mx) AS BIGINT) AS one_policy FROM (SELECT agent_id, coalesce(nullif(request_id, ''), id) AS k, max(coalesce(output_tokens, 0)) AS mx FROM ev GROUP BY ALL) GROUP BY 1), h AS (SELECT agent_key, CAST(sum(output_tokens) AS BIGINT) AS own_policy FROM fold GROUP BY 1)
+SELECT g.agent_id AS agent, g.one_policy, h.own_policy, g.one_policy = h.own_policy AS same FROM g JOIN h ON h.agent_key = g.agent_id""")
 def fold_policy_negative_control(spark, sf_dir):
     events = testbed.events(spark, sf_dir)
     total = lambda policies, name: fold.folded(events, policies).groupBy(F.col("agent_key").alias("agent")).agg(F.sum("output_tokens").alias(name))

@@ -42,7 +42,7 @@ class Connector:
     placeholder: str | None = None  # model of records whose usage does not count
 
 
-_ANTHROPIC = {
+_MESSAGE_USAGE = {
     "input_tokens": ("$.message.usage.input_tokens",), "output_tokens": ("$.message.usage.output_tokens",), "cache_read_tokens": ("$.message.usage.cache_read_input_tokens",),
     "cache_write_tokens": ("$.message.usage.cache_creation_input_tokens",), "reasoning_tokens": ("$.message.usage.reasoning_tokens", "$.message.usage.thinking_tokens", "$.message.usage.output_tokens_details.thinking_tokens"),
 }
@@ -50,8 +50,8 @@ _MESSAGES = {"assistant": "message.assistant", "user": "message.user", "attachme
 _STEPS = {"session": "session.start", "step-start": "generation.start", "step-finish": "generation.end", "tool": "tool.start", "text": "message.assistant", "patch": "unknown"}
 
 CONNECTORS = {c.agent: c for c in (
-    Connector("claude-code", "request_max", "3", fallback_request=True, provider="anthropic", usage=_ANTHROPIC, host=("$.entrypoint",), types=_MESSAGES, subagent="$.isSidechain", placeholder="<synthetic>"),
-    Connector("qoder", "request_max", "2", fallback_request=True, provider="qoder", usage=_ANTHROPIC, request=("$.requestTokenAnchor", "$.requestId"), credits=("$.message.usage.credits", "$.usage.credits"), types=_MESSAGES, subagent="$.isSidechain", zero_is_missing=True),
+    Connector("claude-code", "request_max", "3", fallback_request=True, provider="anthropic", usage=_MESSAGE_USAGE, host=("$.entrypoint",), types=_MESSAGES, subagent="$.isSidechain", placeholder="<synthetic>"),
+    Connector("qoder", "request_max", "2", fallback_request=True, provider="qoder", usage=_MESSAGE_USAGE, request=("$.requestTokenAnchor", "$.requestId"), credits=("$.message.usage.credits", "$.usage.credits"), types=_MESSAGES, subagent="$.isSidechain", zero_is_missing=True),
     Connector(
         "codex", "last_call_sum", "2", glob="rollout-*.jsonl", kind=("$.payload.type", "$.type"), record=("$.payload.id",), session=("$.payload.session_id",), request=("$.payload.response_id",), provider="openai", model=("$.payload.model", "$.payload.info.model"),
         usage={"input_tokens": ("$.payload.info.last_token_usage.input_tokens", "$.payload.usage.input_tokens"), "output_tokens": ("$.payload.info.last_token_usage.output_tokens", "$.payload.usage.output_tokens"), "cache_read_tokens": ("$.payload.info.last_token_usage.cached_input_tokens", "$.payload.usage.cached_input_tokens"), "cache_write_tokens": ("$.payload.info.last_token_usage.cache_write_input_tokens", "$.payload.usage.cache_write_input_tokens"), "reasoning_tokens": ("$.payload.info.last_token_usage.reasoning_output_tokens", "$.payload.usage.reasoning_output_tokens")},

@@ -50,7 +50,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same projection for DuckDB, as common table expressions that queries go on from.
 SQL = """
 WITH base AS (
-  SELECT event_id AS e, user_id AS u, event_type AS t, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_ms(ts) AS timestamp FROM events),
+  SELECT event_id AS e, user_id AS u, event_type AS t, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, epoch_us(ts) // 1000 AS timestamp FROM events),
 ev0 AS (
   SELECT lpad(CAST(e AS VARCHAR), 12, '0') AS id, ['alpha','beta','gamma','delta'][u % 4 + 1] AS agent_id, 'h-' || (u % 2) AS host_id, 'src-' || (u % 5) AS source_id, 's-' || u AS session_id, 'p-' || (u % 10) AS project_id,
     CASE WHEN u % 4 = 2 THEN 't-' || u END AS thread_id, CASE WHEN e % 7 = 0 THEN NULL WHEN e % 11 = 0 THEN '' ELSE CAST(e // 3 AS VARCHAR) END AS request_id, timestamp,
