@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanledger.functions.model import EVENT_SCHEMA
 from spanledger.functions.text import truncated

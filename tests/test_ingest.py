@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from spanledger import testbed
 from spanledger.functions import model, text
-from spanledger.functions.model import EVENT_SCHEMA
 from spanledger.operators import derive
 from spanledger.plans import fold
 from spanledger.sources import connectors, export, prices, scan
