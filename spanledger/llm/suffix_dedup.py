@@ -28,6 +28,8 @@ CHUNK = 1 << 20
 BLOCK = 1 << 20
 #: Contexts of one piece that share a suffix array; pieces with more go string by string through a grouped count.
 MOST_CONTEXTS = 1024
+#: Starts that are one row of such a count, and of the counts within it; each divides the one before.
+STRIDES = (32, 8, 2, 1)
 _PLACE = np.uint64((1 << 21) - 1)
 _TABLE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -227,27 +229,72 @@ def compared(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return rows.mapInArrow(run, f"piece long, context long, ranges {RANGES}")
 
 
+def _parts(depth: int) -> str:
+    inner = f", parts:{_parts(depth - 1)}" if depth else ""
+    return f"array<struct<lo:bigint, hi:bigint, name:bigint, same:bigint{inner}>>"
+
+
+def _arrow(depth: int) -> pa.DataType:
+    fields = [(n, pa.int64()) for n in ("lo", "hi", "name", "same")]
+    return pa.list_(pa.struct(fields + ([("parts", _arrow(depth - 1))] if depth else [])))
+
+
+def split_context(data: np.ndarray, piece: int, low: int, length: int) -> list[dict]:
+    """Blocks of a context's starts, counted from the piece: the widest of STRIDES, each with its parts, and so on.
+
+    All bytes that the strings of a whole block would share name it, so equal strings lie in blocks of equal names;
+    two blocks of one name whose strings are the same in all bytes agree in ``same`` too.
+    """
+    sums, inverse = _prefix(data)
+    k = len(data) - length + 1
+    part = lambda i, j: mix((sums[j] - sums[i]) * inverse[i], 2)
+    pieces = mix((sums[PIECE:] - sums[:-PIECE]) * inverse[: len(data) - PIECE + 1], 0)
+    at = int(np.argmax(pieces.view(np.int64) == piece))
+    below: list[dict] = []
+    starts: list[int] = []
+    for width in reversed(STRIDES):
+        blocks = (at - np.arange(k)) // width
+        edges = np.flatnonzero(np.diff(blocks, prepend=blocks[0] + 1))
+        last = np.append(edges[1:], k) - 1
+        begin = at - width * blocks[edges]
+        name = (part(begin, begin + length - width + 1) + blocks[edges].astype(np.uint64)).view(np.int64).tolist()
+        same = (part(edges, last + length) + (last - edges).astype(np.uint64)).view(np.int64).tolist()
+        rows = [{"lo": low + x, "hi": low + y, "name": n, "same": m} for x, y, n, m in zip(edges.tolist(), last.tolist(), name, same)]
+        if below:
+            cuts = np.searchsorted(starts, edges.tolist() + [k]).tolist()
+            for row, x, y in zip(rows, cuts, cuts[1:]):
+                row["parts"] = below[x:y]
+        below, starts = rows, edges.tolist()
+    return below
+
+
 def counted(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """What ``compared`` returns, string by string: for pieces with too many contexts for one task.
+    """What ``compared`` returns, by grouped counts: for pieces with too many contexts for one task.
 
-    Each string is a row with a hash of 64 bits beside its piece's; equal ones meet in a count that is summed before the exchange.
+    Blocks whose name occurs once are done, and so are names whose blocks agree in all bytes; the parts of the others
+    are counted in turn, down to single strings. Counts are summed before the exchange, so no group is large.
     """
+    fields = f"piece long, context long, _id long, n long, parts {_parts(len(STRIDES) - 1)}"
 
     def run(batches):
+        kinds = [pa.int64()] * 4 + [_arrow(len(STRIDES) - 1)]
         for b in batches:
-            for piece, context, id_, low, n, raw in zip(*(c.to_pylist() for c in b.columns)):
-                data = np.frombuffer(raw, np.uint8)
-                sums, inverse = _prefix(data)
-                k = len(data) - length + 1
-                h = (sums[length:] - sums[:k]) * inverse[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, piece)), pa.array(np.full(k, context)), pa.array(np.full(k, id_)), pa.array(low + np.arange(k)), pa.array(np.full(k, n)), pa.array(mix(h, 2).view(np.int64))], ["piece", "context", "_id", "lo", "n", "string"])
-
-    rows = stored(contexts.select("piece", "context", "_id", "lo", "n", "bytes").mapInArrow(run, "piece long, context long, _id long, lo long, n long, string long"))
-    totals = rows.groupBy("piece", "string").agg(F.sum("n").alias("_total"), F.min(F.struct("_id", "lo")).alias("_first")).where("_total > 1")
-    both = rows.join(totals, ["piece", "string"])
-    if keep_first:
-        both = both.where((F.col("_first")["_id"] != F.col("_id")) | (F.col("_first")["lo"] != F.col("lo")))
-    return both.groupBy("piece", "context").agg(F.transform(F.collect_list("lo"), lambda x: F.struct(x.alias("lo"), x.alias("hi"))).alias("ranges"))
+            piece, context, id_, low, n, raw = (b.column(c).to_pylist() for c in ("piece", "context", "_id", "lo", "n", "bytes"))
+            parts = [split_context(np.frombuffer(r, np.uint8), p, at, length) for r, p, at in zip(raw, piece, low)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((piece, context, id_, n, parts), kinds)], ["piece", "context", "_id", "n", "parts"])
+
+    rows = contexts.mapInArrow(run, fields)
+    out = None
+    for depth, _ in enumerate(STRIDES):
+        rows = stored(rows.select("piece", "context", "_id", "n", F.explode("parts").alias("_p")).select("piece", "context", "_id", "n", "_p.*"))
+        names = rows.groupBy("piece", "name").agg(F.sum("n").alias("_total"), F.min("same").alias("_a"), F.max("same").alias("_b"), F.min(F.struct("_id", "lo")).alias("_first")).where("_total > 1")
+        rows = stored(rows.join(stored(names), ["piece", "name"]))
+        first = (F.col("_first")["_id"] == F.col("_id")) & (F.col("_first")["lo"] == F.col("lo"))
+        done = rows.where("_a = _b").where(~first if keep_first else F.lit(True)).select("piece", "context", "lo", "hi")
+        out = done if out is None else out.union(done)
+        if depth + 1 < len(STRIDES):
+            rows = rows.where("_a <> _b").select("piece", "context", "_id", "n", "parts")
+    return out.groupBy("piece", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def with_bytes(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -267,14 +314,15 @@ def marked(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> D
     """
     found = stored(all_runs(docs, length))
     shared = found.groupBy("piece").agg(F.count("*").alias("_n"), F.min("context").alias("_a"), F.max("context").alias("_b")).where("_n > 1")
-    shared = stored(found.join(shared.select("piece", (F.col("_a") == F.col("_b")).alias("solid")), "piece"))
+    shared = stored(shared.select("piece", (F.col("_a") == F.col("_b")).alias("solid")))  # stored, so that the join can split a frequent piece
+    shared = stored(found.join(shared, "piece"))
     place = F.struct("_id", "lo", "_k1", "_k2", "hi")
     contexts = stored(shared.groupBy("piece", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("solid").alias("solid")))
     mixed = contexts.where("not solid").select("piece", "context", "n", "first.*")
     many = mixed.groupBy("piece").agg(F.count("*").alias("_n")).where(F.col("_n") > MOST_CONTEXTS).select("piece", F.lit(True).alias("_many"))
     mixed = stored(with_bytes(mixed, docs, length).join(many, "piece", "left"))
     ranges = compared(mixed.where("_many is null"), length, keep_first).union(counted(mixed.where("_many"), length, keep_first))
-    verdicts = contexts.join(ranges, ["piece", "context"], "left").select("piece", "context", "n", "solid", "first", "ranges")
+    verdicts = stored(contexts.join(ranges, ["piece", "context"], "left").select("piece", "context", "n", "solid", "first", "ranges"))
     whole = F.array(F.struct("lo", "hi"))
     first = (F.col("first")["_id"] == F.col("_id")) & (F.col("first")["lo"] == F.col("lo")) & (F.col("first")["_k1"] == F.col("_k1")) & (F.col("first")["_k2"] == F.col("_k2"))
     own = F.when(~first, whole).when(F.col("solid"), F.lit(None) if keep_first else whole).otherwise(F.col("ranges"))
