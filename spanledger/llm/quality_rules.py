@@ -90,8 +90,8 @@ def character_classes(text: Column, word_chars: Column, symbols: Column) -> Colu
     return let(own, lambda c: F.concat(c, F.array(F.greatest(F.lit(0), F.length(text) - F.get(c, F.lit(0)) - F.get(c, F.lit(1)) - F.get(c, F.lit(2)) - F.get(c, F.lit(3)) - F.get(c, F.lit(4)) - F.get(c, F.lit(5))).cast("long"))))
 
 
-def measured(docs: DataFrame, name: str = "_q") -> DataFrame:
-    """docs and a struct column of each text's figures. Null text counts as an empty one."""
+def measures() -> Column:
+    """A struct of the figures of ``text``, which may be null and counts as an empty one then."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def figures(w: Column) -> Column:
@@ -102,7 +102,7 @@ def measured(docs: DataFrame, name: str = "_q") -> DataFrame:
             let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), _repeated(w).alias("n_repeat_words"),
             let(chars, lambda n: character_classes(text, n, _count(text, SYMBOLS))).alias("classes"), _common(w, F.col("lang")).alias("common"))
 
-    return docs.withColumn(name, let(words(F.col("text")), figures))
+    return let(words(F.col("text")), figures)
 
 
 def language_references(figures: DataFrame) -> DataFrame:
@@ -134,22 +134,30 @@ def js_distance(a: Column, b: Column) -> Column:
     return let(total(a), lambda n: let(total(b), lambda k: both(n, k)))
 
 
-def judged(df: DataFrame, references: DataFrame, name: str = "_q") -> DataFrame:
-    """df, which has lang and the struct ``name``, with columns _failed, _character_distance, _word_distance and _kept.
+def verdict(references: DataFrame):
+    """A function from a struct of figures to one of failed, character_distance, word_distance and kept.
 
     The references are read first: MAX_LANGUAGES rows and one, which the plan holds as literals.
     """
     rows = {r["lang"]: r["ref"] for r in references.collect()}
     longs = lambda x: F.array(*[F.lit(int(v or 0)).cast("long") for v in x])
-    own = F.create_map(*[x for k in sorted(k for k in rows if k is not None) for x in (F.lit(k), longs(rows[k]["common"]))]) if len(rows) > 1 else None
-    classes = F.create_map(*[x for k in sorted(k for k in rows if k is not None) for x in (F.lit(k), longs(rows[k]["classes"]))]) if len(rows) > 1 else None
-    find = lambda m: F.try_element_at(m, F.coalesce("lang", F.lit(""))) if m is not None else F.lit(None).cast("array<bigint>")
-    q = F.col(name)
-    df = df.withColumn("_failed", (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"]))
-    df = df.withColumn("_character_distance", js_distance(q["classes"], F.coalesce(find(classes), longs(rows[None]["classes"]))))
-    df = df.withColumn("_word_distance", F.when(q["common"].isNotNull() & find(own).isNotNull(), js_distance(q["common"], find(own))).otherwise(F.lit(0.0)))
-    far = (F.col("_character_distance") > MAX_CHARACTER_DISTANCE) | (F.col("_word_distance") > MAX_WORD_DISTANCE)
-    return df.withColumn("_kept", ~F.col("_failed") & ~((q["n_words"] >= MIN_JUDGED_WORDS) & far))
+    known = sorted(k for k in rows if k is not None)
+
+    def find(what: str) -> Column:
+        if not known:
+            return F.lit(None).cast("array<bigint>")
+        return F.try_element_at(F.create_map(*[x for k in known for x in (F.lit(k), longs(rows[k][what]))]), F.coalesce("lang", F.lit("")))
+
+    def judge(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
+        characters = js_distance(q["classes"], F.coalesce(find("classes"), longs(rows[None]["classes"])))
+        words_ = let(find("common"), lambda own: F.when(q["common"].isNotNull() & own.isNotNull(), js_distance(q["common"], own)).otherwise(F.lit(0.0)))
+        found = F.struct(failed.alias("failed"), characters.alias("character_distance"), words_.alias("word_distance"))
+        far = lambda v: (v["character_distance"] > MAX_CHARACTER_DISTANCE) | (v["word_distance"] > MAX_WORD_DISTANCE)
+        kept = lambda v: ~v["failed"] & ~((q["n_words"] >= MIN_JUDGED_WORDS) & far(v))
+        return let(found, lambda v: F.struct(v["failed"].alias("failed"), v["character_distance"].alias("character_distance"), v["word_distance"].alias("word_distance"), kept(v).alias("kept")))
+
+    return judge
 
 
 def reports(docs: DataFrame) -> DataFrame:
@@ -161,16 +169,17 @@ def reports(docs: DataFrame) -> DataFrame:
     returns none. Texts below MIN_WORDS words fail by length; those below
     MIN_JUDGED_WORDS are not held against a distribution.
     """
-    q = F.col("_q")
-    narrow = stored(measured(docs.select(*[c for c in docs.columns if c in ("doc_id", "text", "lang")])).drop("text"))
-    out = judged(narrow, language_references(narrow.select("lang", "_q.classes", "_q.common")))
-    return out.select("doc_id", q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_character_distance", 9).alias("character_distance"), F.round("_word_distance", 9).alias("word_distance"))
+    narrow = stored(docs.select("doc_id", "lang", measures().alias("_q")))
+    judge = verdict(language_references(narrow.select("lang", "_q.classes", "_q.common")))
+    out = narrow.withColumn("_v", judge(F.col("_q")))
+    return out.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_v.failed").alias("base_failed"), "_v.kept", F.round("_v.character_distance", 9).alias("character_distance"), F.round("_v.word_distance", 9).alias("word_distance"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    figures = measured(docs.select("text", "lang")).select("lang", "_q.classes", "_q.common")
-    return judged(measured(docs), language_references(figures)).where("_kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with the columns of docs. Figures and verdict are one expression of a row."""
+    references = language_references(docs.select("lang", measures().alias("_q")).select("lang", "_q.classes", "_q.common"))
+    judge = verdict(references)
+    return docs.where(let(measures(), lambda q: let(judge(q), lambda v: v["kept"])))
 
 
 def _sql() -> str:
