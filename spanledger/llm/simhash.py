@@ -64,14 +64,13 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A key of each band: ``rows`` least values of the hashes under as many permutations."""
-    keys = np.empty(bands, np.uint64)
-    for b in range(bands):
-        key = np.full(1, b, np.uint64)
-        for r in range(rows):
-            odd = np.uint64((0xD1342543DE82EF95 * (2 * (b * rows + r) + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
-            least = (hashes * odd).min() if len(hashes) else np.uint64(0)
-            key = mix(key ^ least, r)
-        keys[b] = key[0]
+    odds = (np.arange(bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    least = np.full(bands * rows, _ONES if len(hashes) else np.uint64(0))
+    for i in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[i : i + 4096, None] * odds).min(0))
+    keys = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        keys = mix(keys ^ least.reshape(bands, rows)[:, r], r)
     return keys
 
 
