@@ -16,6 +16,8 @@ from spanledger.llm.common import stored
 
 #: Distinct fingerprints in a bucket from which on all fingerprints within one flipped bit meet instead of pairs.
 BUCKET_LIMIT = 1024
+#: Parts that a large bucket is dealt into at most; beyond, its parts grow, so none is copied more often than this.
+PARTS = 64
 #: Planes between two looks at which pairs are still within the radius.
 LOOK = 8
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint8).view(np.uint64).ravel()
@@ -175,6 +177,76 @@ def bucket_links(rows: DataFrame, words: int, radius: int) -> DataFrame:
     return rows.select("_key", "_node", "_print").mapInArrow(run, "a long, b long")
 
 
+def spanning(labels: np.ndarray, side: np.ndarray, near) -> list[tuple[int, int]]:
+    """Pairs of labels that join all that links join, at most one fewer than there are labels.
+
+    near(i, others) tells which of the others are linked to member i. Members of one label are joined already, and
+    those of one side are not compared.
+    """
+    found, rest = [], np.arange(len(labels))
+    while len(rest):
+        own = labels[rest] == labels[rest[0]]
+        queue, rest = rest[own].tolist(), rest[~own]
+        while queue and len(rest):
+            i = queue.pop()
+            others = rest[side[rest] != side[i]]
+            hits = others[near(i, others)] if len(others) else others
+            if len(hits):
+                found += [(int(labels[i]), x) for x in np.unique(labels[hits]).tolist()]
+                reached = np.isin(labels[rest], labels[hits])
+                queue += rest[reached].tolist()
+                rest = rest[~reached]
+    return found
+
+
+def near_prints(radius: int):
+    """For ``block_links``: links between fingerprints that differ in ``radius`` bits at most."""
+
+    def of(values: pa.ListArray):
+        prints = values.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(values), -1)
+        return lambda i, others: np.bitwise_count(prints[others] ^ prints[i]).sum(1, dtype=np.int64) <= radius
+
+    return of
+
+
+def block_links(rows: DataFrame, of) -> DataFrame:
+    """Links (a, b) that join within each _key all that ``of`` links, of rows (_key, _parts, _node, _value array).
+
+    A key's nodes are dealt into _parts parts. Links within a part are found first; then each two parts of a key meet
+    in a row of their own, so every pair of a large key is compared, by as many tasks as there are pairs of parts.
+    """
+
+    def within_part(batches):
+        for b in batches:
+            labels = []
+            for nodes, values in zip(b.column(3), b.column(4)):
+                own = nodes.values.to_numpy(zero_copy_only=False)
+                up = {x: x for x in own.tolist()}
+                for a, x in spanning(own, np.arange(len(own)), of(values.values)):
+                    up[x] = up[a]  # a was reached before x
+                labels.append([up[x] for x in own.tolist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.list_(pa.int64()))], ["_key", "_part", "_parts", "_nodes", "_values", "_labels"])
+
+    def between_parts(batches):
+        for b in batches:
+            found = []
+            for la, va, lb, vb in zip(*b.columns):
+                labels = np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in (la, lb)])
+                found += spanning(labels, np.arange(len(labels)) >= len(la), of(pa.concat_arrays([va.values, vb.values])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    part = F.pmod(F.xxhash64("_node"), F.col("_parts"))
+    blocks = rows.groupBy("_key", part.alias("_part"), "_parts").agg(F.sort_array(F.collect_list(F.struct("_node", "_value"))).alias("_rows"))
+    blocks = blocks.select("_key", "_part", "_parts", F.col("_rows._node").alias("_nodes"), F.col("_rows._value").alias("_values"))
+    blocks = stored(blocks.mapInArrow(within_part, "_key long, _part long, _parts long, _nodes array<long>, _values array<array<long>>, _labels array<long>"))
+    own = blocks.select(F.explode(F.arrays_zip(F.col("_labels").alias("a"), F.col("_nodes").alias("b"))).alias("_link")).select("_link.*").where("a <> b")
+    several = blocks.where("_parts > 1")
+    first = several.where("_part < _parts - 1").select("_key", F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part") + 1, F.col("_parts") - 1)).alias("_j"), F.col("_labels").alias("la"), F.col("_values").alias("va"))
+    second = several.where("_part > 0").select("_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_part") - 1)).alias("_i"), F.col("_part").alias("_j"), F.col("_labels").alias("lb"), F.col("_values").alias("vb"))
+    pairs = first.hint("merge").join(second, ["_key", "_i", "_j"]).select("la", "va", "lb", "vb")
+    return own.union(pairs.mapInArrow(between_parts, "a long, b long"))
+
+
 def block_keys(print_: Column) -> Column:
     """Six buckets of a 64-bit fingerprint: two of its four blocks of 16 bits. Two changed bits leave one of them whole."""
     block = [F.shiftrightunsigned(print_, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
@@ -273,8 +345,7 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 47,
 
     64 bits are too few to tell a similarity of 0.8 from 0.6 and no 16-bit blocks survive that many changed bits, so
     fingerprints are wider here and buckets come from bands of least shingle hashes. A bucket with more than
-    BUCKET_LIMIT different texts is dealt into parts, each of which also holds the bucket's first text, so that copies
-    of one text meet through it; the other bands deal them otherwise.
+    BUCKET_LIMIT different texts is dealt into parts, and every two of its parts are compared whole.
     Null doc_id counts as the largest. Of rows that repeat, one stays. Documents without a word form one group.
     """
     node = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -283,13 +354,10 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 47,
     sketches = stored(sketched(marked.select("_node", "_id", "text"), size, words, bands, rows))
     nodes = sketches.groupBy("_node").agg(F.min("_id").alias("_least"), F.first("_print").alias("_print"), F.first("_keys").alias("_keys"))
     spread = nodes.select(F.explode("_keys").alias("_key"), "_node", "_print")
-    counts = stored(spread.groupBy("_key").agg(F.count("*").alias("_n"), F.min(F.struct("_node", "_print")).alias("_lead")).where("_n > 1"))
-    parts = F.ceil(F.col("_n") / BUCKET_LIMIT)
-    dealt = lambda part: F.when(F.col("_n") > BUCKET_LIMIT, F.xxhash64("_key", part)).otherwise(F.col("_key"))
-    found = spread.join(counts.select("_key", "_n"), "_key").select(dealt(F.pmod("_node", parts)).alias("_key"), "_node", "_print")
-    leads = counts.where(F.col("_n") > BUCKET_LIMIT).select("_key", "_n", "_lead", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
-    found = found.union(leads.select(dealt(F.col("_part")), "_lead._node", "_lead._print"))
-    links = bucket_links(found.repartition("_key").sortWithinPartitions("_key"), words, radius)
+    found = stored(shared_buckets(spread))
+    fit = found.where(F.col("_n") <= BUCKET_LIMIT).repartition("_key").sortWithinPartitions("_key")
+    hot = found.where(F.col("_n") > BUCKET_LIMIT).select("_key", F.least(F.ceil(F.col("_n") / BUCKET_LIMIT), F.lit(PARTS)).cast("long").alias("_parts"), "_node", F.col("_print").alias("_value"))
+    links = bucket_links(fit, words, radius).union(block_links(hot, near_prints(radius)))
     labels = components(links).withColumnRenamed("node", "_node")
     best = nodes.select("_node", "_least").join(labels, "_node", "left").withColumn("label", F.coalesce("label", "_node"))
     least = best.groupBy("label").agg(F.min(F.struct("_least", "_node")).alias("_first"))

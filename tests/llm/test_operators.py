@@ -193,6 +193,22 @@ def test_survivors(docs, none, monkeypatch, limit):
     assert simhash.survivors(none).count() == 0
 
 
+def test_copies_in_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_LIMIT", 8)
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes, bands, rows: np.arange(bands, dtype=np.uint64))  # every band is one bucket
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(6):  # six groups of eight near copies; at most one holds the bucket's least node
+        words = [f"g{group}w{k}" for k in rng.integers(0, 10**6, 400)]
+        for copy in range(8):
+            own = list(words)
+            own[10 * copy] = f"changed{copy}"
+            rows.append((10 * group + copy, " ".join(own)))
+    rows += [(1000 + i, " ".join(f"s{i}w{k}" for k in range(300))) for i in range(20)]
+    got = {r["doc_id"] for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.STAGE).collect()}
+    assert got == {10 * group for group in range(6)} | {1000 + i for i in range(20)}
+
+
 def test_mixing(docs, none):
     rows = mixing.reports(docs).collect()
     assert by_row(mixing.reports(docs)) == sorted(map(tuple, rows), key=repr) and mixing.reports(none).count() == 0
