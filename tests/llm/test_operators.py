@@ -209,6 +209,24 @@ def test_copies_in_a_hot_bucket(spark, monkeypatch):
     assert got == {10 * group for group in range(6)} | {1000 + i for i in range(20)}
 
 
+@pytest.mark.parametrize("limit", [8, 1024])
+def test_survivors_by_exact_similarity(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BUCKET_LIMIT", limit)
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(30):  # pages of one template that share 0.5 to 0.95 of their shingles
+        words = [f"f{family}w{k}" for k in range(400)]
+        for page in range(4):
+            own = [*words[: int(rng.uniform(270, 395))]]
+            rows.append((len(rows), " ".join(own + [f"p{len(rows)}w{k}" for k in range(400 - len(own))])))
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(t.split()) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in range(4):
+        group = [min(group[j] for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)) for a in sets]
+    got = {r["doc_id"] for r in simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.STAGE).collect()}
+    assert got == set(group)
+
+
 def test_mixing(docs, none):
     rows = mixing.reports(docs).collect()
     assert by_row(mixing.reports(docs)) == sorted(map(tuple, rows), key=repr) and mixing.reports(none).count() == 0
