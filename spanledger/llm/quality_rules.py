@@ -34,8 +34,6 @@ MAX_CHARACTER_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.25
 #: Words from which on a text's histograms are full enough to be held against them.
 MIN_JUDGED_WORDS = 100
-#: Languages with a reference of their own, the most frequent; further ones use that of all documents.
-MAX_LANGUAGES = 64
 N_CLASSES = 7
 N_COMMON = 13
 #: Repeated windows up to which positions are looked up among them; beyond, windows are sorted with their positions.
@@ -106,16 +104,20 @@ def measures() -> Column:
 
 
 def language_references(figures: DataFrame) -> DataFrame:
-    """Sums of all documents' histograms: a row for each of the MAX_LANGUAGES most frequent languages, and one with null.
+    """Sums of all documents' histograms: a row for each language, and one with null, which has those of all documents.
 
-    figures: lang, classes, common. The result is as small as that, whatever the input.
+    figures: lang, classes, common.
     """
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON)]
-    by_lang = figures.groupBy("lang").agg(F.count("*").alias("n"), *sums)
+    by_lang = stored(figures.groupBy("lang").agg(*sums))
     rows = F.struct(F.array(*[f"c{i}" for i in range(N_CLASSES)]).alias("classes"), F.array(*[F.coalesce(f"w{i}", F.lit(0)) for i in range(N_COMMON)]).alias("common"))
     every = by_lang.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(N_CLASSES)], *[F.lit(0).cast("long").alias(f"w{i}") for i in range(N_COMMON)])
-    top = by_lang.where("lang is not null").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    return top.select("lang", rows.alias("ref")).unionByName(every.select(F.lit(None).cast("string").alias("lang"), rows.alias("ref")))
+    return stored(by_lang.where("lang is not null").select("lang", rows.alias("ref")).unionByName(every.select(F.lit(None).cast("string").alias("lang"), rows.alias("ref"))))
+
+
+def with_reference(docs: DataFrame, references: DataFrame) -> DataFrame:
+    """docs with _reference, that of the row's language. Spark broadcasts the references if their files are small."""
+    return docs.join(references.select(F.col("lang").alias("_of"), F.col("ref").alias("_reference")), F.col("lang").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def js_distance(a: Column, b: Column) -> Column:
@@ -134,52 +136,37 @@ def js_distance(a: Column, b: Column) -> Column:
     return let(total(a), lambda n: let(total(b), lambda k: both(n, k)))
 
 
-def verdict(references: DataFrame):
-    """A function from a struct of figures to one of failed, character_distance, word_distance and kept.
-
-    The references are read first: MAX_LANGUAGES rows and one, which the plan holds as literals.
-    """
-    rows = {r["lang"]: r["ref"] for r in references.collect()}
-    longs = lambda x: F.array(*[F.lit(int(v or 0)).cast("long") for v in x])
-    known = sorted(k for k in rows if k is not None)
-
-    def find(what: str) -> Column:
-        if not known:
-            return F.lit(None).cast("array<bigint>")
-        return F.try_element_at(F.create_map(*[x for k in known for x in (F.lit(k), longs(rows[k][what]))]), F.coalesce("lang", F.lit("")))
-
-    def judge(q: Column) -> Column:
-        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-        characters = js_distance(q["classes"], F.coalesce(find("classes"), longs(rows[None]["classes"])))
-        words_ = let(find("common"), lambda own: F.when(q["common"].isNotNull() & own.isNotNull(), js_distance(q["common"], own)).otherwise(F.lit(0.0)))
-        found = F.struct(failed.alias("failed"), characters.alias("character_distance"), words_.alias("word_distance"))
-        far = lambda v: (v["character_distance"] > MAX_CHARACTER_DISTANCE) | (v["word_distance"] > MAX_WORD_DISTANCE)
-        kept = lambda v: ~v["failed"] & ~((q["n_words"] >= MIN_JUDGED_WORDS) & far(v))
-        return let(found, lambda v: F.struct(v["failed"].alias("failed"), v["character_distance"].alias("character_distance"), v["word_distance"].alias("word_distance"), kept(v).alias("kept")))
-
-    return judge
+def judge(q: Column) -> Column:
+    """From a struct of figures and the row's _reference: failed, character_distance, word_distance and kept."""
+    own = F.col("_reference")
+    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
+    characters = js_distance(q["classes"], own["classes"])
+    words_ = F.when(q["common"].isNotNull(), js_distance(q["common"], own["common"])).otherwise(F.lit(0.0))
+    found = F.struct(failed.alias("failed"), characters.alias("character_distance"), words_.alias("word_distance"))
+    far = lambda v: (v["character_distance"] > MAX_CHARACTER_DISTANCE) | (v["word_distance"] > MAX_WORD_DISTANCE)
+    kept = lambda v: ~v["failed"] & ~((q["n_words"] >= MIN_JUDGED_WORDS) & far(v))
+    return let(found, lambda v: F.struct(v["failed"].alias("failed"), v["character_distance"].alias("character_distance"), v["word_distance"].alias("word_distance"), kept(v).alias("kept")))
 
 
 def reports(docs: DataFrame) -> DataFrame:
     """The figures and the verdict of every document.
 
     docs: text and lang, each of which may be null, and any further columns, which return unless they clash with
-    the names of the result. Null or empty text has no word and fails the length rule; a language that is null or
-    without a reference is held against all documents; repeated rows return as often as they came; an empty table
+    the names of the result. Null or empty text has no word and fails the length rule; a language that is null
+    is held against all documents; repeated rows return as often as they came; an empty table
     returns none. Texts below MIN_WORDS words fail by length; those below
     MIN_JUDGED_WORDS are not held against a distribution.
     """
     narrow = stored(docs.select("doc_id", "lang", measures().alias("_q")))
-    judge = verdict(language_references(narrow.select("lang", "_q.classes", "_q.common")))
-    out = narrow.withColumn("_v", judge(F.col("_q")))
+    references = language_references(narrow.select("lang", "_q.classes", "_q.common"))
+    out = with_reference(narrow, references).withColumn("_v", judge(F.col("_q")))
     return out.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("_v.failed").alias("base_failed"), "_v.kept", F.round("_v.character_distance", 9).alias("character_distance"), F.round("_v.word_distance", 9).alias("word_distance"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs. Figures and verdict are one expression of a row."""
     references = language_references(docs.select("lang", measures().alias("_q")).select("lang", "_q.classes", "_q.common"))
-    judge = verdict(references)
-    return docs.where(let(measures(), lambda q: let(judge(q), lambda v: v["kept"])))
+    return with_reference(docs, references).where(let(measures(), lambda q: let(judge(q), lambda v: v["kept"]))).select(*docs.columns)
 
 
 def _sql() -> str:

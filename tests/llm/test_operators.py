@@ -266,6 +266,25 @@ def test_quality_rules(docs, none):
     assert got == want and quality_rules.reports(none).count() == 0 and quality_rules.kept(docs).columns == docs.columns
 
 
+def test_every_language_has_its_reference(spark):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(130))
+    rows = [(i, text("abcdefgh"), f"l{i % 70}") for i in range(140)] + [(200, text("бвгджзклмн"), "rare"), (201, text("abc"), ""), (202, text("abc"), None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.reports(documents).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    found = con.execute(quality_rules.SQL)
+    names = [d[0] for d in found.description]
+    for row in map(lambda r: dict(zip(names, r)), found.fetchall()):
+        own = got[row["doc_id"]]
+        assert own["kept"] == row["kept"] and abs(own["character_distance"] - row["character_distance"]) < 1e-8 and abs(own["word_distance"] - row["word_distance"]) < 1e-8
+    assert got[200]["kept"] and 200 in {r["doc_id"] for r in quality_rules.kept(documents).collect()}
+
+
 def test_verdicts_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality_rules.reports(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
