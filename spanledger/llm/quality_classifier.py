@@ -29,8 +29,6 @@ LEAST = 3
 DISTINCT = 4.5
 STEPS = 80
 RIDGE = 1e-3
-#: Words of a text of the sample that training looks at (scoring sees whole texts), so the sample stays bounded.
-SAMPLE_WORDS = 4096
 #: Weight of the place's log-odds, and the least and most pseudo-documents that a group is shrunk by.
 PLACE = 0.5
 PRIOR = (1.0, 1e6)
@@ -39,10 +37,10 @@ _SHAPE = bytes(ord("A") if 65 <= c < 91 else ord("a") if 97 <= c < 123 or c > 12
 _REPEAT = re.compile(rb"(.)\1+", re.S)
 
 
-def features(text: str | None, most: int | None = None) -> np.ndarray:
+def features(text: str | None) -> np.ndarray:
     """Distinct hashed features: lower-case words without stops around them, and shapes of words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    ws = raw.split()[:most]
+    ws = raw.split()
     crc = zlib.crc32
     found = {crc(w.lower().strip(b".,;:!?'\"()")) % FEATURES for w in ws}
     found |= {crc(b"\0" + _REPEAT.sub(rb"\1\1", w.translate(_SHAPE))) % FEATURES for w in set(ws)}
@@ -87,13 +85,13 @@ def fitted(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> Cl
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """A classifier from at most ``sample`` labelled documents. Rows of labels with a null have no say."""
+    """A classifier from the whole texts of at most ``sample`` labelled documents, FEATURES numbers each at most. Rows of labels with a null have no say."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
         for b in batches:
-            rows = [features(x.as_py(), SAMPLE_WORDS) for x in b.column(0)]
+            rows = [features(x.as_py()) for x in b.column(0)]
             ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int32))), b.column(1), b.column(2)], ["f", "quality", "toxic"])
 

@@ -379,3 +379,11 @@ def test_quality_classifier(spark, none):
     nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     small = spark.createDataFrame(ROWS, SCHEMA)
     assert quality_classifier.reports(none, nothing).count() == 0 and quality_classifier.reports(small, nothing).count() == len(ROWS)
+
+
+def test_labels_of_long_texts(spark):
+    texts = ["calm " * 4200 + ("poison" if i % 2 else "water") for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    fitted = quality_classifier.fit(docs, labels)
+    assert fitted.evidence(texts[1])[1] > 0 > fitted.evidence(texts[0])[1]
