@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the word rules of this package know it, for Java and RE2 regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset, as in local tests, a
-    temporary folder stands in. What this session has written there goes when the driver's Python ends.
+    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset and the session is local, as in
+    tests, a temporary folder stands in. What this session has written there goes when the driver's Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spanledger-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/spanledger-{uuid.uuid4().hex}"
@@ -49,6 +52,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, *own: str):
+    """docs with all columns but ``own`` renamed, so that none clashes with an operator's, and what names them back."""
+    names = docs.columns
+    inner = [n if n in own else f"x{i}" for i, n in enumerate(names)]
+    return docs.toDF(*inner), lambda df: df.select(*[F.col(a).alias(b) for a, b in zip(inner, names)])
+
+
+def place_of(doc_id: Column, docs: DataFrame) -> Column:
+    """A key that orders rows as doc_id does, null last: a long for whole numbers, else text."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
+    return F.coalesce(F.concat(F.lit("0"), doc_id.cast("string")), F.lit("1"))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of anything but ASCII white space; null text has none."""
     return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D]", " "), " "), "")

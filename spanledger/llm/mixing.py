@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import numbered, stored, uniform, words
+from spanledger.llm.common import numbered, shielded, stored, uniform, words
 
 #: Weights of the sources in code point order, again and again; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -45,11 +45,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return df.withColumn("_target", F.least(F.col("_total") * most, F.col("_weight") * F.lit(float(level)))).drop("_weight")
 
 
-def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED, ties: tuple[str, ...] = ()) -> DataFrame:
     """docs, which have doc_id, source and _size, with _total and _target of the source, and _copies.
 
     Null is a source like any other; documents without a word have size 0 and are dealt copies as others are; an
-    empty table gives none. Repeated rows are documents of their own. Equal input and seed give equal results.
+    empty table gives none. Repeated rows are documents of their own, and those of one doc_id come in the order of the
+    columns ``ties``. Long texts are counted whole. Equal input and seed give equal results. docs may have further
+    columns if ``shielded`` has named them.
     """
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     tie = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N"))).cast("binary"))
@@ -62,7 +64,7 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     of_size = of_size.join(sources, "_key")
     of_bucket = counts.select("_key", "_size", "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy("_key", "_size").orderBy("_bucket").rowsBetween(*upto)), F.lit(0)).alias("_earlier"))
     base = of_bucket.join(of_size, ["_key", "_size"]).select("_key", "_size", "_bucket", (F.col("_smaller") + F.col("_earlier")).alias("_base"), "_total", "_target")
-    own = F.row_number().over(Window.partitionBy("_key", "_size", "_bucket").orderBy("_tie", "doc_id"))
+    own = F.row_number().over(Window.partitionBy("_key", "_size", "_bucket").orderBy("_tie", "doc_id", *ties))
     out = rows.withColumn("_own", own).join(base, ["_key", "_size", "_bucket"])
     step = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(F.lit(0.0))
     offset, rank = uniform(F.lit(seed), F.col("_key")), F.col("_base") + F.col("_own")
@@ -71,15 +73,24 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def reports(docs: DataFrame) -> DataFrame:
-    """Of every document its size, its source's size and target, and the words that the mix takes of it."""
+    """Of every document its size, its source's size and target, and the words that the mix takes of it; see mixed.
+
+    Columns of docs other than doc_id, source and text are not read.
+    """
     narrow = stored(docs.select("doc_id", "source", sizes(F.col("text")).alias("_size")))
     return mixed(narrow).select("doc_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    out = mixed(docs.withColumn("_size", sizes(F.col("text")))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever they are named.
+
+    Null and blank texts have size 0 and are dealt copies as others are; rows that share a doc_id are ordered by all
+    their columns, so that reruns take the same ones; see mixed.
+    """
+    inner, named = shielded(docs, "doc_id", "source", "text")
+    rows = inner.withColumn("_size", sizes(F.col("text"))).withColumn("_row", F.xxhash64(*inner.columns))
+    out = mixed(rows, ties=("_row",)).where("_copies > 0")
+    return named(out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
 
 
 SQL = f"""

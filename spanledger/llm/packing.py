@@ -26,8 +26,9 @@ GRAIN = 16
 GAP = 1e-3
 ROUNDS = 4000
 END = 1
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, and characters of the longest of them; others are encoded each time.
 REMEMBERED = 400_000
+LONGEST = 48
 # The tokenizer's pattern, and its white space (Unicode White_Space).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = "\t-\r \x85\xa0  -     　"
@@ -59,9 +60,11 @@ class Ids(dict):
                 raise ValueError(f"{path} is not a byte-level BPE of this pattern")
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        ids = self[word] = np.array(self.encoding.encode_ordinary(word), "<u4").tobytes()
+        ids = np.array(self.encoding.encode_ordinary(word), "<u4").tobytes()
+        if len(word) <= LONGEST:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import let, stored, words
+from spanledger.llm.common import let, shielded, stored, words
 
 # Frequent function words of the languages judged by word use.
 COMMON_WORDS = {
@@ -151,11 +151,10 @@ def judge(q: Column) -> Column:
 def reports(docs: DataFrame) -> DataFrame:
     """The figures and the verdict of every document.
 
-    docs: text and lang, each of which may be null, and any further columns, which return unless they clash with
-    the names of the result. Null or empty text has no word and fails the length rule; a language that is null
-    is held against all documents; repeated rows return as often as they came; an empty table
-    returns none. Texts below MIN_WORDS words fail by length; those below
-    MIN_JUDGED_WORDS are not held against a distribution.
+    docs: doc_id, text and lang, each of which may be null; further columns are not read. Null or empty text has no
+    word and fails the length rule; long texts are judged whole; a language that is null is held against all documents;
+    repeated rows count and return as often as they came; an empty table gives none. Texts below MIN_WORDS words fail by
+    length; those below MIN_JUDGED_WORDS are not held against a distribution; a distance of just the limit is kept.
     """
     narrow = stored(docs.select("doc_id", "lang", measures().alias("_q")))
     references = language_references(narrow.select("lang", "_q.classes", "_q.common"))
@@ -164,9 +163,14 @@ def reports(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs. Figures and verdict are one expression of a row."""
-    references = language_references(docs.select("lang", measures().alias("_q")).select("lang", "_q.classes", "_q.common"))
-    return with_reference(docs, references).where(let(measures(), lambda q: let(judge(q), lambda v: v["kept"]))).select(*docs.columns)
+    """The rows of docs that the rules keep, with the columns of docs, whatever they are named; see reports.
+
+    Figures are worked out once, and written beside the rows: the references and the verdicts read them there.
+    """
+    inner, named = shielded(docs, "lang", "text")
+    rows = stored(inner.withColumn("_q", measures()))
+    references = language_references(rows.select("lang", "_q.classes", "_q.common"))
+    return named(with_reference(rows, references).where(let(judge(F.col("_q")), lambda v: v["kept"])))
 
 
 def _sql() -> str:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import stored
+from spanledger.llm.common import place_of, shielded, stored
 
 #: Distinct fingerprints in a bucket from which on all fingerprints within one flipped bit meet instead of pairs.
 BUCKET_LIMIT = 1024
@@ -398,11 +398,12 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 56,
     BUCKET_LIMIT different texts is dealt into parts, and every two of its parts are compared whole.
     What fingerprints link is a candidate alone: among documents that such links join, the exact similarity of the
     shingle sets decides, and the groups are what pairs that are SIMILAR enough join.
-    Null doc_id counts as the largest. Of rows that repeat, one stays. Documents without a word form one group.
+    Null doc_id counts as the largest; doc_id may be of any type that has an order. Of rows that repeat, one stays, and
+    of rows with one doc_id and one text any. Null, empty and blank texts form one group; long texts are compared whole;
+    an empty table gives none; further columns return, whatever they are named.
     """
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    marked = docs.withColumn("_node", node).withColumn("_id", number)
+    inner, named = shielded(docs, "doc_id", "text")
+    marked = inner.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", place_of(F.col("doc_id"), inner))
     sketches = stored(sketched(marked.select("_node", "_id", "text"), size, words, bands, rows))
     nodes = sketches.groupBy("_node").agg(F.min("_id").alias("_least"), F.first("_print").alias("_print"), F.first("_keys").alias("_keys"))
     spread = nodes.select(F.explode("_keys").alias("_key"), "_node", "_print")
@@ -417,4 +418,4 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, radius: int = 56,
     least = best.groupBy("label").agg(F.min(F.struct("_least", "_node")).alias("_first"))
     keep = least.select(F.col("_first")["_node"].alias("_node"), F.col("_first")["_least"].alias("_id"))
     once = Window.partitionBy("_node", "_id").orderBy("_node")
-    return marked.join(keep, ["_node", "_id"]).withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*docs.columns)
+    return named(marked.join(keep, ["_node", "_id"]).withColumn("_nth", F.row_number().over(once)).where("_nth = 1"))

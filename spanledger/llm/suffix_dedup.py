@@ -5,8 +5,11 @@ same least piece at the same place. Neighbouring starts with the same piece are
 its strings) is hashed too. So counts of (piece, context) settle most runs without their bytes: a piece that occurs
 once has no equal string; one with a single context that repeats is a copy throughout. Only pieces with several
 contexts need bytes, one copy of each context. A suffix array over those orders all their strings; strings that agree
-in ``length`` bytes are neighbours there, and the previous and next smaller positions among neighbours say whether one
-starts earlier (longest previous factor) or anywhere else.
+in ``length`` bytes are neighbours there, and the previous and next smaller positions among neighbours say where one
+starts earlier (longest previous factor); a string has another equal one if it has an earlier one or is one.
+
+Contexts count as equal if a polynomial over 2^64 and another modulo a prime agree, mixed into 64 bits, and their
+pieces' hashes too: 128 bits of two kinds, of which the second has no weak texts.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import stored
+from spanledger.llm.common import place_of, shielded, stored
 from spanledger.llm.simhash import mix
 
 LENGTH = 200
@@ -33,27 +36,46 @@ STRIDES = (32, 8, 2, 1)
 _PLACE = np.uint64((1 << 21) - 1)
 _TABLE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: A Mersenne prime and a base for the second polynomial; products of two residues fit in 64 bits.
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 1_220_703_125
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
     out = np.ones(n, np.uint64)
-    step, k = base & 0xFFFFFFFFFFFFFFFF, 1
+    step, k = base % modulus, 1
     while k < n:
         out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(step)
-        step, k = step * step & 0xFFFFFFFFFFFFFFFF, 2 * k
+        if modulus < 1 << 64:
+            out[k : 2 * k] %= np.uint64(modulus)
+        step, k = step * step % modulus, 2 * k
     return out
 
 
 _POWERS: list[np.ndarray] = []
 
 
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the bytes' polynomial modulo 2^64, and the inverse powers that make differences comparable."""
-    if not _POWERS or len(_POWERS[0]) < len(data) + 1:
-        _POWERS[:] = [_powers(_BASE, len(data) + CHUNK), _powers(pow(_BASE, -1, 1 << 64), len(data) + CHUNK)]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _POWERS[0][: len(data)], out=sums[1:])
-    return sums, _POWERS[1]
+class Prefix:
+    """Sums of two polynomials over the bytes before each place; differences times inverse powers are hashes of stretches."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if not _POWERS or len(_POWERS[0]) < n + 1:
+            _POWERS[:] = [_powers(b, n + CHUNK, m) for b, m in ((_BASE, 1 << 64), (pow(_BASE, -1, 1 << 64), 1 << 64), (_PRIME_BASE, _PRIME), (pow(_PRIME_BASE, -1, _PRIME), _PRIME))]
+        self.sums, self.second = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLE[data] * _POWERS[0][:n], out=self.sums[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[2][:n], out=self.second[1:])  # under 2^39 a byte
+
+    def pieces(self) -> np.ndarray:
+        """The hash of the piece at each place."""
+        n = len(self.sums) - PIECE
+        return mix((self.sums[PIECE:] - self.sums[:-PIECE]) * _POWERS[1][: max(n, 0)], 0)
+
+    def stretches(self, i: np.ndarray, j: np.ndarray, salt: int) -> np.ndarray:
+        """Hashes of the bytes from places i up to j, and of how many those are."""
+        one = (self.sums[j] - self.sums[i]) * _POWERS[1][i]
+        two = (self.second[j] - self.second[i]) % np.uint64(_PRIME) * _POWERS[3][i] % np.uint64(_PRIME)
+        return mix(mix(one + (j - i).astype(np.uint64), salt) ^ two, salt)
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -62,8 +84,8 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     n = len(data) - length + 1
     if n <= 0:
         return empty
-    sums, inverse = _prefix(data)
-    pieces = mix((sums[PIECE:] - sums[:-PIECE]) * inverse[: len(data) - PIECE + 1], 0)
+    prefix = Prefix(data)
+    pieces = prefix.pieces()
     span = length - PIECE + 1
     least = (pieces & ~_PLACE) | np.arange(len(pieces), dtype=np.uint64)
     width = 1
@@ -83,7 +105,7 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     cuts = np.flatnonzero(new | ~valid)
     after = np.searchsorted(cuts, low, side="right")
     high = np.where(after < len(cuts), cuts[np.minimum(after, len(cuts) - 1)], n) - 1
-    context = mix((sums[high + length] - sums[low]) * inverse[low] + (high - low).astype(np.uint64), 1)
+    context = prefix.stretches(low, high + length, 1)
     owner = text[low]
     return owner, low - begins[owner], high - begins[owner], pieces[at[low]].view(np.int64), context.view(np.int64)
 
@@ -97,18 +119,18 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with the key of a row: hashes of its text and of its id. Rows that agree in both count as repeats."""
-    return docs.withColumn("_k1", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_k2", F.xxhash64("doc_id")).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    return docs.withColumn("_k1", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_k2", F.xxhash64("doc_id")).withColumn("_id", place_of(F.col("doc_id"), docs))
 
 
 def all_runs(docs: DataFrame, length: int) -> DataFrame:
     """Runs of all texts: _k1, _k2, _id of the row, lo, hi, piece, context."""
+    kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             data, offsets = _buffers(b.column(3))
-            keys = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             i = 0
-            while i < len(keys[0]):
+            while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
                 found = []
                 if offsets[j] - offsets[i] <= CHUNK + length:
@@ -119,11 +141,11 @@ def all_runs(docs: DataFrame, length: int) -> DataFrame:
                         found.append((at - int(offsets[i]), runs(part, np.array([len(part)]), length)))
                 for shift, (owner, low, high, piece, context) in found:
                     if len(owner):
-                        yield pa.RecordBatch.from_arrays([*(pa.array(k[i + owner]) for k in keys), pa.array(low + shift), pa.array(high + shift), pa.array(piece), pa.array(context)], ["_k1", "_k2", "_id", "lo", "hi", "piece", "context"])
+                        yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(i + owner)) for k in range(3)), pa.array(low + shift), pa.array(high + shift), pa.array(piece), pa.array(context)], ["_k1", "_k2", "_id", "lo", "hi", "piece", "context"])
                 i = j
 
     rows = docs.where(F.octet_length("text") >= length).select("_k1", "_k2", "_id", "text")
-    return rows.mapInArrow(run, "_k1 long, _k2 long, _id long, lo long, hi long, piece long, context long")
+    return rows.mapInArrow(run, f"_k1 long, _k2 long, _id {kind}, lo long, hi long, piece long, context long")
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,21 +173,26 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
 def previous_factors(order: np.ndarray, same: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each string whether an equal one has a smaller place, and whether there is any other equal one.
 
-    Within a stretch of equal strings in suffix order, the least place before and after one is its previous and next
-    smaller position; the longest previous factor reaches the length exactly if either is smaller than its own.
+    Within a stretch of equal strings in suffix order, the least place before and after one is a previous or next
+    smaller position; the longest previous factor reaches the length exactly if either is smaller than its own. Each
+    string that has none is found by those that come later: it is the smaller position that they agree with.
     """
+    if not len(place):
+        return np.empty(0, bool), np.empty(0, bool)
     group = np.cumsum(~same) - 1
     rank = np.empty(len(place), np.int64)
     rank[np.argsort(place, kind="stable")] = np.arange(len(place))
     own = rank[order]
     big = len(place) + 1
     before = np.minimum.accumulate(own - group * big) + group * big
-    back = (group[-1] - group[::-1]) if len(group) else group
+    back = group[-1] - group[::-1]
     after = (np.minimum.accumulate(own[::-1] - back * big) + back * big)[::-1]
-    smaller = np.minimum(before, after) < own
-    size = np.bincount(group, minlength=group[-1] + 1 if len(group) else 0)[group]
+    found = np.minimum(before, after)
+    smaller = found < own
+    source = np.zeros(len(place), bool)
+    source[found[smaller]] = True  # by rank
     earlier, other = np.empty(len(place), bool), np.empty(len(place), bool)
-    earlier[order], other[order] = smaller, size > 1
+    earlier[order], other[order] = smaller, smaller | source[own]
     return earlier, other
 
 
@@ -185,7 +212,6 @@ def compared(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """
 
     def block(rows):
-        rows = list({r[:2]: r for r in rows}.values())  # rows of docs that repeat bring their contexts again
         data = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows])
         sizes = np.array([len(r[5]) for r in rows])
         first = np.cumsum(sizes) - sizes
@@ -195,7 +221,7 @@ def compared(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
         order, same = suffix_order(data, first[owner] + offset, length)
         # the order of places: id, then position, for context copies that come first
         low = np.array([r[3] for r in rows])
-        ids = np.array([r[2] for r in rows])
+        ids = np.unique([r[2] for r in rows], return_inverse=True)[1]
         by = np.lexsort((offset + low[owner], ids[owner]))
         place = np.empty(len(owner), np.int64)
         place[by] = np.arange(len(owner))
@@ -245,11 +271,9 @@ def split_context(data: np.ndarray, piece: int, low: int, length: int) -> list[d
     All bytes that the strings of a whole block would share name it, so equal strings lie in blocks of equal names;
     two blocks of one name whose strings are the same in all bytes agree in ``same`` too.
     """
-    sums, inverse = _prefix(data)
+    prefix = Prefix(data)
     k = len(data) - length + 1
-    part = lambda i, j: mix((sums[j] - sums[i]) * inverse[i], 2)
-    pieces = mix((sums[PIECE:] - sums[:-PIECE]) * inverse[: len(data) - PIECE + 1], 0)
-    at = int(np.argmax(pieces.view(np.int64) == piece))
+    at = int(np.argmax(prefix.pieces().view(np.int64) == piece))
     below: list[dict] = []
     starts: list[int] = []
     for width in reversed(STRIDES):
@@ -257,8 +281,8 @@ def split_context(data: np.ndarray, piece: int, low: int, length: int) -> list[d
         edges = np.flatnonzero(np.diff(blocks, prepend=blocks[0] + 1))
         last = np.append(edges[1:], k) - 1
         begin = at - width * blocks[edges]
-        name = (part(begin, begin + length - width + 1) + blocks[edges].astype(np.uint64)).view(np.int64).tolist()
-        same = (part(edges, last + length) + (last - edges).astype(np.uint64)).view(np.int64).tolist()
+        name = (prefix.stretches(begin, begin + length - width + 1, 2) + blocks[edges].astype(np.uint64)).view(np.int64).tolist()
+        same = prefix.stretches(edges, last + length, 2).view(np.int64).tolist()
         rows = [{"lo": low + x, "hi": low + y, "name": n, "same": m} for x, y, n, m in zip(edges.tolist(), last.tolist(), name, same)]
         if below:
             cuts = np.searchsorted(starts, edges.tolist() + [k]).tolist()
@@ -274,14 +298,13 @@ def counted(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     Blocks whose name occurs once are done, and so are names whose blocks agree in all bytes; the parts of the others
     are counted in turn, down to single strings. Counts are summed before the exchange, so no group is large.
     """
-    fields = f"piece long, context long, _id long, n long, parts {_parts(len(STRIDES) - 1)}"
+    fields = f"piece long, context long, _id {contexts.schema['_id'].dataType.simpleString()}, n long, parts {_parts(len(STRIDES) - 1)}"
 
     def run(batches):
-        kinds = [pa.int64()] * 4 + [_arrow(len(STRIDES) - 1)]
         for b in batches:
-            piece, context, id_, low, n, raw = (b.column(c).to_pylist() for c in ("piece", "context", "_id", "lo", "n", "bytes"))
+            piece, low, raw = (b.column(c).to_pylist() for c in ("piece", "lo", "bytes"))
             parts = [split_context(np.frombuffer(r, np.uint8), p, at, length) for r, p, at in zip(raw, piece, low)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((piece, context, id_, n, parts), kinds)], ["piece", "context", "_id", "n", "parts"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("piece", "context", "_id", "n")), pa.array(parts, _arrow(len(STRIDES) - 1))], ["piece", "context", "_id", "n", "parts"])
 
     rows = contexts.mapInArrow(run, fields)
     out = None
@@ -298,11 +321,15 @@ def counted(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
 
 def with_bytes(contexts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """contexts (piece, context, n, _k1, _k2, _id, lo, hi) with the bytes of each: all strings that start from lo to hi."""
+    """contexts (piece, context, n, _k1, _k2, _id, lo, hi) with the bytes of each: all strings that start from lo to hi.
+
+    Rows of docs that repeat bring their contexts again; one of each is left.
+    """
     lists = contexts.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("piece", "context", "_id", "lo", "hi", "n")).alias("_runs"))
     texts = docs.select("_k1", "_k2", F.col("text").cast("binary").alias("_bytes"))
     each = texts.join(lists, ["_k1", "_k2"]).select("_bytes", F.explode("_runs").alias("r"))
-    return each.select("r.piece", "r.context", "r._id", "r.lo", "r.n", F.substring(F.col("_bytes"), (F.col("r.lo") + 1).cast("int"), (F.col("r.hi") - F.col("r.lo") + length).cast("int")).alias("bytes"))
+    parts = each.select("r.piece", "r.context", "r._id", "r.lo", "r.n", F.substring(F.col("_bytes"), (F.col("r.lo") + 1).cast("int"), (F.col("r.hi") - F.col("r.lo") + length).cast("int")).alias("bytes"))
+    return parts.groupBy("piece", "context").agg(*[F.first(c).alias(c) for c in ("_id", "lo", "n", "bytes")])
 
 
 def marked(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -310,7 +337,8 @@ def marked(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> D
 
     keep_first: a string goes if an equal one starts earlier, in a row with a smaller doc_id or before it in its text.
     Else it goes if an equal one starts anywhere else. Null text counts as empty; null doc_id comes last; rows that
-    repeat another wholly share one place, so with keep_first none of them loses bytes to the other.
+    repeat another wholly share one place, so with keep_first none of them loses bytes to the other. Long texts are
+    worked on by stretches of starts and lose nothing by it; an empty table gives none.
     """
     found = stored(all_runs(docs, length))
     shared = found.groupBy("piece").agg(F.count("*").alias("_n"), F.min("context").alias("_a"), F.max("context").alias("_b")).where("_n > 1")
@@ -327,7 +355,7 @@ def marked(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> D
     first = (F.col("first")["_id"] == F.col("_id")) & (F.col("first")["lo"] == F.col("lo")) & (F.col("first")["_k1"] == F.col("_k1")) & (F.col("first")["_k2"] == F.col("_k2"))
     own = F.when(~first, whole).when(F.col("solid"), F.lit(None) if keep_first else whole).otherwise(F.col("ranges"))
     gone = shared.drop("solid").join(verdicts, ["piece", "context"]).select("_k1", "_k2", own.alias("_own")).where("_own is not null")
-    lists = gone.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("_own")).alias("_ranges"))
+    lists = gone.groupBy("_k1", "_k2").agg(F.flatten(F.collect_set("_own")).alias("_ranges"))  # a set: repeated rows bring equal ranges
     return docs.join(lists, ["_k1", "_k2"], "left")
 
 
@@ -359,8 +387,10 @@ def reports(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs without later copies of strings of ``length`` bytes: the first copy stays. n_chars, if there, follows the text.
 
-    A character that a cut divides goes wholly, and so do texts of which nothing is left.
+    A character that a cut divides goes wholly, and so do texts of which nothing is left. Columns of docs may have any
+    names; see marked.
     """
+    docs, named = shielded(docs, "doc_id", "text", "n_chars")
     rows = marked(keyed(docs), length, keep_first=True)
     names = docs.columns
     rows = rows.select(*[F.col("text").cast("binary").alias("text") if c == "text" else F.col(c) for c in names], "_ranges")
@@ -378,4 +408,4 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept = pa.array([t != "" or r is None for t, r in zip(texts, b.column(len(names)).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
 
-    return rows.mapInArrow(run, fields)
+    return named(rows.mapInArrow(run, fields))
