@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample, every vector goes into a leaf of it, and a query opens nodes from a priority
 queue, nearest centre first, until it has seen enough leaves. How many are enough is read off a set of calibration
 queries whose neighbours are found by comparison with every vector: visits widen until the wanted recall is reached.
-Inner products become distances by one more component, which brings every vector to the largest norm.
+Inner products become distances by one more component, which brings every vector to the largest norm; a query's is 0.
 """
 
 from __future__ import annotations
@@ -61,14 +61,15 @@ class Tree:
             todo += [(child, rows[near == k]) for k, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves that a query opens, best bin first."""
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that a query opens, best bin first: ``most``, and on until they hold ``least`` vectors."""
         far = (((self.centres - q) ** 2).sum(1)).tolist()
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, seen = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or seen < least):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(int(self.leaf[node]))
+                seen += int(held[self.leaf[node]]) if held is not None else 0
             for child in self.children[node]:
                 heapq.heappush(queue, (far[child], child))
         return out
@@ -131,6 +132,11 @@ def _raised(x: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(norm - (x**2).sum(1, keepdims=True), 0))], 1)
 
 
+def _asked(q: np.ndarray) -> np.ndarray:
+    """Queries among raised vectors: the nearest of those have the largest inner product with them."""
+    return np.concatenate([q, np.zeros((len(q), 1))], 1)
+
+
 def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query the k rows of the largest inner product but its own: places, ids and scores, exactly ordered.
 
@@ -167,7 +173,7 @@ def calibrated(rows: DataFrame, tree: Tree, probes: tuple[np.ndarray, np.ndarray
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(near), pa.array(score), pa.array(leaves[at])], ["query_id", "vec_id", "score", "leaf"])
 
     found = _top(rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
-    visits = [{leaf: n for n, leaf in enumerate(tree.visits(v, len(tree.bins)), 1)} for v in _raised(probes[1], norm)]
+    visits = [{leaf: n for n, leaf in enumerate(tree.visits(v, len(tree.bins)), 1)} for v in _asked(probes[1])]
     needed = np.sort([visits[r[0]][r[1]] for r in found])
     if not len(needed):
         return len(tree.bins), 1.0
@@ -179,8 +185,9 @@ def neighbours(rows: DataFrame, every: int = 20, k: int = NEIGHBOURS, recall: fl
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id ``every`` divides, among all others.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
-    than most, nor rows without an id. Rows that share a query's vec_id count as its own. Ties go to the smaller
-    vec_id; an empty table gives none; columns other than vec_id and embedding are not read.
+    than most, nor rows without an id. Rows that share a query's vec_id count as its own, and each row that repeats is a
+    query or candidate of its own. A query opens leaves until they hold k rows besides one of its own. Ties go to the
+    smaller vec_id; an empty table gives none; columns other than vec_id and embedding are not read.
     """
     spark = rows.sparkSession
     rows = stored(usable(rows).withColumn("_h", F.xxhash64("id")))
@@ -192,18 +199,18 @@ def neighbours(rows: DataFrame, every: int = 20, k: int = NEIGHBOURS, recall: fl
     tree = grown(_raised(vectors, norm))
     probes = (picked.column("id").to_numpy()[:PROBES], vectors[:PROBES])
     most, _ = calibrated(rows, tree, probes, norm, recall, k)
-    shared = spark.sparkContext.broadcast(tree)
+    planted = spark.sparkContext.broadcast(tree)
 
     def leaves(batches):
         for b in batches:
             if b.num_rows:
-                leaf = shared.value.assign(_raised(_matrix(b.column(1)), norm))
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value.bins[leaf]), pa.array(leaf), *b.columns], ["bin", "leaf", "id", "v"])
+                leaf = planted.value.assign(_raised(_matrix(b.column(1)), norm))
+                yield pa.RecordBatch.from_arrays([pa.array(planted.value.bins[leaf]), pa.array(leaf), *b.columns], ["bin", "leaf", "id", "v"])
 
     def opened(batches):
         for b in batches:
-            own = shared.value
-            rows = [(int(i), at) for at, v in enumerate(_raised(_matrix(b.column(1)), norm)) for i in own.visits(v, most)] if b.num_rows else []
+            own, held = shared.value
+            rows = [(int(i), at) for at, v in enumerate(_asked(_matrix(b.column(1)))) for i in own.visits(v, most, held, k + 1)] if b.num_rows else []
             by: dict[tuple[int, int], list[int]] = {}
             for leaf, at in rows:
                 by.setdefault((int(own.bins[leaf]), at), []).append(leaf)
@@ -212,6 +219,10 @@ def neighbours(rows: DataFrame, every: int = 20, k: int = NEIGHBOURS, recall: fl
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in by], pa.int64()), pa.array(list(by.values()), pa.list_(pa.int64())), b.column(0).take(at), b.column(1).take(at)], ["bin", "leaves", "id", "v"])
 
     index = stored(rows.select("id", "v").mapInArrow(leaves, "bin long, leaf long, id long, v array<double>"))
+    held = np.zeros(len(tree.bins), np.int64)
+    for leaf, n in index.groupBy("leaf").count().collect():  # a row for each leaf of the tree
+        held[leaf] = n
+    shared = spark.sparkContext.broadcast((tree, held))
     asked = stored(rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(opened, "bin long, leaves array<long>, id long, v array<double>"))
     # Parts of each bin: as many as its rows and its queries need. The table has a row for each bin of the tree.
     sizes = index.groupBy("bin").agg(F.ceil(F.count("*") / PART).alias("_parts")).join(asked.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_PART).alias("_sets")), "bin")
