@@ -1,15 +1,16 @@
-"""Masked pseudo-likelihood: a network sees the neighbours on both sides of a masked token and predicts it.
-
-A token is a word: one of the most frequent, or a bucket of the rarer ones. Its probability is that of its class given
-the classes left and right of it, which a small network gives, times its share of the class. The training objective
-needs no more of the corpus than how often each (left, class, right) occurs, and that is counted over every token of
-every document; so training by full gradients sees the whole corpus, while its cost and memory depend on the number of
-classes alone. A document's score is the sum over its tokens of the log-probability given both sides.
+"""Masked pseudo-likelihood: a network sees the words on both sides of a masked word and predicts it.
+
+A token is a word: one of the most frequent, or a bucket of the rarer ones. The network embeds the tokens of a window,
+puts them through one hidden layer, and gives the probability of the token's class and of the token in its class (a
+softmax in two steps, over all tokens). A rare word's probability is its bucket's times its share of the bucket, from
+a table of all words' counts that is joined by the word and grows with the corpus. Training goes over every
+document: each task walks through its own with a copy of the network, and the copies are averaged row by row, each
+with the weight of what it has seen. A document's score is the sum over its tokens of the log-probability given both
+sides.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -18,22 +19,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most frequent words that are tokens of their own, buckets for all others, and classes of tokens.
-VOCABULARY = 8192
-BUCKETS = 1024
-CLASSES = 96
-#: Classes of the buckets; class 0 stands for the edge of a text.
-RARE = 16
-WIDTH = 32
-STEPS = 100
+from spanledger.llm.common import stored
+
+#: The most frequent words that are tokens of their own, buckets for all others (a power of two), classes of tokens.
+VOCABULARY = 4096
+BUCKETS = 512
+CLASSES = 64
+#: Tokens on each side, numbers that embed a token, hidden units.
+SIDE = 2
+WIDTH = 24
+HIDDEN = 32
+#: One token in so many is masked and predicted in training, in every document; scoring predicts each.
+MASKED = 4
+#: Targets of a step, its rate, tokens that a task holds before it trains on them, and tokens that are scored at once.
+STEP = 1024
+RATE = 0.3
+CHUNK = 1 << 16
+BATCH = 1 << 13
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 300_000
+#: Count of a word that the corpus of the model does not have.
+UNSEEN = 0.5
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def word_hash(word: bytes) -> int:
+    """What Spark's xxhash64 gives, as a signed number."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (bytes), n: over all texts."""
 
@@ -57,137 +77,282 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Tokens:
-    """Words to tokens and tokens to classes."""
+    """Words to tokens, which are numbered class by class; behind them the edge of a text."""
 
     known: dict[bytes, int]
-    buckets: int
-    classes: np.ndarray
+    of_bucket: np.ndarray  # the token of each bucket
+    starts: np.ndarray  # the first token of each class, and their number
+    counts: np.ndarray  # of each token
+    bucket_mass: np.ndarray
+
+    @property
+    def edge(self) -> int:
+        return int(self.starts[-1])
+
+    def __call__(self, ws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Tokens, and the hashes of the rare words among them in their order."""
+        known, of, rare = self.known, self.of_bucket, []
+        out = np.empty(len(ws), np.int32)
+        last = len(of) - 1
+        for i, w in enumerate(ws):
+            t = known.get(w, -1)
+            if t < 0:
+                h = word_hash(w)
+                rare.append(h)
+                t = of[h & last]
+            out[i] = t
+        return out, rare
+
+
+def tokens_from(frequent: list[tuple[bytes, int]], buckets: np.ndarray, classes: int) -> Tokens:
+    """Classes hold tokens of like frequency, and about equal parts of the sum of the roots of their counts."""
+    counts = np.concatenate([np.array([n for _, n in frequent], float), buckets])
+    order = np.argsort(-counts, kind="stable")
+    mass = np.sqrt(counts[order] + 1)
+    of = np.minimum(((np.cumsum(mass) - mass) / mass.sum() * classes).astype(np.int64), classes - 1)
+    starts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(order))
+    token = np.empty(len(order), np.int64)
+    token[order] = np.arange(len(order))
+    n = len(frequent)
+    return Tokens({w: int(token[i]) for i, (w, _) in enumerate(frequent)}, token[n:], starts, counts[order] + 0.5, np.maximum(buckets, UNSEEN))
 
-    def __call__(self, ws: list[bytes]) -> np.ndarray:
-        known, n, buckets = self.known, len(self.known), self.buckets
-        return np.array([known[w] if w in known else n + zlib.crc32(w) % buckets for w in ws], np.int64)
 
+@dataclass
+class Network:
+    """Rows of numbers: an embedding a token and for the edge, what a token's logit in its class is made of, the rest."""
 
-def tokens_from(counts: list[tuple[bytes, int]], buckets: int = BUCKETS, classes: int = CLASSES, rare: int = RARE) -> Tokens:
-    """Classes of frequent words hold about equal parts of the corpus each, the most frequent words alone."""
-    counts = sorted(counts, key=lambda x: (-x[1], x[0]))
-    mass = np.sqrt(np.array([n for _, n in counts], float))  # the root leaves single classes to more words
-    usual = classes - 1 - rare
-    share = (np.cumsum(mass) - mass) / max(mass.sum(), 1)
-    of_words = 1 + np.minimum((share * usual).astype(np.int64), usual - 1)
-    return Tokens({w: i for i, (w, _) in enumerate(counts)}, buckets, np.concatenate([of_words, 1 + usual + np.arange(buckets) % rare]))
+    embed: np.ndarray  # (tokens + 1, WIDTH)
+    word: np.ndarray  # (tokens, HIDDEN + 1), the last a bias
+    inner: np.ndarray  # (2 * SIDE * WIDTH + 1, HIDDEN), the last a bias
+    kind: np.ndarray  # (classes, HIDDEN + 1), the last a bias
 
+    def arrays(self) -> list[np.ndarray]:
+        return [self.embed, self.word, self.inner, self.kind]
 
-def windows(tokens: np.ndarray, tokenizer: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes left of, at, and right of each token."""
-    c = np.concatenate(([0], tokenizer.classes[tokens], [0]))
-    return c[:-2], c[1:-1], c[2:]
+    def copy(self) -> Network:
+        return Network(*(a.copy() for a in self.arrays()))
 
 
-def window_counts(docs: DataFrame, tokenizer: Tokens, classes: int = CLASSES) -> DataFrame:
-    """cell, n: how often each (left, class, right) occurs over all texts, and behind those cells each token."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # VOCABULARY words and BUCKETS at most
+def begun(tokens: Tokens, seed: int = 7) -> Network:
+    """A network that predicts by frequency alone."""
+    rng = np.random.default_rng(seed)
+    draw = lambda *s: rng.normal(0, 0.1, s)
+    k, classes = tokens.edge, len(tokens.starts) - 1
+    mass = np.add.reduceat(tokens.counts, tokens.starts[:-1])
+    share = np.log(tokens.counts / np.repeat(mass, np.diff(tokens.starts)))
+    inner = np.concatenate([rng.normal(0, (2 * SIDE * WIDTH) ** -0.5, (2 * SIDE * WIDTH, HIDDEN)), np.zeros((1, HIDDEN))])
+    own = [rng.normal(0, 1.0, (k + 1, WIDTH)), np.column_stack([draw(k, HIDDEN), share]), inner, np.column_stack([draw(classes, HIDDEN), np.log(mass / mass.sum())])]
+    return Network(*(a.astype(np.float32) for a in own))
+
+
+def windows(t: np.ndarray, edge: int) -> np.ndarray:
+    """Tokens before and behind each place of t, which begins and ends with SIDE edges: a row a place between those."""
+    n = len(t) - 2 * SIDE
+    return np.stack([t[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], 1)
+
+
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
+def predicted(net: Network, starts: np.ndarray, around: np.ndarray, target: np.ndarray, rates: list[np.ndarray] | None = None) -> np.ndarray:
+    """Log-probabilities of targets given their windows; with ``rates`` (sums of squared gradients) also one step of
+    training, whose rates fall with those sums."""
+    n = len(target)
+    seen = net.embed[around].reshape(n, -1)
+    hidden = np.tanh(seen @ net.inner[:-1] + net.inner[-1])
+    of = np.searchsorted(starts, target, side="right") - 1
+    by_class = _log_softmax(hidden @ net.kind[:, :-1].T + net.kind[:, -1])
+    out = by_class[np.arange(n), of].copy()
+    back = np.zeros_like(hidden) if rates is not None else None
+    order = np.argsort(of, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), n)
+    for a, b in zip(edges, edges[1:]):
+        rows = order[a:b]
+        low, high = starts[of[rows[0]]], starts[of[rows[0]] + 1]
+        if high - low == 1:
+            continue
+        h, part = hidden[rows], net.word[low:high]
+        logs = _log_softmax(h @ part[:, :-1].T + part[:, -1])
+        at = target[rows] - low
+        out[rows] += logs[np.arange(len(rows)), at]
+        if rates is not None:
+            delta = np.exp(logs)
+            delta[np.arange(len(rows)), at] -= 1
+            back[rows] += delta @ part[:, :-1]
+            _moved(part, rates[1][low:high], np.column_stack([delta.T @ h, delta.sum(0)]))
+    if rates is not None:
+        delta = np.exp(by_class)
+        delta[np.arange(n), of] -= 1
+        back += delta @ net.kind[:, :-1]
+        _moved(net.kind, rates[3], np.column_stack([delta.T @ hidden, delta.sum(0)]))
+        back *= 1 - hidden**2
+        to_seen = (back @ net.inner[:-1].T).reshape(-1, WIDTH)
+        _moved(net.inner, rates[2], np.concatenate([seen.T @ back, back.sum(0, keepdims=True)]))
+        flat = around.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        rows = flat[order[first]]
+        step = np.add.reduceat(to_seen[order], first, axis=0)
+        rates[0][rows] += step**2
+        net.embed[rows] -= RATE * step / np.sqrt(rates[0][rows])
+    return out
+
+
+def _moved(part: np.ndarray, rate: np.ndarray, step: np.ndarray) -> None:
+    rate += step**2
+    part -= RATE * step / np.sqrt(rate)
+
+
+def walked(texts, tokens: Tokens, net: Network, seed: int = 11) -> tuple[Network, list[np.ndarray]]:
+    """A copy of the network after a walk through texts, and how often each of its rows was of use."""
+    net, rng = net.copy(), np.random.default_rng(seed)
+    rates = [np.full_like(a, 1.0) for a in net.arrays()]
+    used = [np.zeros(len(a), np.int64) for a in net.arrays()]
+    gap = np.full(SIDE, tokens.edge, np.int32)
+    held: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+    size = 0
+
+    def train():
+        t = np.concatenate([*held, gap])
+        around, at = windows(t, tokens.edge), rng.permutation(np.concatenate(places))
+        for i in range(0, len(at), STEP):
+            now = at[i : i + STEP]
+            predicted(net, tokens.starts, around[now], t[now + SIDE], rates)
+        used[0] += np.bincount(around[at].ravel(), minlength=len(used[0]))
+        kinds = np.bincount(np.searchsorted(tokens.starts, t[at + SIDE], side="right") - 1, minlength=len(used[3]))
+        used[1] += np.repeat(kinds, np.diff(tokens.starts))
+        used[2] += len(at)
+        used[3] += len(at)
+
+    for text in texts:
+        t, _ = tokens(words(text))
+        for i in range(0, len(t), CHUNK):  # a long text is trained on in stretches
+            part = t[i : i + CHUNK]
+            held += [gap, part]
+            places.append(size + np.arange((len(t) + i) % MASKED, len(part), MASKED))
+            size += SIDE + len(part)
+            if size >= CHUNK:
+                train()
+                held, places, size = [], [], 0
+    if held:
+        train()
+    return net, used
+
+
+def stretches(column: pa.Array):
+    """Texts by lists of about a chunk of bytes, so that few are worked on at once."""
+    held, size = [], 0
+    for x in column:
+        held.append(x.as_py())
+        size += len(held[-1] or "")
+        if size >= 4 * CHUNK:
+            yield held
+            held, size = [], 0
+    yield held
+
+
+def averaged(docs: DataFrame, tokens: Tokens, net: Network) -> Network:
+    """The network after all tasks' walks: each row the mean of its copies, weighted by how often they used it.
+
+    A task sends only rows that it has used; sums are taken by row and by column, so none holds more than one row of
+    each copy, and the driver gets one network.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, net))  # VOCABULARY + BUCKETS rows
+    width = max(a.shape[1] for a in net.arrays())
+    columns = [f"v{i}" for i in range(width)]
 
     def run(batches):
-        own = shared.value
-        cells, tokens = np.zeros(classes**3, np.int64), np.zeros(len(own.classes), np.int64)
-        for b in batches:
-            for x in b.column(0):
-                t = own(words(x.as_py()))
-                if len(t):
-                    left, at, right = windows(t, own)
-                    np.add.at(cells, (left * classes + at) * classes + right, 1)
-                    np.add.at(tokens, t, 1)
-        counts = np.concatenate([cells, tokens])
-        full = np.flatnonzero(counts)
-        for i in range(0, len(full), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(full[i : i + 100_000]), pa.array(counts[full[i : i + 100_000]])], ["cell", "n"])
-
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def trained(counts: np.ndarray, width: int = WIDTH, steps: int = STEPS, seed: int = 7) -> np.ndarray:
-    """Log-probabilities (left, right, class) of the network after training on counts (left, class, right).
-
-    Hidden units add an embedding of the left class, one of the right and a bias under tanh; Adam takes full gradients
-    of the mean log-probability over all counted tokens.
-    """
-    k = counts.shape[0]
-    target = np.ascontiguousarray(counts.transpose(0, 2, 1).reshape(k * k, k)).astype(np.float32)
-    target += 1e-3 * target.sum(0) / max(float(target.sum()), 1.0)  # an unseen context leans to the corpus
-    weight = target.sum(1)
-    total = max(float(weight.sum()), 1e-9)
-    goal = target / np.float32(total)
-    rng = np.random.default_rng(seed)
-    start = np.log((target.sum(0) + 0.5) / (total + 0.5 * k)).astype(np.float32)
-    params = [rng.normal(0, 0.3, s).astype(np.float32) for s in ((k, width), (k, width))] + [np.zeros(width, np.float32), rng.normal(0, 0.1, (width, k)).astype(np.float32), start]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-
-    def forward():
-        left, right, bias, out, base = params
-        hidden = np.tanh(left[:, None, :] + right[None, :, :] + bias).reshape(k * k, width)
-        logits = hidden @ out
-        logits += base
-        logits -= logits.max(1, keepdims=True)
-        return hidden, logits
-
-    for step in range(1, steps + 1):
-        hidden, delta = forward()
-        np.exp(delta, out=delta)
-        delta *= (weight / (total * delta.sum(1)))[:, None]
-        delta -= goal
-        inner = ((delta @ params[3].T) * (1 - hidden**2)).reshape(k, k, width)
-        grads = [inner.sum(1), inner.sum(0), inner.sum((0, 1)), hidden.T @ delta, delta.sum(0)]
-        rate = 0.1 * min(1.0, 2.0 * (1 - step / (steps + 1)))
-        for p, g, (m, v) in zip(params, grads, moments):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    logits = forward()[1]
-    return (logits - np.log(np.exp(logits).sum(1, keepdims=True))).reshape(k, k, k)
+        tokens, net = shared.value
+        new, used = walked((x.as_py() for b in batches for x in b.column(0)), tokens, net)
+        for kind, (a, n) in enumerate(zip(new.arrays(), used)):
+            rows = np.flatnonzero(n)
+            for i in range(0, len(rows), 1024):
+                some = rows[i : i + 1024]
+                values = np.zeros((len(some), width), np.float32)
+                values[:, : a.shape[1]] = a[some]
+                weights = n[some].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(weights), *(pa.array(np.ascontiguousarray(c)) for c in values.T)], ["kind", "row", "n", *columns])
+
+    rows = docs.select("text").mapInArrow(run, "kind int, row long, n double, " + ", ".join(f"{c} float" for c in columns))
+    sums = rows.groupBy("kind", "row").agg(*[(F.sum(F.col(c).cast("double") * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in columns])
+    found = sums.toArrow()
+    out, kinds, at = net.copy(), found.column("kind").to_numpy(), found.column("row").to_numpy()
+    values = np.stack([found.column(c).to_numpy() for c in columns], 1) if found.num_rows else np.empty((0, width), np.float32)
+    for kind, a in enumerate(out.arrays()):
+        own = kinds == kind
+        a[at[own]] = values[own][:, : a.shape[1]]
+    return out
 
 
 @dataclass
 class Model:
-    tokenizer: Tokens
-    given_sides: np.ndarray  # (left, right, class)
-    in_class: np.ndarray  # of each token
-
-    def score(self, text: str | None) -> tuple[int, float]:
-        t = self.tokenizer(words(text))
-        if not len(t):
-            return 0, 0.0
-        left, at, right = windows(t, self.tokenizer)
-        return len(t), float(self.given_sides[left, right, at].sum(dtype=np.float64) + self.in_class[t].sum(dtype=np.float64))
-
-
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, classes: int = CLASSES) -> Model:
-    """The model of a corpus. The driver gets ``vocabulary`` words, and classes^3 + vocabulary + buckets counts at most."""
-    frequent = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    tokenizer = tokens_from([(bytes(w), n) for w, n in frequent], buckets, classes)
-    found = window_counts(docs, tokenizer, classes).toArrow()
-    counts = np.zeros(classes**3 + len(tokenizer.classes), np.int64)
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    tokens = counts[classes**3 :] + 0.5
-    mass = np.bincount(tokenizer.classes, weights=tokens, minlength=classes)
-    return Model(tokenizer, trained(counts[: classes**3].reshape(classes, classes, classes)), np.log(tokens / mass[tokenizer.classes]).astype(np.float32))
-
-
-def reports(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    tokens: Tokens
+    net: Network
+
+    def scores(self, texts: list[str | None]) -> list[tuple[int, float, Counter]]:
+        """Of each text the number of tokens, the sum of their log-probabilities but for rare words' counts, and those
+        words' hashes."""
+        gap, last = np.full(SIDE, self.tokens.edge, np.int32), len(self.tokens.bucket_mass) - 1
+        read = [self.tokens(words(x)) for x in texts]
+        row = np.concatenate([gap, *(x for t, _ in read for x in (t, gap))])
+        own = np.flatnonzero(row[SIDE : len(row) - SIDE] != self.tokens.edge)
+        around, logs = windows(row, self.tokens.edge), np.empty(len(own))
+        for i in range(0, len(own), BATCH):
+            now = own[i : i + BATCH]
+            logs[i : i + BATCH] = predicted(self.net, self.tokens.starts, around[now], row[now + SIDE])
+        sums = np.concatenate(([0.0], np.cumsum(logs)))
+        ends = np.cumsum([0, *(len(t) for t, _ in read)])
+        less = [float(np.log(self.tokens.bucket_mass[np.array(rare) & last]).sum()) if rare else 0.0 for _, rare in read]
+        return [(len(t), float(sums[b] - sums[a]) - x, Counter(rare)) for (t, rare), a, b, x in zip(read, ends, ends[1:], less)]
+
+    def score(self, text: str | None) -> tuple[int, float, Counter]:
+        return self.scores([text])[0]
+
+
+def fit(docs: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, classes: int = CLASSES) -> Model:
+    """The model of a corpus whose words' counts (word, n) are given. The driver gets ``vocabulary`` words, a sum a
+    bucket, and one network."""
+    frequent = [(bytes(w), n) for w, n in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(buckets - 1))
+    mass = np.zeros(buckets)
+    for b, n in counts.groupBy(bucket).agg(F.sum("n")).collect():
+        mass[b] = n
+    for w, n in frequent:
+        mass[word_hash(w) & buckets - 1] -= n
+    tokens = tokens_from(frequent, mass, classes)
+    return Model(tokens, averaged(docs, tokens, begun(tokens)))
+
+
+def reports(docs: DataFrame, model: Model | None = None, counts: DataFrame | None = None) -> DataFrame:
     """n_tokens, log_prob (their sum) and mean_log_prob of every whole text, under the model of all docs if none is given.
 
-    Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Repeated rows count and return as often as
-    they came; an empty table gives none; columns of docs other than doc_id and text are not read.
+    model and counts (word, n) belong together; words that counts lack count as UNSEEN. Null, empty and blank texts have
+    no tokens, log_prob 0 and a null mean. Long texts are scored whole, in stretches that share their edges. Repeated
+    rows count and return as often as they came; an empty table gives none; columns of docs other than doc_id and text
+    are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    counts = counts if counts is not None else stored(word_counts(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, counts))
     kind = docs.select("doc_id").schema.fields[0].dataType.simpleString()
 
     def run(batches):
         own = shared.value
         for b in batches:
-            rows = [own.score(x.as_py()) for x in b.column(1)]
-            n, total = [r[0] for r in rows], [r[1] for r in rows]
-            mean = [t / k if k else None for k, t in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+            rows = []
+            for texts in stretches(b.column(1)):
+                rows += own.scores(texts)
+            hashes, times = [[*r[2].keys()] for r in rows], [[*r[2].values()] for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "part", "hashes", "times"])
+
+    scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, part double, hashes array<long>, times array<int>"))
+    numbered = scored.withColumn("_row", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
+    rare = numbered.select(F.xxhash64("_row.f", "_row.i").alias("_key"), F.explode(F.arrays_zip("hashes", "times")).alias("r")).select("_key", "r.*")
+    known = counts.select(F.xxhash64("word").alias("hashes"), F.log(F.col("n").cast("double")).alias("_log"))
+    more = rare.join(known, "hashes", "left").groupBy("_key").agg(F.sum(F.col("times") * F.coalesce("_log", F.log(F.lit(UNSEEN)))).alias("_more"))
+    rows = numbered.select("doc_id", "n_tokens", "part", F.xxhash64("_row.f", "_row.i").alias("_key")).join(more, "_key", "left")
+    total = F.col("part") + F.coalesce("_more", F.lit(0.0))
+    return rows.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))

@@ -253,6 +253,34 @@ def test_mixing(docs, none):
     assert mixing.taken(docs).columns == docs.columns
 
 
+def test_clashing_columns_and_ids_of_text(spark):
+    """Columns named like the operators' own, ids of text, and repeated rows go through every stage unharmed."""
+    odd = ["_size", "_total", "_id", "_node", "_k1", "_ranges", "_q", "_key", "_copies", "x0", "c0"]
+    rows = [(f"d{i}", t, "en", "s", len(t or ""), *[f"{c}{i}" for c in odd]) for i, t in enumerate([None, "", prose(150), LONG, LONG, prose(300) + " " + LONG])]
+    rows += [rows[3]] * 50
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in odd))
+    same = lambda out: {tuple(r[5:]) for r in out} <= {tuple(r[5:]) for r in rows}
+    once = simhash.survivors(df, **simhash.STAGE)
+    kept = [tuple(r) for r in once.collect()]
+    assert once.columns == df.columns and same(kept) and sorted(r[0] for r in kept) == ["d0", "d2", "d3", "d5"]
+    cut = suffix_dedup.cleaned(df)
+    found = [tuple(r) for r in cut.collect()]
+    assert cut.columns == df.columns and same(found) and [r[1] for r in found if r[0] == "d3"] == [LONG] * 51 and all(r[0] != "d4" for r in found) and all(r[4] == len(r[1] or "") for r in found)
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.reports(df).collect()}["d3"] == len(LONG.encode())
+    taken = mixing.taken(df)
+    again = [tuple(r) for r in taken.collect()]
+    assert taken.columns == df.columns and same(again) and sorted(again, key=repr) == sorted(map(tuple, taken.collect()), key=repr)
+    good = quality_rules.kept(df)
+    assert good.columns == df.columns and same([tuple(r) for r in good.collect()])
+    assert packing.packed(df, tokenizer_path()).where("start = 0").count() == len(rows)
+
+
+def test_taken_orders_rows_of_one_id(spark):
+    rows = [(1, f"{w} {w}", "s") for w in "abcdefghij"]
+    texts = lambda parts: sorted(r["text"] for r in mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect())
+    assert texts(1) == texts(5)
+
+
 def test_quality_rules(docs, none):
     got = collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality_rules.reports(docs).collect())
     want = collections.Counter()
@@ -310,6 +338,8 @@ def test_sharding(docs, none, spark):
         assert len(rows) == n
         shards = collections.defaultdict(list)
         texts = collections.defaultdict(set)
+        own = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in df.collect())
+        assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == own
         for r in rows:
             shards[r["shard"]].append(r)
             texts[(r["size"], r["text_crc32"])].add(r["shard"])
@@ -328,8 +358,64 @@ def test_licences(docs, none):
     assert scan("SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0")[5] == "apache,gpl,mit"
     assert scan("SPDX-License-Identifier: MIT OR OR")[5] == "" and scan("mit licenses, xmit license")[1] == 0
     assert scan("MIT  Lic" + "ense MIT license")[1:4] == (2, 0, 2) and scan("under CC-BY-NC 4.0")[4:6] == ("cc-by", "cc-by,cc-by-nc")
-    assert licences.postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
-    assert all(licences.postfix(x) is None for x in ("", "(a", "a)", "a b", "or a", "a or", "()"))
+    postfix = lambda x: licences.postfix(x.replace("(", "( ").replace(")", " )").split())
+    assert postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
+    assert all(postfix(x) is None for x in ("", "(a", "a)", "a b", "or a", "a or", "()"))
+
+
+@pytest.mark.parametrize("text,labels,score,terms,openness", [
+    ("<!-- SPDX-License-Identifier: MIT -->", "mit", 1.0, "mit", 0.9),
+    ("SPDX-License-Identifier: MIT (see LICENSE)", "mit", 1.0, "mit", 0.9),
+    ("x\nSPDX-License-Identifier: MIT.\ny", "mit", 1.0, "mit", 0.9),
+    ("SPDX-License-Identifier: banana", "", 0.0, "", None),
+    ("SPDX-License-Identifier: MIT OR GPL-2.0", "gpl,mit", 0.875, "mit gpl or", 0.9),
+    ("SPDX-License-Identifier: MIT AND GPL-2.0", "gpl,mit", 1.0, "mit gpl and", 0.3),
+    ("/* SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 */", "gpl", 1.0, "gpl classpath-exception-2.0 with", 0.5),
+    ("SPDX-License-Identifier: MIT AND new-1.0", "mit", 1.0, "mit new-1.0 and", 0.0),
+    ("(SPDX-License-Identifier: ISC) then SPDX-License-Identifier: LicenseRef-own", "isc,licenseref", 1.0, "isc; licenseref", 0.0),
+])
+def test_licence_tags(text, labels, score, terms, openness):
+    assert licences.Scanner().scan(text)[5:] == (labels, score, terms, openness)
+
+
+def test_licence_phrases_against_every_place():
+    import re
+
+    scan, rng = licences.Scanner().scan, np.random.default_rng(8)
+    parts = ["gnu", "General", "public", "LICENSE", "apache", "cc", "by", "mit", "é", "nc", "the", "bsd"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "-", ".\n", "", "  "]) for _ in range(rng.integers(0, 60)))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+        found = [(i, label) for phrase, label in licences.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        more = {label for phrase, label in licences.MORE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()}
+        at = [i for i, _ in found]
+        base = {label for _, label in found}
+        assert scan(text)[:6] == (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)))
+
+
+def test_neighbours_of_unequal_norms(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 12)) * rng.lognormal(0, 0.7, (4000, 1))
+    x[:40] *= 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in kmeans_tree.neighbours(df, every=40, sample=2000).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q, near in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(near & set(np.argsort(-s)[:20].tolist()))
+    assert len(found) == 100 and all(len(v) == 20 for v in found.values()) and hits >= 0.9 * 2000
+
+
+def test_a_query_opens_leaves_until_they_hold_enough():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(2000, 4)) * 0.01, rng.normal(size=(70, 4)) * 50])
+    tree = kmeans_tree.grown(x)
+    held = np.bincount(tree.assign(x), minlength=len(tree.bins))
+    opened = tree.visits(x[-1], 1, held, 21)
+    assert held[opened].sum() >= 21 and tree.visits(x[-1], 1) == opened[:1]
 
 
 def test_neighbours(spark):
@@ -355,19 +441,52 @@ def test_neighbours(spark):
     assert kmeans_tree.neighbours(empty).count() == 0 and [tuple(r) for r in kmeans_tree.neighbours(few).collect()] == [(0, 1, 1, 0.5)]
 
 
-def test_pseudo_likelihood(spark, docs, none):
-    model = pseudo_likelihood.fit(docs, 8, 4, 24)
-    rows = {r["doc_id"]: r for r in pseudo_likelihood.reports(docs, model).collect()}
+def _by_hand(model, counts, text):
+    """log_prob of a text by loops over its tokens and all tokens of the network."""
+    t, net, (k, side) = model.tokens, model.net, (model.tokens.edge, pseudo_likelihood.SIDE)
+    ws = (text or "").encode().lower().split()
+    of = lambda w: t.known.get(w, t.of_bucket[pseudo_likelihood.word_hash(w) % len(t.of_bucket)])
+    line = [k] * side + [int(of(w)) for w in ws] + [k] * side
+    total = 0.0
+    for i, w in enumerate(ws):
+        seen = np.concatenate([net.embed[x] for x in line[i : i + side] + line[i + side + 1 : i + 2 * side + 1]]).astype(float)
+        hidden = np.tanh(seen @ net.inner[:-1] + net.inner[-1])
+        kind = np.exp(net.kind[:, :-1] @ hidden + net.kind[:, -1])
+        word = np.exp(net.word[:, :-1] @ hidden + net.word[:, -1])
+        share = np.concatenate([kind[c] / kind.sum() * word[a:b] / word[a:b].sum() for c, (a, b) in enumerate(zip(t.starts, t.starts[1:]))])
+        assert abs(share.sum() - 1) < 1e-6
+        total += np.log(share[line[i + side]])
+        if w not in t.known:
+            bucket = pseudo_likelihood.word_hash(w) % len(t.of_bucket)
+            total += np.log(counts.get(w, 0.5) / max(0.5, sum(n for x, n in counts.items() if x not in t.known and pseudo_likelihood.word_hash(x) % len(t.of_bucket) == bucket)))
+    return len(ws), total
+
+
+def test_pseudo_likelihood(docs, none):
+    table = pseudo_likelihood.word_counts(docs).persist()
+    counts = {bytes(r["word"]): r["n"] for r in table.collect()}
+    assert counts == collections.Counter(w for _, t, *_ in ROWS for w in (t or "").encode().lower().split())
+    model = pseudo_likelihood.fit(docs, table, 8, 4, 4)
+    rows = collections.defaultdict(list)
+    for r in pseudo_likelihood.reports(docs, model, table).collect():
+        rows[r["doc_id"]].append(r)
+    assert sum(map(len, rows.values())) == len(ROWS) and len(rows[4]) == 2
     for i, t, *_ in ROWS:
-        n, total = model.score(t)
-        assert (rows[i]["n_tokens"], rows[i]["log_prob"]) == (n, total) and n == len((t or "").split())
-    assert rows[0]["mean_log_prob"] is None and pseudo_likelihood.reports(none).count() == 0
-    assert abs(np.exp(model.given_sides).sum(2) - 1).max() < 1e-3
-    # held out: knowing both sides beats knowing neither where order means something
-    turn = [" ".join(["red", "green", "blue", "gold"][(s + j) % 4] for j in range(60)) for s in RNG.integers(0, 4, 60)]
-    train = spark.createDataFrame([(i, t) for i, t in enumerate(turn[:50])], "doc_id long, text string")
-    fitted = pseudo_likelihood.fit(train, 8, 2, 24)
-    assert np.mean([fitted.score(t)[1] / 60 for t in turn[50:]]) > -0.3 > -np.log(4)
+        n, total = _by_hand(model, counts, t)
+        for r in rows[i]:
+            assert r["n_tokens"] == n and abs(r["log_prob"] - total) < 1e-3 * max(1, n) and (r["mean_log_prob"] is None) == (n == 0)
+    assert pseudo_likelihood.reports(none).count() == 0
+
+
+def test_order_is_told_from_shuffles(spark):
+    rng = np.random.default_rng(2)
+    line = lambda: " ".join(f"{'abcdefgh'[(s + j) % 8]}{rng.integers(0, 3)}" for s in (int(rng.integers(0, 8)),) for j in range(80))
+    train = spark.createDataFrame([(i, line()) for i in range(400)], "doc_id long, text string").repartition(2)
+    model = pseudo_likelihood.fit(train, pseudo_likelihood.word_counts(train), 24, 2, 4)
+    held = [line() for _ in range(20)]
+    own = [model.score(t)[1] / 80 for t in held]
+    mixed = [model.score(" ".join(rng.permutation(t.split())))[1] / 80 for t in held]
+    assert min(own) > max(mixed) + 0.5
 
 
 def test_quality_classifier(spark, none):
