@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.llm.common import stored
@@ -47,11 +47,24 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_hash(word: bytes) -> int:
-    """What Spark's xxhash64 gives, as a signed number."""
+    """A word's key: Spark's xxhash64 with the sign set, so that it is no token's number."""
     from xxhash import xxh64_intdigest
 
-    h = xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+    return (xxh64_intdigest(word, 42) | 1 << 63) - (1 << 64)
+
+
+def word_key(word: str) -> Column:
+    return F.xxhash64(word).bitwiseOR(F.lit(-(1 << 63)))
+
+
+class Known(dict):
+    """Words to tokens; of words without one the hash, remembered for as many as a task may hold."""
+
+    def __missing__(self, word: bytes) -> int:
+        key = word_hash(word)
+        if len(self) < 2 * HELD:
+            self[word] = key
+        return key
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -79,7 +92,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Tokens:
     """Words to tokens, which are numbered class by class; behind them the edge of a text."""
 
-    known: dict[bytes, int]
+    known: Known
     of_bucket: np.ndarray  # the token of each bucket
     starts: np.ndarray  # the first token of each class, and their number
     counts: np.ndarray  # of each token
@@ -89,19 +102,13 @@ class Tokens:
     def edge(self) -> int:
         return int(self.starts[-1])
 
-    def __call__(self, ws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    def __call__(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens, and the hashes of the rare words among them in their order."""
-        known, of, rare = self.known, self.of_bucket, []
-        out = np.empty(len(ws), np.int32)
-        last = len(of) - 1
-        for i, w in enumerate(ws):
-            t = known.get(w, -1)
-            if t < 0:
-                h = word_hash(w)
-                rare.append(h)
-                t = of[h & last]
-            out[i] = t
-        return out, rare
+        out = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+        rare = out < 0
+        hashes = out[rare]
+        out[rare] = self.of_bucket[hashes & len(self.of_bucket) - 1]
+        return out, hashes
 
 
 def tokens_from(frequent: list[tuple[bytes, int]], buckets: np.ndarray, classes: int) -> Tokens:
@@ -114,7 +121,7 @@ def tokens_from(frequent: list[tuple[bytes, int]], buckets: np.ndarray, classes:
     token = np.empty(len(order), np.int64)
     token[order] = np.arange(len(order))
     n = len(frequent)
-    return Tokens({w: int(token[i]) for i, (w, _) in enumerate(frequent)}, token[n:], starts, counts[order] + 0.5, np.maximum(buckets, UNSEEN))
+    return Tokens(Known({w: int(token[i]) for i, (w, _) in enumerate(frequent)}), token[n:], starts, counts[order] + 0.5, np.maximum(buckets, UNSEEN))
 
 
 @dataclass
@@ -151,58 +158,78 @@ def windows(t: np.ndarray, edge: int) -> np.ndarray:
     return np.stack([t[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the places ``at`` of each row of logits; x becomes exponentials, whose sums come second."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    return own - np.log(total), total
+
+
+def _miss(x: np.ndarray, total: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Probabilities less 1 at the target, from what _softmax leaves."""
+    x /= total[:, None]
+    x[np.arange(len(x)), at] -= 1
+    return x
 
 
 def predicted(net: Network, starts: np.ndarray, around: np.ndarray, target: np.ndarray, rates: list[np.ndarray] | None = None) -> np.ndarray:
     """Log-probabilities of targets given their windows; with ``rates`` (sums of squared gradients) also one step of
     training, whose rates fall with those sums."""
     n = len(target)
-    seen = net.embed[around].reshape(n, -1)
-    hidden = np.tanh(seen @ net.inner[:-1] + net.inner[-1])
     of = np.searchsorted(starts, target, side="right") - 1
-    by_class = _log_softmax(hidden @ net.kind[:, :-1].T + net.kind[:, -1])
-    out = by_class[np.arange(n), of].copy()
-    back = np.zeros_like(hidden) if rates is not None else None
-    order = np.argsort(of, kind="stable")
-    edges = np.append(np.flatnonzero(np.diff(of[order], prepend=-1)), n)
+    order = np.argsort(of, kind="stable")  # class by class
+    around, target, of = around[order], target[order], of[order]
+    seen = net.embed[around].reshape(n, -1)
+    hidden = seen @ net.inner[:-1]
+    hidden += net.inner[-1]
+    np.tanh(hidden, out=hidden)
+    kinds = hidden @ net.kind[:, :-1].T
+    kinds += net.kind[:, -1]
+    logs, total = _softmax(kinds, of)
+    if rates is not None:
+        back = _miss(kinds, total, of) @ net.kind[:, :-1]
+        _moved(net.kind, rates[3], kinds, hidden)
+    edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), n).tolist()
     for a, b in zip(edges, edges[1:]):
-        rows = order[a:b]
-        low, high = starts[of[rows[0]]], starts[of[rows[0]] + 1]
+        low, high = starts[of[a]], starts[of[a] + 1]
         if high - low == 1:
             continue
-        h, part = hidden[rows], net.word[low:high]
-        logs = _log_softmax(h @ part[:, :-1].T + part[:, -1])
-        at = target[rows] - low
-        out[rows] += logs[np.arange(len(rows)), at]
+        h, part, at = hidden[a:b], net.word[low:high], target[a:b] - low
+        x = h @ part[:, :-1].T
+        x += part[:, -1]
+        own, total = _softmax(x, at)
+        logs[a:b] += own
         if rates is not None:
-            delta = np.exp(logs)
-            delta[np.arange(len(rows)), at] -= 1
-            back[rows] += delta @ part[:, :-1]
-            _moved(part, rates[1][low:high], np.column_stack([delta.T @ h, delta.sum(0)]))
+            back[a:b] += _miss(x, total, at) @ part[:, :-1]
+            _moved(part, rates[1][low:high], x, h)
     if rates is not None:
-        delta = np.exp(by_class)
-        delta[np.arange(n), of] -= 1
-        back += delta @ net.kind[:, :-1]
-        _moved(net.kind, rates[3], np.column_stack([delta.T @ hidden, delta.sum(0)]))
         back *= 1 - hidden**2
         to_seen = (back @ net.inner[:-1].T).reshape(-1, WIDTH)
-        _moved(net.inner, rates[2], np.concatenate([seen.T @ back, back.sum(0, keepdims=True)]))
+        _moved(net.inner.T, rates[2].T, back, seen)
         flat = around.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        rows = flat[order[first]]
-        step = np.add.reduceat(to_seen[order], first, axis=0)
-        rates[0][rows] += step**2
-        net.embed[rows] -= RATE * step / np.sqrt(rates[0][rows])
+        by = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        rows = flat[by[first]]
+        step = np.add.reduceat(to_seen[by], first, axis=0)
+        rate = rates[0][rows] + step**2
+        rates[0][rows] = rate
+        net.embed[rows] -= RATE * step / np.sqrt(rate)
+    out = np.empty(n, logs.dtype)
+    out[order] = logs
     return out
 
 
-def _moved(part: np.ndarray, rate: np.ndarray, step: np.ndarray) -> None:
-    rate += step**2
-    part -= RATE * step / np.sqrt(rate)
+def _moved(part: np.ndarray, rate: np.ndarray, miss: np.ndarray, given: np.ndarray) -> None:
+    """One step of rows of weights, the last of each a bias, by the misses of their outputs for what was given."""
+    step = np.empty(part.shape, part.dtype)
+    np.matmul(miss.T, given, out=step[:, :-1])
+    step[:, -1] = miss.sum(0)
+    rate += step * step
+    step *= RATE
+    step /= np.sqrt(rate)
+    part -= step
 
 
 def walked(texts, tokens: Tokens, net: Network, seed: int = 11) -> tuple[Network, list[np.ndarray]]:
@@ -210,7 +237,7 @@ def walked(texts, tokens: Tokens, net: Network, seed: int = 11) -> tuple[Network
     net, rng = net.copy(), np.random.default_rng(seed)
     rates = [np.full_like(a, 1.0) for a in net.arrays()]
     used = [np.zeros(len(a), np.int64) for a in net.arrays()]
-    gap = np.full(SIDE, tokens.edge, np.int32)
+    gap = np.full(SIDE, tokens.edge)
     held: list[np.ndarray] = []
     places: list[np.ndarray] = []
     size = 0
@@ -292,10 +319,11 @@ class Model:
     tokens: Tokens
     net: Network
 
-    def scores(self, texts: list[str | None]) -> list[tuple[int, float, Counter]]:
+    def scores(self, texts: list[str | None]) -> list[tuple[int, float, np.ndarray]]:
         """Of each text the number of tokens, the sum of their log-probabilities but for rare words' counts, and those
         words' hashes."""
-        gap, last = np.full(SIDE, self.tokens.edge, np.int32), len(self.tokens.bucket_mass) - 1
+        gap, last = np.full(SIDE, self.tokens.edge), len(self.tokens.bucket_mass) - 1
+        log_mass = np.log(self.tokens.bucket_mass)
         read = [self.tokens(words(x)) for x in texts]
         row = np.concatenate([gap, *(x for t, _ in read for x in (t, gap))])
         own = np.flatnonzero(row[SIDE : len(row) - SIDE] != self.tokens.edge)
@@ -305,10 +333,9 @@ class Model:
             logs[i : i + BATCH] = predicted(self.net, self.tokens.starts, around[now], row[now + SIDE])
         sums = np.concatenate(([0.0], np.cumsum(logs)))
         ends = np.cumsum([0, *(len(t) for t, _ in read)])
-        less = [float(np.log(self.tokens.bucket_mass[np.array(rare) & last]).sum()) if rare else 0.0 for _, rare in read]
-        return [(len(t), float(sums[b] - sums[a]) - x, Counter(rare)) for (t, rare), a, b, x in zip(read, ends, ends[1:], less)]
+        return [(len(t), float(sums[b] - sums[a] - log_mass[rare & last].sum()), rare) for (t, rare), a, b in zip(read, ends, ends[1:])]
 
-    def score(self, text: str | None) -> tuple[int, float, Counter]:
+    def score(self, text: str | None) -> tuple[int, float, np.ndarray]:
         return self.scores([text])[0]
 
 
@@ -316,7 +343,7 @@ def fit(docs: DataFrame, counts: DataFrame, vocabulary: int = VOCABULARY, bucket
     """The model of a corpus whose words' counts (word, n) are given. The driver gets ``vocabulary`` words, a sum a
     bucket, and one network."""
     frequent = [(bytes(w), n) for w, n in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
-    bucket = F.xxhash64("word").bitwiseAND(F.lit(buckets - 1))
+    bucket = word_key("word").bitwiseAND(F.lit(buckets - 1))
     mass = np.zeros(buckets)
     for b, n in counts.groupBy(bucket).agg(F.sum("n")).collect():
         mass[b] = n
@@ -344,15 +371,15 @@ def reports(docs: DataFrame, model: Model | None = None, counts: DataFrame | Non
             rows = []
             for texts in stretches(b.column(1)):
                 rows += own.scores(texts)
-            hashes, times = [[*r[2].keys()] for r in rows], [[*r[2].values()] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "part", "hashes", "times"])
+            ends = pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]), pa.int32())
+            hashes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[2] for r in rows] or [np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), hashes], ["doc_id", "n_tokens", "part", "hashes"])
 
-    scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, part double, hashes array<long>, times array<int>"))
+    scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, part double, hashes array<long>"))
     numbered = scored.withColumn("_row", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
-    rare = numbered.select(F.xxhash64("_row.f", "_row.i").alias("_key"), F.explode(F.arrays_zip("hashes", "times")).alias("r")).select("_key", "r.*")
-    known = counts.select(F.xxhash64("word").alias("hashes"), F.log(F.col("n").cast("double")).alias("_log"))
-    more = rare.join(known, "hashes", "left").groupBy("_key").agg(F.sum(F.col("times") * F.coalesce("_log", F.log(F.lit(UNSEEN)))).alias("_more"))
+    rare = numbered.select(F.xxhash64("_row.f", "_row.i").alias("_key"), F.explode("hashes").alias("_word"))
+    known = counts.select(word_key("word").alias("_word"), F.log(F.col("n").cast("double")).alias("_log"))
+    more = rare.join(known, "_word", "left").groupBy("_key").agg(F.sum(F.coalesce("_log", F.log(F.lit(UNSEEN)))).alias("_more"))
     rows = numbered.select("doc_id", "n_tokens", "part", F.xxhash64("_row.f", "_row.i").alias("_key")).join(more, "_key", "left")
     total = F.col("part") + F.coalesce("_more", F.lit(0.0))
     return rows.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))

@@ -445,7 +445,8 @@ def _by_hand(model, counts, text):
     """log_prob of a text by loops over its tokens and all tokens of the network."""
     t, net, (k, side) = model.tokens, model.net, (model.tokens.edge, pseudo_likelihood.SIDE)
     ws = (text or "").encode().lower().split()
-    of = lambda w: t.known.get(w, t.of_bucket[pseudo_likelihood.word_hash(w) % len(t.of_bucket)])
+    own = {w: x for w, x in t.known.items() if x >= 0}
+    of = lambda w: own.get(w, t.of_bucket[pseudo_likelihood.word_hash(w) % len(t.of_bucket)])
     line = [k] * side + [int(of(w)) for w in ws] + [k] * side
     total = 0.0
     for i, w in enumerate(ws):
@@ -456,9 +457,9 @@ def _by_hand(model, counts, text):
         share = np.concatenate([kind[c] / kind.sum() * word[a:b] / word[a:b].sum() for c, (a, b) in enumerate(zip(t.starts, t.starts[1:]))])
         assert abs(share.sum() - 1) < 1e-6
         total += np.log(share[line[i + side]])
-        if w not in t.known:
+        if w not in own:
             bucket = pseudo_likelihood.word_hash(w) % len(t.of_bucket)
-            total += np.log(counts.get(w, 0.5) / max(0.5, sum(n for x, n in counts.items() if x not in t.known and pseudo_likelihood.word_hash(x) % len(t.of_bucket) == bucket)))
+            total += np.log(counts.get(w, 0.5) / max(0.5, sum(n for x, n in counts.items() if x not in own and pseudo_likelihood.word_hash(x) % len(t.of_bucket) == bucket)))
     return len(ws), total
 
 
