@@ -55,21 +55,21 @@ def cube_sql(spec: Spec, billing: bool = False) -> str:
     names = [f"d_{d}" for d in spec.dims]
     dims = "".join(f"{_dim_sql(d)} AS d_{d}, " for d in spec.dims)
     on = " AND ".join(f"a.{n} = {{0}}.{n}" for n in names) or "true"
-    own = "CASE WHEN cash THEN usd ELSE usd * 0 END" if billing else "usd"
+    own = "CASE WHEN cash OR usd IS NULL THEN usd ELSE 0 END" if billing else "usd"
     out = {"events": "a.events", "sessions": "a.sessions", "cost_reported": "a.cost_reported", "cost_api_equiv": "c.api", "credits": "f.credits"}
     out |= {m: f"CAST(coalesce(f.{m}, 0) AS BIGINT)" for m in _FOLD_SQL}
-    out["cost_total"] = "CASE WHEN coalesce(c.n_own, 0) > 0 AND c.own IS NULL THEN NULL WHEN coalesce(c.n_own, 0) = 0 AND f.reported IS NULL THEN NULL ELSE coalesce(f.reported, 0) + coalesce(c.own, 0) END"
-    chosen = ", ".join(f"round({out[m]}, {_DIGITS}) AS {m}" if m in _MONEY else f"{out[m]} AS {m}" for m in spec.metrics)
+    out["cost_total"] = "CASE WHEN coalesce(c.n_own, 0) > 0 AND c.own IS NULL THEN NULL WHEN coalesce(c.n_own, 0) = 0 AND f.reported IS NULL THEN NULL ELSE CAST(coalesce(f.reported, 0) AS DECIMAL(30,12)) + CAST(coalesce(c.own, 0) AS DECIMAL(30,12)) END"
+    chosen = ", ".join(f"CAST(round({out[m]}, {_DIGITS}) AS DOUBLE) AS {m}" if m in _MONEY else f"{out[m]} AS {m}" for m in spec.metrics)
     return f"""{testbed.sql(_where_sql(spec.filter), dims)},
-a AS (SELECT {dims}count(*) AS events, count(DISTINCT session_id) AS sessions, sum(cost_reported) AS cost_reported FROM keyed{' GROUP BY ALL' if names else ''}),
-f AS (SELECT {dims}{', '.join(f'{v} AS {k}' for k, v in _FOLD_SQL.items())}, sum(credits) AS credits, sum(rep_cost) AS reported FROM req{' GROUP BY ALL' if names else ''}),
+a AS (SELECT {dims}count(*) AS events, count(DISTINCT session_id) AS sessions, sum(CAST(cost_reported AS DECIMAL(24,12))) AS cost_reported FROM keyed{' GROUP BY ALL' if names else ''}),
+f AS (SELECT {dims}{', '.join(f'{v} AS {k}' for k, v in _FOLD_SQL.items())}, sum(CAST(credits AS DECIMAL(24,12))) AS credits, sum(CAST(rep_cost AS DECIMAL(24,12))) AS reported FROM req{' GROUP BY ALL' if names else ''}),
 c AS (SELECT {''.join(n + ', ' for n in names)}CASE WHEN count(*) = count(usd) THEN sum(usd) END AS api, count(CASE WHEN unreported THEN 1 END) AS n_own,
   CASE WHEN count(CASE WHEN unreported THEN 1 END) = count(CASE WHEN unreported THEN usd END) THEN sum(CASE WHEN unreported THEN {own} END) END AS own FROM priced{' GROUP BY ALL' if names else ''})
 SELECT {''.join(f'a.d_{d} AS {d}, ' for d in spec.dims)}{chosen} FROM a LEFT JOIN f ON {on.format('f')} LEFT JOIN c ON {on.format('c')}"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({m: F.round(m, _DIGITS) for m in _MONEY if m in df.columns})
+    return df.withColumns({m: F.round(F.col(m).cast("decimal(38,12)"), _DIGITS).cast("double") for m in _MONEY if m in df.columns})
 
 
 def _cube(name: str, metrics: str, dims: str = "", billing: bool = False, **chosen) -> None:
@@ -92,7 +92,9 @@ _cube("credits_by_agent", "credits events", "agent")
 _cube("cost_reported_by_agent", "cost_reported events", "agent")
 _cube("cost_api_equiv_by_model", "cost_api_equiv tokens_total", "model")
 _cube("cost_api_equiv_by_day", "cost_api_equiv", "day", model=["m-0", "m-1"])
+_cube("cost_api_equiv_by_day_all", "cost_api_equiv", "day")
 _cube("cost_total_by_agent", "cost_total cost_api_equiv cost_reported", "agent", model=["m-0"])
+_cube("cost_total_by_agent_all", "cost_total cost_api_equiv cost_reported", "agent")
 _cube("cost_total_by_agent_model", "cost_total cost_api_equiv cost_reported credits", "agent model")
 _cube("cost_by_billing_mode", "cost_total cost_api_equiv", "agent model", billing=True)
 _cube("grand_totals", "events sessions tokens_total duration credits cost_reported cost_api_equiv cost_total")
@@ -159,9 +161,9 @@ def fold_policy_negative_control(spark, sf_dir):
     return total({}, "one_policy").join(total(testbed.POLICIES, "own_policy"), "agent").withColumn("same", F.col("one_policy") == F.col("own_policy"))
 
 
-@register(testbed.sql() + "SELECT agent_key AS agent, round(sum(usd), 6) AS api_equivalent, round(sum(CASE WHEN cash THEN usd ELSE usd * 0 END), 6) AS cash, bool_or(usd IS NULL) AS partial FROM priced GROUP BY 1")
+@register(testbed.sql() + "SELECT agent_key AS agent, CAST(round(sum(usd), 6) AS DOUBLE) AS api_equivalent, CAST(round(sum(CASE WHEN cash THEN usd ELSE 0 END), 6) AS DOUBLE) AS cash, bool_or(usd IS NULL) AS partial FROM priced GROUP BY 1")
 def cost_portions_floor(spark, sf_dir):
-    return cube.portions(context(spark, sf_dir, billing=True)).withColumns({c: F.round(c, 6) for c in ("api_equivalent", "cash")})
+    return cube.portions(context(spark, sf_dir, billing=True)).withColumns({c: F.round(F.col(c).cast("decimal(38,12)"), 6).cast("double") for c in ("api_equivalent", "cash")})
 
 
 @register(testbed.sql() + "SELECT DISTINCT b.provider, b.model, CAST(b.dayno AS BIGINT) AS dayno, a.eff AS effective_from, a.pin AS input_per_mtok FROM bucket b LEFT JOIN in_force a ON a.provider = b.provider AND a.model = b.model AND a.dayno = b.dayno")
@@ -337,7 +339,7 @@ def model_name_normalize(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", pricing.model_name(raw).alias("name"))
 
 
-@register("SELECT o_orderkey, sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace('Failed at 0x' || o_custkey || '.. in  ' || o_orderpriority, '[0-9]+', 'N', 'g'), '0x[0-9a-fA-F]+', '0xADDR', 'g'), '[\\s.]+', ' ', 'g')))) AS fingerprint FROM orders")
+@register("SELECT o_orderkey, sha256('error' || chr(0) || lower(trim(regexp_replace(regexp_replace(regexp_replace('Failed at 0x' || o_custkey || '.. in  ' || o_orderpriority, '[0-9]+', 'N', 'g'), '0x[0-9a-fA-F]+', '0xADDR', 'g'), '[\\s.]+', ' ', 'g')))) AS fingerprint FROM orders")
 def error_fingerprint(spark, sf_dir):
     raw = F.concat(F.lit("Failed at 0x"), F.col("o_custkey").cast("string"), F.lit(".. in  "), F.col("o_orderpriority"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", model.error_fingerprint(raw).alias("fingerprint"))
@@ -346,10 +348,10 @@ def error_fingerprint(spark, sf_dir):
 _ID = "sha256({} || chr(0) || coalesce({}, ''))"
 
 
-@register(testbed.sql() + f"SELECT id, {_ID.format('agent_id', 'source_id')} AS source, sha256('project' || chr(0) || project_id) AS project, CASE WHEN coalesce(request_id, '') = '' THEN sha256(source_id || chr(0) || CAST(timestamp // 1800000 AS VARCHAR)) ELSE request_id END AS session, sha256(source_id || chr(0) || CAST(raw_seq AS VARCHAR) || chr(0) || type || chr(0) || CAST(timestamp AS VARCHAR) || chr(0) || coalesce(thread_id, '')) AS event FROM ev")
+@register(testbed.sql() + f"SELECT id, {_ID.format('agent_id', 'source_id')} AS source, sha256('project' || chr(0) || project_id) AS project, CASE WHEN coalesce(request_id, '') = '' THEN sha256('session-from-bucket' || chr(0) || source_id || chr(0) || CAST(timestamp // 1800000 AS VARCHAR)) ELSE sha256('session' || chr(0) || agent_id || chr(0) || request_id) END AS session, sha256(source_id || chr(0) || CAST(raw_seq AS VARCHAR) || chr(0) || type || chr(0) || CAST(timestamp AS VARCHAR) || chr(0) || coalesce(thread_id, '')) AS event FROM ev")
 def deterministic_ids(spark, sf_dir):
     c = F.col
-    return testbed.events(spark, sf_dir).select("id", model.source_id(c("agent_id"), c("source_id")).alias("source"), model.project_id(c("project_id")).alias("project"), model.session_id(c("request_id"), c("source_id"), F.lit(None).cast("string"), c("timestamp")).alias("session"), model.event_id(c("source_id"), c("raw_seq"), c("type"), c("timestamp"), c("thread_id")).alias("event"))
+    return testbed.events(spark, sf_dir).select("id", model.source_id(c("agent_id"), c("source_id")).alias("source"), model.project_id(c("project_id")).alias("project"), model.session_id(c("agent_id"), c("request_id"), c("source_id"), F.lit(None).cast("string"), c("timestamp")).alias("session"), model.event_id(c("source_id"), c("raw_seq"), c("type"), c("timestamp"), c("thread_id")).alias("event"))
 
 
 @register(testbed.sql() + "SELECT id, CASE WHEN type = 'generation.end' THEN 'chat ' || model WHEN type = 'tool.start' THEN 'execute_tool ' || capability_name ELSE type END AS span_name, CASE WHEN type = 'generation.end' THEN 'chat' WHEN type = 'tool.start' THEN 'execute_tool' END AS operation, CAST(input_tokens AS VARCHAR) AS input_tokens, model FROM ev")

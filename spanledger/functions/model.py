@@ -38,10 +38,12 @@ def project_id(root: Column) -> Column:
     return digest(F.lit("project"), root)
 
 
-def session_id(native: Column, source: Column, record: Column, ts: Column) -> Column:
-    """The native id; else one of source and record; else one of source and half-hour of the epoch (not of gaps)."""
+def session_id(agent: Column, native: Column, source: Column, record: Column, ts: Column) -> Column:
+    """Of agent and native id, so that two agents' ids cannot collide; else of source and record; else of source and
+    half-hour of the epoch (not of gaps)."""
     usable = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(usable(native), F.when(usable(record).isNotNull(), digest(source, record)), digest(source, F.floor(ts / HALF_HOUR_MS)))
+    own = F.when(usable(native).isNotNull(), digest(F.lit("session"), agent, native))
+    return F.coalesce(own, F.when(usable(record).isNotNull(), digest(F.lit("session-from-source"), source, record)), digest(F.lit("session-from-bucket"), source, F.floor(ts / HALF_HOUR_MS)))
 
 
 def event_id(source: Column, seq: Column, kind: Column, ts: Column, discriminator: Column) -> Column:
@@ -51,7 +53,7 @@ def event_id(source: Column, seq: Column, kind: Column, ts: Column, discriminato
 def error_fingerprint(message: Column) -> Column:
     """Digest of a message without its numbers. Digits go first, so an address keeps its letters."""
     text = F.regexp_replace(F.regexp_replace(message, r"\d+", "N"), r"0x[0-9a-fA-F]+", "0xADDR")
-    return digest(F.lower(F.trim(F.regexp_replace(text, r"[\s.]+", " "))))
+    return digest(F.lit("error"), F.lower(F.trim(F.regexp_replace(text, r"[\s.]+", " "))))
 
 
 def problems(known_types: list[str] | None = None) -> Column:

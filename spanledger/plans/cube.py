@@ -73,9 +73,20 @@ def filtered(events: DataFrame, chosen: dict, now: int) -> DataFrame:
     return events.where(reduce(lambda a, b: a & b, keep)) if keep else events
 
 
-def null_dominant(c: str) -> Column:
-    """Sum that is null as soon as one member is."""
-    return F.when(F.count("*") == F.count(c), F.sum(c))
+def exact(c: str) -> Column:
+    """A sum of reported amounts that does not depend on their order."""
+    return F.sum(F.col(c).cast("decimal(24,12)"))
+
+
+def _parts(fold: DataFrame, dims: dict[str, Column], more: list[Column]) -> DataFrame:
+    """Sums of the fold by dims, agent, model, day and whether the request reports its own cost."""
+    day = F.floor(F.col("timestamp") / pricing.DAY_MS)
+    rows = fold.select("*", *[c.alias(f"_d_{n}") for n, c in dims.items()], F.col("agent_key").alias("_agent"), day.alias("_day"), F.col("rep_cost").isNull().alias("_unreported"))
+    return rows.groupBy(*[f"_d_{n}" for n in dims], "_agent", "provider", "model", "_day", "_unreported").agg(*[F.sum(t).alias(t) for t in TOKENS], *more)
+
+
+def _priced(parts: DataFrame, prices: DataFrame) -> DataFrame:
+    return pricing.lookup(parts, prices, F.col("_day") * pricing.DAY_MS + pricing.NOON_MS).withColumn("_usd", pricing.usd())
 
 
 def cost_buckets(fold: DataFrame, dims: dict[str, Column], prices: DataFrame) -> DataFrame:
@@ -84,32 +95,33 @@ def cost_buckets(fold: DataFrame, dims: dict[str, Column], prices: DataFrame) ->
     Tokens are summed before prices are looked up, so the lookup sees buckets, not requests. Buckets without tokens
     are none: they can neither cost nor be unknown.
     """
-    day = F.floor(F.col("timestamp") / pricing.DAY_MS)
-    parts = fold.select(*[c.alias(f"_d_{n}") for n, c in dims.items()], F.col("agent_key").alias("_agent"), "provider", "model", day.alias("_day"), F.col("rep_cost").isNull().alias("_unreported"), *TOKENS)
-    keys = [f"_d_{n}" for n in dims] + ["_agent", "provider", "model", "_day", "_unreported"]
-    sums = parts.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in TOKENS]).where(sum((F.col(t) for t in TOKENS), F.lit(0)) > 0)
-    return pricing.lookup(sums, prices, F.col("_day") * pricing.DAY_MS + pricing.NOON_MS).withColumn("_usd", pricing.usd())
+    return _priced(_parts(fold, dims, []).where(sum((F.col(t) for t in TOKENS), F.lit(0)) > 0), prices)
 
 
 def _aggregate(spec: Spec, dims: dict[str, Column], events: DataFrame, fold: DataFrame | None, ctx: Context, mode: Column | None) -> DataFrame:
+    """The metrics by dims. The fold is read once: its sums by dims, and where costs are asked for by price bucket too,
+    are summed on, so that a cost query shuffles requests, buckets and rows of the result once each."""
     names = [f"_d_{n}" for n in dims]
-    base = events.select("*", *[c.alias(f"_d_{n}") for n, c in dims.items()]).groupBy(*names).agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.sum("cost_reported").alias("cost_reported"))
+    base = events.select("*", *[c.alias(f"_d_{n}") for n, c in dims.items()]).groupBy(*names).agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), exact("cost_reported").cast("double").alias("cost_reported"))
     join = lambda a, b: a.join(b, names, "left") if names else a.join(b, how="full")  # noqa: E731  without dims each side is one row
     if fold is not None:
-        sums = [F.sum(c).alias(m) for m, c in _SUMS.items()] + [F.sum("credits").alias("credits"), F.sum("rep_cost").alias("_reported")]
-        stage = fold.select("*", *[c.alias(f"_d_{n}") for n, c in dims.items()]).groupBy(*names).agg(*sums)
-        base = join(base, stage)
-        base = base.withColumns({m: F.coalesce(m, F.lit(0)) for m in _SUMS}).withColumn("tokens_total", sum((F.col(m) for m in list(_SUMS)[:5]), F.lit(0)))
+        more = [exact("credits").alias("credits"), exact("rep_cost").alias("_reported"), F.sum("duration_ms").alias("duration_ms")]
+        sums = [F.sum(c).alias(m) for m, c in _SUMS.items()]
         if PRICED & set(spec.metrics) and ctx.prices is not None:
-            buckets = cost_buckets(fold, dims, ctx.prices).withColumn("_cash", pricing.cash(F.col("_usd"), mode if mode is not None else F.lit("api")))
-            own = F.col("_unreported")
-            cost = buckets.groupBy(*names).agg(null_dominant("_usd").alias("cost_api_equiv"), F.count(F.when(own, 1)).alias("_n_own"), F.when(F.count(F.when(own, 1)) == F.count(F.when(own, F.col("_cash"))), F.sum(F.when(own, F.col("_cash")))).alias("_own"))
-            base = join(base, cost)
+            parts = _priced(_parts(fold, dims, more), ctx.prices)
+            spent = sum((F.col(t) for t in TOKENS), F.lit(0)) > 0
+            parts = parts.withColumn("_cash", pricing.cash(F.col("_usd"), mode if mode is not None else F.lit("api"))).withColumns({"_spent": spent, "_owes": spent & F.col("_unreported")})
+            whole = lambda flag, value: F.when((F.count_if(F.col(flag)) > 0) & (F.count_if(F.col(flag)) == F.count(F.when(F.col(flag), F.col(value)))), F.sum(F.when(F.col(flag), F.col(value))))  # noqa: E731  null as soon as one is
+            stage = parts.groupBy(*names).agg(*sums, F.sum("credits").cast("double").alias("credits"), F.sum("_reported").alias("_reported"), whole("_spent", "_usd").cast("double").alias("cost_api_equiv"), F.count_if(F.col("_owes")).alias("_n_own"), whole("_owes", "_cash").alias("_own"))
+            base = join(base, stage)
             n = F.coalesce("_n_own", F.lit(0))
-            total = F.when((n > 0) & F.col("_own").isNull(), F.lit(None)).when((n == 0) & F.col("_reported").isNull(), F.lit(None)).otherwise(F.coalesce("_reported", F.lit(0.0)) + F.coalesce("_own", F.lit(0.0)))
+            zero = F.lit(0).cast(pricing.AMOUNT)
+            total = F.when((n > 0) & F.col("_own").isNull(), F.lit(None)).when((n == 0) & F.col("_reported").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_reported").cast(pricing.AMOUNT), zero) + F.coalesce(F.col("_own").cast(pricing.AMOUNT), zero))
             base = base.withColumn("cost_total", total.cast("double"))
         else:
-            base = base.withColumns({m: F.lit(None).cast("double") for m in PRICED})
+            stage = fold.select("*", *[c.alias(f"_d_{n}") for n, c in dims.items()]).groupBy(*names).agg(*sums, exact("credits").cast("double").alias("credits"))
+            base = join(base, stage).withColumns({m: F.lit(None).cast("double") for m in PRICED})
+        base = base.withColumns({m: F.coalesce(m, F.lit(0)) for m in _SUMS}).withColumn("tokens_total", sum((F.col(m) for m in list(_SUMS)[:5]), F.lit(0)))
     return base.select(*[F.col(f"_d_{n}").alias(n) for n in dims], *spec.metrics)
 
 
@@ -125,12 +137,14 @@ def billing_mode(billing: dict[str, dict] | None) -> Column:
 
 
 def ordered(df: DataFrame, spec: Spec) -> DataFrame:
-    """Rows in the spec's order: null is smallest, then all dims ascending, so that equal rows have one order."""
+    """Rows in the spec's order: null is smallest, text by the Unicode collation, then all dims ascending, so that equal
+    rows have one order."""
     column, ascending = spec.ordering()
     if column not in df.columns:
         return df
-    first = F.col(column).asc_nulls_first() if ascending else F.col(column).desc_nulls_last()
-    return df.orderBy(first, *[F.col(d).asc() for d in spec.dims if d != column])
+    by = lambda c: F.collate(F.col(c), "UNICODE") if df.schema[c].dataType.simpleString() == "string" else F.col(c)
+    first = by(column).asc_nulls_first() if ascending else by(column).desc_nulls_last()
+    return df.orderBy(first, *[by(d).asc() for d in spec.dims if d != column])
 
 
 def query(spec: Spec, ctx: Context, fold: DataFrame | None = None) -> Result:
@@ -154,4 +168,4 @@ def portions(ctx: Context, chosen: dict | None = None, by: tuple[str, ...] = ("a
     buckets = cost_buckets(folds.folded(events, ctx.policies), {n: dim(n) for n in by}, ctx.prices)
     names = [F.col(f"_d_{n}").alias(n) for n in by]
     paid = pricing.cash(F.col("_usd"), billing_mode(ctx.billing))
-    return buckets.groupBy(*names).agg(F.sum("_usd").alias("api_equivalent"), F.sum(paid).alias("cash"), F.bool_or(F.col("_usd").isNull()).alias("partial"))
+    return buckets.groupBy(*names).agg(F.sum("_usd").cast("double").alias("api_equivalent"), F.sum(paid).cast("double").alias("cash"), F.bool_or(F.col("_usd").isNull()).alias("partial"))

@@ -115,7 +115,7 @@ def normalized(scanned: DataFrame, c: Connector, clock: int) -> tuple[DataFrame,
     kind = first_of(c.kind)
     good = good.withColumns({"_ts": at, "_origin": origin, "_kind": kind, "_source": model.source_id(F.lit(c.agent), F.col("path"))})
     native, record = first_of(c.session), first_of(c.record)
-    good = good.withColumn("_session", model.session_id(native, F.col("_source"), record, F.col("_ts")))
+    good = good.withColumn("_session", model.session_id(F.lit(c.agent), native, F.col("_source"), record, F.col("_ts")))
     request = first_of(c.request)
     if c.fallback_request:
         request = F.coalesce(request, F.when(native.isNotNull() & record.isNotNull(), F.concat(F.lit("req#"), native, F.lit("/"), record)))

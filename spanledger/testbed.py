@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ in_force AS (
     arg_max(coalesce(q.preason, 0), q.eff * 10 + q.prio) AS preason, max(q.eff) AS eff
   FROM (SELECT DISTINCT provider, model, dayno FROM bucket) d JOIN prices q ON q.provider = d.provider AND q.model = d.model AND q.eff <= d.dayno * 86400000 + 43200000 GROUP BY ALL),
 priced AS (
-  SELECT b.*, p.eff, b.i * p.pin / 1e6 + b.o * p.pout / 1e6 + b.cr * p.pcr / 1e6 + b.cw * p.pcw / 1e6 + b.re * p.preason / 1e6 AS usd,
+  SELECT b.*, p.eff, CAST(b.i AS DECIMAL(13,0)) * e(p.pin) + CAST(b.o AS DECIMAL(13,0)) * e(p.pout) + CAST(b.cr AS DECIMAL(13,0)) * e(p.pcr) + CAST(b.cw AS DECIMAL(13,0)) * e(p.pcw) + CAST(b.re AS DECIMAL(13,0)) * e(p.preason) AS usd,
     CASE WHEN b.agent_key = 'beta' OR (b.agent_key = 'delta' AND b.model = 'm-0') THEN false ELSE true END AS cash
   FROM bucket b LEFT JOIN in_force p ON p.provider = b.provider AND p.model = b.model AND p.dayno = b.dayno)
 """
@@ -89,4 +91,5 @@ priced AS (
 
 def sql(where: str = "true", dims: str = "") -> str:
     """The common table expressions with a filter on events before the fold, and dimensions of the price buckets."""
-    return SQL.replace("{where}", where).replace("{dims}", dims)
+    each = lambda m: f"CAST(CAST({m[1]} AS DECIMAL(18,6)) * CAST(0.000001 AS DECIMAL(7,6)) AS DECIMAL(20,12))"  # noqa: E731  dollars a token
+    return re.sub(r"\be\(([a-z.]+)\)", each, SQL).replace("{where}", where).replace("{dims}", dims)
