@@ -356,7 +356,8 @@ def deterministic_ids(spark, sf_dir):
 
 @register(testbed.sql() + "SELECT id, CASE WHEN type = 'generation.end' THEN 'chat ' || model WHEN type = 'tool.start' THEN 'execute_tool ' || capability_name ELSE type END AS span_name, CASE WHEN type = 'generation.end' THEN 'chat' WHEN type = 'tool.start' THEN 'execute_tool' END AS operation, CAST(input_tokens AS VARCHAR) AS input_tokens, model FROM ev")
 def otel_attributes(spark, sf_dir):
-    rows = testbed.events(spark, sf_dir).withColumn("a", export.attributes())
+    rows = testbed.events(spark, sf_dir)
+    rows = rows.withColumn("a", export.attributes(rows.columns))
     return rows.select("id", export.span_name().alias("span_name"), F.col("a")["gen_ai.operation.name"].alias("operation"), F.col("a")["gen_ai.usage.input_tokens"].alias("input_tokens"), F.col("a")["gen_ai.request.model"].alias("model"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NONE = F.lit("n/a")
+_NONE = "n/a"
 
 
 def usd(v: Column) -> Column:

@@ -7,19 +7,31 @@ from pyspark.sql import functions as F
 
 from spanledger.operators.derive import canonical_order
 
-# The columns of the CSV export in their order, and span attributes of event columns.
-CSV_COLUMNS = ["id", "agent_id", "host_id", "source_id", "session_id", "project_id", "thread_id", "request_id", "parent_event_id", "timestamp", "type", "subtype", "provider", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "usage_source", "status", "cost_reported", "capability_type", "capability_name", "duration_ms", "error_fingerprint", "raw_seq"]
+# The columns of the CSV export in their order, span attributes with the event columns that they hold, and
+# operations of event types. Attributes that no convention names have a prefix of our own.
+CSV_COLUMNS = [
+    "id", "schema_version", "agent_id", "host_id", "source_id", "session_id", "project_id",
+    "request_id", "timestamp", "type", "subtype", "model", "provider",
+    "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens",
+    "usage_source", "capability_type", "capability_name", "duration_ms", "status", "metadata",
+    "thread_id", "cost_reported", "cost_source",
+]
 ATTRIBUTES = {
-    "gen_ai.system": "provider", "gen_ai.request.model": "model", "gen_ai.response.id": "request_id", "gen_ai.conversation.id": "session_id", "gen_ai.agent.id": "agent_id", "gen_ai.usage.input_tokens": "input_tokens", "gen_ai.usage.output_tokens": "output_tokens",
-    "gen_ai.usage.cache_read_tokens": "cache_read_tokens", "gen_ai.usage.cache_write_tokens": "cache_write_tokens", "gen_ai.usage.reasoning_tokens": "reasoning_tokens", "gen_ai.tool.name": "capability_name", "gen_ai.tool.type": "capability_type", "error.type": "error_fingerprint",
-    "host.id": "host_id", "project.id": "project_id", "thread.id": "thread_id", "event.type": "type",
+    "gen_ai.provider.name": "provider", "gen_ai.request.model": "model", "gen_ai.response.model": "model",
+    "gen_ai.usage.input_tokens": "input_tokens", "gen_ai.usage.output_tokens": "output_tokens", "gen_ai.usage.cache_read.input_tokens": "cache_read_tokens", "gen_ai.usage.cache_creation.input_tokens": "cache_write_tokens",
+    "spanledger.cost_reported": "cost_reported", "spanledger.cost_source": "cost_source", "spanledger.host_id": "host_id",
+    "spanledger.capability.type": "capability_type", "spanledger.capability.name": "capability_name", "spanledger.capability.provider": "capability_provider",
+    "spanledger.request_id": "request_id", "spanledger.thread_id": "thread_id", "spanledger.source_id": "source_id", "spanledger.raw_seq": "raw_seq", "spanledger.project_id": "project_id", "spanledger.event.type": "type",
+}
+OPERATIONS = {
+    "generation.start": "chat", "generation.end": "chat", "tool.start": "execute_tool", "tool.end": "execute_tool", "tool.result": "execute_tool",
+    "subagent.start": "invoke_agent", "subagent.end": "invoke_agent", "skill.invoke": "invoke_agent",
 }
 BATCH = 500
 
 
 def operation() -> Column:
-    kind = F.col("type")
-    return F.when(kind.startswith("generation."), "chat").when(kind.isin("tool.start", "tool.end", "tool.result", "mcp.invoke", "plugin.invoke", "connector.invoke", "skill.invoke"), "execute_tool").when(kind.startswith("subagent."), "invoke_agent").when(kind == "session.start", F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in OPERATIONS.items()])
 
 
 def span_name() -> Column:
@@ -27,16 +39,13 @@ def span_name() -> Column:
     return F.when(operation().isNotNull() & subject.isNotNull(), F.concat_ws(" ", operation(), subject)).otherwise(F.col("type"))
 
 
-def attributes(columns: list[str] | None = None) -> Column:
-    """Attributes of a span, without those that are null. columns: those the events have; all if not given."""
-    pairs = {k: v for k, v in ATTRIBUTES.items() if v in (columns or _DEFAULT)}
+def attributes(columns: list[str]) -> Column:
+    """Attributes of a span of events with these columns, without those that are null."""
+    pairs = {k: v for k, v in ATTRIBUTES.items() if v in columns}
     every = F.map_from_arrays(F.array(*map(F.lit, [*pairs, "gen_ai.operation.name"])), F.array(*[F.col(v).cast("string") for v in pairs.values()], operation()))
     return F.map_filter(every, lambda _, v: v.isNotNull())
 
 
-_DEFAULT = [v for v in ATTRIBUTES.values() if v != "error_fingerprint"]
-
-
 def first_rows(events: DataFrame, limit: int | None = None) -> DataFrame:
     rows = events.orderBy(*canonical_order(events))
     return rows if limit is None else rows.limit(limit)
@@ -64,9 +73,21 @@ def spans(events: DataFrame) -> DataFrame:
 
 
 def otlp_batches(events: DataFrame, batch: int = BATCH) -> DataFrame:
-    """JSON bodies of ``batch`` spans at most, a resource (agent, host) each. Sending them is not Spark's."""
-    w = Window.partitionBy("agent_id", "host_id").orderBy("timestamp", "raw_seq", "id")
-    rows = spans(events).withColumn("_batch", F.floor((F.row_number().over(w) - 1) / batch))
+    """JSON bodies of ``batch`` spans at most, a resource (agent, host) each, in time order. Sending them is not Spark's.
+
+    Spans are dealt into ranges of (agent, host, time) and cut into batches where they lie, so a resource of any size is
+    the work of many tasks; a batch ends where a range does.
+    """
+    rows = spans(events).repartitionByRange("agent_id", "host_id", "timestamp", "raw_seq", "id").withColumn("_part", F.spark_partition_id())
+    w = Window.partitionBy("_part", "agent_id", "host_id").orderBy("timestamp", "raw_seq", "id")
+    rows = rows.withColumn("_batch", F.floor((F.row_number().over(w) - 1) / batch))
     body = F.to_json(F.struct(F.struct("agent_id", "host_id").alias("resource"), F.col("spans")))
-    span = F.struct("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", "attributes")
-    return rows.groupBy("agent_id", "host_id", "_batch").agg(F.collect_list(span).alias("spans")).select("agent_id", "host_id", F.col("_batch").alias("batch"), F.size("spans").alias("n"), body.alias("body"))
+    order = F.struct("timestamp", "raw_seq", "id", F.struct("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", "attributes").alias("span"))
+    lists = rows.withColumn("_span", order).groupBy("agent_id", "host_id", "_part", "_batch").agg(F.array_sort(F.collect_list("_span"), lambda a, b: F.when(F.struct(a["timestamp"], a["raw_seq"], a["id"]) < F.struct(b["timestamp"], b["raw_seq"], b["id"]), -1).otherwise(1)).alias("_spans"))
+    lists = lists.withColumn("spans", F.transform("_spans", lambda x: x["span"]))
+    return lists.select("agent_id", "host_id", F.concat_ws("-", "_part", "_batch").alias("batch"), F.size("spans").alias("n"), body.alias("body"))
+
+
+def table_dump(table: DataFrame, *key: str) -> DataFrame:
+    """All rows of a table in the order of its key, as comparisons of two stores need it."""
+    return table.orderBy(*key) if key else table.orderBy(*table.columns)

@@ -12,9 +12,10 @@ from spanledger.functions.pricing import PER_MTOK, PRICE_COLUMNS, invalid_prices
 PRICE_SCHEMA = "provider string, model string, effective_from long, " + ", ".join(f"{c} double" for c in PER_MTOK) + ", price_source string"
 
 
-def _kept(model: Column) -> Column:
-    """Entries of whole models: no budget ids, no route variants, no aliases that roll."""
-    return model.isNotNull() & (model != "") & ~model.endswith("-budget") & ~model.contains(":") & ~model.rlike(r"[~^]")
+def _split(full: Column, provider: Column) -> tuple[Column, Column]:
+    """Provider and model of an id: what stands before and behind its first slash, else the provider given and all of it."""
+    cut = full.rlike("^[^/]+/")
+    return F.when(cut, F.regexp_extract(full, "^([^/]+)/", 1)).otherwise(F.coalesce(provider, F.lit("unknown"))), F.when(cut, F.regexp_replace(full, "^[^/]+/", "")).otherwise(full)
 
 
 def _per_mtok(raw: Column) -> Column:
@@ -28,8 +29,9 @@ def litellm(text: DataFrame) -> DataFrame:
     entries = text.select(F.explode(F.from_json("value", "map<string, string>")).alias("model", "record"))
     at = lambda k: F.get_json_object("record", f"$.{k}")
     prices = [_per_mtok(at(k)) for k in ("input_cost_per_token", "output_cost_per_token", "cache_read_input_token_cost", "cache_creation_input_token_cost", "input_cost_per_reasoning_token")]
-    name = F.regexp_extract("model", r"([^/]*)$", 1)
-    return entries.where(_kept(F.col("model"))).select(F.coalesce(at("litellm_provider"), F.lit("")).alias("provider"), name.alias("model"), F.coalesce(at("effective_from").try_cast("long"), F.lit(0)).alias("effective_from"), *[p.alias(c) for p, c in zip(prices, PER_MTOK)], F.lit("litellm").alias("price_source")).where("input_per_mtok is not null or output_per_mtok is not null")
+    provider, name = _split(F.col("model"), at("litellm_provider"))
+    budget = F.col("model").rlike(r"(?i)[-_]budget\b")  # duplicates under another budget
+    return entries.where((F.col("model") != "") & ~budget).select(provider.alias("provider"), name.alias("model"), F.coalesce(at("effective_from").try_cast("long"), F.lit(0)).alias("effective_from"), *[p.alias(c) for p, c in zip(prices, PER_MTOK)], F.lit("litellm").alias("price_source")).where("input_per_mtok is not null or output_per_mtok is not null")
 
 
 def openrouter(text: DataFrame) -> DataFrame:
@@ -37,13 +39,15 @@ def openrouter(text: DataFrame) -> DataFrame:
     entries = text.select(F.explode(F.from_json(F.coalesce(F.get_json_object("value", "$.data"), F.col("value")), "array<struct<id:string,model:string,effective_from:long,pricing:map<string,string>>>")).alias("e"))
     full = F.coalesce("e.id", "e.model")
     prices = [_per_mtok(F.try_element_at("e.pricing", F.lit(k))) for k in ("prompt", "completion", "input_cache_read", "input_cache_write", "internal_reasoning")]
-    return entries.where(_kept(full)).select(F.regexp_extract(full, r"^([^/]*)/", 1).alias("provider"), F.regexp_extract(full, r"([^/]*)$", 1).alias("model"), F.coalesce("e.effective_from", F.lit(0).cast("long")).alias("effective_from"), *[p.alias(c) for p, c in zip(prices, PER_MTOK)], F.lit("openrouter").alias("price_source"))
+    provider, name = _split(full, F.lit(None).cast("string"))
+    routes = full.contains(":") | full.rlike("^[~^]")  # variants of a route, and aliases that roll
+    return entries.where(full.isNotNull() & (full != "") & ~routes).select(provider.alias("provider"), name.alias("model"), F.coalesce("e.effective_from", F.lit(0).cast("long")).alias("effective_from"), *[p.alias(c) for p, c in zip(prices, PER_MTOK)], F.lit("openrouter").alias("price_source"))
 
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of prices. One bad line makes all of them void: the error lists every one."""
     rows = spark.read.schema(PRICE_SCHEMA + ", _corrupt_record string").json(path).withColumn("price_source", F.coalesce("price_source", F.lit("override"))).withColumn("line", F.monotonically_increasing_id())
-    bad = invalid_prices(rows).orderBy("line").select("reasons", F.to_json(F.struct("provider", "model")).alias("which")).limit(100).collect()
+    bad = invalid_prices(rows).orderBy("line").select("reasons", F.to_json(F.struct("provider", "model")).alias("which")).collect()  # written by hand
     if bad:
         raise ValueError("; ".join(f"{r['which']}: {', '.join(r['reasons'])}" for r in bad))
     return rows.select(*PRICE_COLUMNS)

@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 LONGEST_LINE = 8 * 1024 * 1024
 LINE_SCHEMA = "path string, modified long, seq long, offset long, end long, line string, oversized boolean"
 #: Names that a record's time may have, first usable one first.
-TIME_FIELDS = ["timestamp", "ts", "time", "created_at", "createdAt", "date"]
+TIME_FIELDS = ["timestamp", "created_at", "createdAt", "time", "ts", "created"]
 
 
-def frames(content: bytes, start: int = 0, seq: int = 0):
-    """(seq, offset, end, line or None if oversized) of each line that ends; a fragment behind the last is left alone."""
+def frames(content: bytes, start: int = 0, seq: int = 1):
+    """(seq, offset, end, line or None if oversized) of each line that ends; a fragment behind the last is left alone.
+
+    Every line counts, from 1 on; blank ones are left out."""
     at = start
     while (stop := content.find(b"\n", at)) >= 0:
         raw = content[at:stop]
         raw = raw[:-1] if raw.endswith(b"\r") else raw
         if raw.strip():
             yield seq, at, stop + 1, raw if len(raw) <= LONGEST_LINE else None
-            seq += 1
+        seq += 1
         at = stop + 1
 
 
@@ -54,14 +56,14 @@ def lines(spark: SparkSession, root: str, glob: str = "*.jsonl", progress: DataF
     if progress is not None:
         files = files.join(progress.select("path", "offset", "seq"), "path", "left")
     else:
-        files = files.withColumn("offset", F.lit(0).cast("long")).withColumn("seq", F.lit(0).cast("long"))
+        files = files.withColumn("offset", F.lit(0).cast("long")).withColumn("seq", F.lit(1).cast("long"))
 
     def run(batches):
         for b in batches:
             for path, modified, content, offset, seq in zip(*(c.to_pylist() for c in b.columns)):
                 offset = offset or 0
                 fresh = offset > len(content)  # shorter than before: rotated, so it is read from the start
-                rows = [(path, modified, n, at, end, (raw or b"").decode("utf-8", "replace") if raw is not None else None, raw is None) for n, at, end, raw in frames(content, 0 if fresh else offset, 0 if fresh else seq or 0)]
+                rows = [(path, modified, n, at, end, (raw or b"").decode("utf-8", "replace") if raw is not None else None, raw is None) for n, at, end, raw in frames(content, 0 if fresh else offset, 1 if fresh else seq or 1)]
                 if rows:
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "modified", "seq", "offset", "end", "line", "oversized"])
@@ -89,12 +91,14 @@ def json_at(path: str, column: str = "line") -> Column:
 def record_time(modified: Column, clock: int, fields: list[str] | None = None) -> tuple[Column, Column]:
     """Milliseconds of a record and where they come from: its first usable field, the file, or the scan's clock.
 
-    Numbers under 1e11 are seconds.
+    Numbers under 1e11 are seconds; text is a date or nothing, so digits in quotes are no time.
     """
     def usable(name: str) -> Column:
         raw = json_at(f"$.{name}")
-        n = raw.try_cast("double")
-        return F.coalesce(F.when(n > 0, F.when(n < 1e11, n * 1000).otherwise(n)).cast("long"), F.unix_millis(F.try_to_timestamp(raw)))
+        kind = F.expr(f"schema_of_variant(try_variant_get(try_parse_json(line), '$.{name}', 'variant'))")
+        n = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), raw.try_cast("double"))
+        date = F.when((kind == "STRING") & ~raw.rlike(r"^\s*[0-9.]+\s*$"), F.unix_millis(F.try_to_timestamp(raw)))
+        return F.coalesce(F.when(n < 1e11, n * 1000).otherwise(n).cast("long"), date)
 
     own = F.coalesce(*[usable(f) for f in fields or TIME_FIELDS])
     return F.coalesce(own, modified, F.lit(clock)), F.when(own.isNotNull(), "record").when(modified.isNotNull(), "file").otherwise("clock")

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanledger import testbed
-from spanledger.functions import model, text
-from spanledger.operators import derive
+from spanledger.functions import model, show, text
+from spanledger.operators import derive, state
 from spanledger.plans import fold
 from spanledger.sources import connectors, export, prices, scan
 from spanledger.streaming import ingest
@@ -16,8 +16,8 @@ from .test_cube import NOW, event, frame
 
 def test_frames():
     content = b'{"a":1}\r\n\n{"b":2}\n{"c"'
-    assert [(n, a, e, x) for n, a, e, x in scan.frames(content)] == [(0, 0, 9, b'{"a":1}'), (1, 10, 18, b'{"b":2}')]
-    assert [x[0] for x in scan.frames(content, 10, 1)] == [1]
+    assert [(n, a, e, x) for n, a, e, x in scan.frames(content)] == [(1, 0, 9, b'{"a":1}'), (3, 10, 18, b'{"b":2}')]
+    assert [x[0] for x in scan.frames(content, 10, 3)] == [3]
     assert next(scan.frames(b"x" * (scan.LONGEST_LINE + 1) + b"\n"))[3] is None
 
 
@@ -49,7 +49,7 @@ def test_claude_code_records(spark, tmp_path):
     progress = spark.createDataFrame(scan.progress_of(found).collect())  # as a store keeps it
     with (tmp_path / "a.jsonl").open("a") as f:
         f.write('"}\n' + json.dumps(odd) + "\n")
-    assert [r["seq"] for r in scan.lines(spark, str(tmp_path), progress=progress).collect()] == [6, 7]
+    assert [r["seq"] for r in scan.lines(spark, str(tmp_path), progress=progress).collect()] == [7, 8]
 
 
 @pytest.mark.parametrize("agent,record,expected", [
@@ -122,7 +122,9 @@ def test_payloads_and_text(spark):
 
 def test_price_sources(spark, tmp_path):
     lite = spark.createDataFrame([(json.dumps({"a/m1": {"litellm_provider": "a", "input_cost_per_token": 1e-6, "output_cost_per_token": "nan"}, "x-budget": {"input_cost_per_token": 1}, "m:free": {"input_cost_per_token": 1}}),)], "value string")
-    assert [(r["provider"], r["model"], r["input_per_mtok"], r["output_per_mtok"]) for r in prices.litellm(lite).collect()] == [("a", "m1", 1.0, None)]
+    assert [(r["provider"], r["model"], r["input_per_mtok"], r["output_per_mtok"]) for r in prices.litellm(lite).collect() if r["provider"] != "unknown"] == [("a", "m1", 1.0, None)]
+    odd = spark.createDataFrame([(json.dumps({"data": [{"id": f"b/{m}", "pricing": {"prompt": "1"}} for m in ("m:free", "x_Budget", "x-budgets")] + [{"id": "~b/latest", "pricing": {"prompt": "1"}}, {"id": "b/a~1", "pricing": {"prompt": "1"}}]}),)], "value string")
+    assert sorted(r["model"] for r in prices.openrouter(odd).collect()) == ["a~1", "x-budgets", "x_Budget"]
     opened = spark.createDataFrame([(json.dumps({"data": [{"id": "b/m2", "pricing": {"prompt": "0.000002", "completion": "-1"}}]}),)], "value string")
     assert [(r["provider"], r["model"], r["input_per_mtok"], r["output_per_mtok"]) for r in prices.openrouter(opened).collect()] == [("b", "m2", 2.0, None)]
     good = {"provider": "p", "model": "m", "effective_from": 0, "input_per_mtok": 1.0, "output_per_mtok": 1.0}
@@ -138,7 +140,9 @@ def test_price_sources(spark, tmp_path):
 
 def test_activations_and_forest(spark):
     rows = spark.createDataFrame([("s", "k", n) for n in (1, 10, 20, 30, 54, 55)], "session_id string, skill string, seq long")
-    assert sorted(r["seq"] for r in derive.activations(rows).collect()) == [1, 30, 55]
+    assert sorted(r["seq"] for r in derive.activations(rows).collect()) == [1, 30]  # 55 lies just 25 behind 30
+    later = spark.createDataFrame([("s", "k", n) for n in (1, 26, 27, 56)], "session_id string, skill string, seq long")
+    assert sorted(r["seq"] for r in derive.activations(later).collect()) == [1, 27, 56]
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 5)], "id long, parent long")
     assert {r["id"]: (r["root"], r["depth"]) for r in derive.roots(nodes).collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 5: (5, None), 6: (5, None), 7: (5, None)}
 
@@ -149,3 +153,84 @@ def test_exports(spark, tmp_path):
     assert sum(b["n"] for b in batches) == events.count() and max(b["n"] for b in batches) == 100
     export.write_csv(events, str(tmp_path / "csv"), 10)
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 10
+
+
+def test_deep_chains_and_cycles(spark):
+    chain = [(i, i - 1 if i else None) for i in range(300)]
+    ring = [(1000 + i, 1000 + (i + 1) % 70) for i in range(70)]
+    tail = [(500 + i, 501 + i if i < 39 else 1010) for i in range(40)]  # ids below the ring's that lead into it
+    got = {r["id"]: (r["root"], r["depth"]) for r in derive.roots(spark.createDataFrame(chain + ring + tail, "id long, parent long")).collect()}
+    assert all(got[i] == (0, i) for i in range(300)) and all(got[i] == (1000, None) for i, _ in ring + tail)
+
+
+def test_nearest_spawn_by_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    at = lambda: (f"s{rng.randrange(3)}", f"f{rng.randrange(3)}", rng.randrange(12), rng.randrange(30))
+    spawns, chains = [(f"p{i:03d}", *at()) for i in range(120)], [(f"c{i:03d}", *at()) for i in range(120)]
+    want = {}
+    for c, session, source, ts, seq in chains:
+        fits = [(t, q, i) for i, s, o, t, q in spawns if s == session and t <= ts and (o != source or q <= seq)]
+        if fits:
+            want[c] = max(fits)[2]
+    columns = "session_id string, source_id string, ts long, seq long"
+    got = derive.nearest_spawns(spark.createDataFrame(chains, f"chain_id string, {columns}"), spark.createDataFrame(spawns, f"id string, {columns}"))
+    assert {r["chain_id"]: r["spawn_id"] for r in got.collect()} == want
+
+
+def test_series(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", 4), ("c", 3), ("d", 0)], "k string, v long")
+    top = lambda n: [(r["k"], r["v"], r["rank"]) for r in derive.top_n_other(rows, "k", "v", n).orderBy("rank").collect()]
+    assert top(3) == [("a", 5, 1), ("b", 4, 2), ("c", 3, 3)] and top(2) == [("a", 5, 1), ("Other", 7, 2)]
+    change = lambda v: derive.half_over_half(spark.createDataFrame(list(enumerate(v)), "i long, v double"), "i", "v").first()[0]
+    assert change([1.0, 1.0, 2.0, 2.0]) == 1.0 and change([-1.0, -1.0, 2.0, 2.0]) is None and change([1.0, 2.0, 3.0]) is None
+
+
+def test_times_and_ids(spark):
+    import hashlib
+
+    lines = [({"ts": 1735689602}, 1735689602000), ({"ts": "1735689602"}, 7), ({"created": "2025-01-01T00:00:02Z", "date": 5}, 1735689602000), ({"time": "soon", "ts": 1735689602000}, 1735689602000)]
+    rows = spark.createDataFrame([(json.dumps(x), 7, w) for x, w in lines], "line string, modified long, want long")
+    assert all(r["t"] == r["want"] for r in rows.withColumn("t", scan.record_time(F.col("modified"), NOW)[0]).collect())
+    sha = lambda *p: hashlib.sha256("\0".join(p).encode()).hexdigest()
+    lit = lambda x: F.lit(x).cast("string")
+    ids = spark.range(1).select(model.session_id(lit("a"), lit("n"), lit("s"), lit("r"), F.lit(0)), model.session_id(lit("a"), lit(None), lit("s"), lit("r"), F.lit(0)), model.session_id(lit("a"), lit(""), lit("s"), lit(None), F.lit(3_700_000)), model.error_fingerprint(lit(" Bad 0x12ab. at 7 "))).first()
+    assert tuple(ids) == (sha("session", "a", "n"), sha("session-from-source", "s", "r"), sha("session-from-bucket", "s", "2"), sha("error", "bad nxnab at n"))
+
+
+def test_state_of_records(spark):
+    rows = spark.createDataFrame([("f", 1, 1, "a"), ("f", 2, 2, "b"), ("f", 3, 1, "c"), ("g", 1, 5, "d")], "source_id string, arrival long, seq long, id string")
+    assert {r["id"]: r["run"] for r in state.runs_of(rows).collect()} == {"a": 0, "b": 0, "c": 1, "d": 0}
+    assert {r["id"] for r in state.first_marked(rows, "source_id").where("first").collect()} == {"a", "d"}
+    assert {r["source_id"]: r["id"] for r in state.latest_state(rows, "source_id", "id").collect()} == {"f": "b", "g": "d"}
+    events = frame(spark, [event(1, input_tokens=3, model="m"), event(2)])
+    got = {r["id"]: r for r in state.rehydrated(events).collect()}
+    assert got["0001"]["usage"]["output_tokens"] == 0 and got["0001"]["usage"]["input_tokens"] == 3 and got["0002"]["usage"] is None and got["0002"]["model"] is None
+    hooks = spark.createDataFrame([("h1", "f", "t1", "x", 0), ("h2", "f", "t9", "x", 2), ("h3", "f", None, "x", None)], "id string, source_id string, tool_use_id string, hook string, exit_code int")
+    calls = spark.createDataFrame([("c1", "f", "t1", 1), ("c2", "f", "t1", 4)], "id string, source_id string, call_id string, seq long")
+    assert {r["id"]: (r["parent_event_id"], r["status"]) for r in state.hooked(hooks, calls).collect()} == {"h1": ("c2", "ok"), "h2": (None, "error"), "h3": (None, "unknown")}
+    part = spark.createDataFrame([("p1", "m1", None, "{}"), ("p2", "m9", "s9", "{}")], "id string, message_id string, session_id string, data string")
+    message = spark.createDataFrame([("m1", "s1", '{"role":"user","modelID":"x"}')], "id string, session_id string, data string")
+    session = spark.createDataFrame([("s1", None, "/d", "T")], "id string, parent_id string, directory string, title string")
+    assert {r["id"]: (r["role"], r["session_id"], r["title"]) for r in state.store_rows(part, message, session).collect()} == {"p1": ("user", "s1", "T"), "p2": (None, "s9", None)}
+
+
+def test_formats(spark):
+    row = spark.range(1).select(*[show.usd(F.lit(v).cast("double")) for v in (None, 0.0, 0.12345, 1234.5)], *[show.tokens(F.lit(v).cast("long")) for v in (None, 999, 1000, 2_560_000)], *[show.millis(F.lit(v).cast("long")) for v in (None, 1499, 61_000, 3_720_000)], show.count(F.lit(1234567)))
+    assert tuple(row.first()) == ("n/a", "$0.00", "$0.1235", "$1,234.50", "n/a", "999", "1k", "2.6M", "n/a", "1s", "1m01s", "1h02m", "1,234,567")
+
+
+def test_export_names(spark):
+    got = export.csv_rows(frame(spark, [event(1)]))
+    assert got.columns[:4] == ["id", "schema_version", "agent_id", "host_id"] and got.columns[-3:] == ["thread_id", "cost_reported", "cost_source"] and len(got.columns) == 27
+    events = frame(spark, [event(1, type="skill.invoke", model="m", provider="p", cache_read_tokens=2), event(2, type="mcp.invoke")])
+    a, b = [r["a"] for r in events.withColumn("a", export.attributes(events.columns)).orderBy("id").collect()]
+    assert a["gen_ai.operation.name"] == "invoke_agent" and a["gen_ai.usage.cache_read.input_tokens"] == "2" and a["gen_ai.response.model"] == "m" and "gen_ai.operation.name" not in b
+
+
+def test_project_roots(spark):
+    paths = spark.createDataFrame([("/w/a/.worktrees/x/y",), ("/w/a/b/c",), ("/z/q-1",), ("/other",)], "path string")
+    rules = spark.createDataFrame([("/w/a", "A"), ("/w/a/b", "B")], "prefix string, root string")
+    got = {r["path"]: r["root"] for r in derive.merged_roots(paths, rules, [("q-[0-9]", "Q"), ("q", "R")]).collect()}
+    assert got == {"/w/a/.worktrees/x/y": "A", "/w/a/b/c": "B", "/z/q-1": "Q", "/other": "/other"}
