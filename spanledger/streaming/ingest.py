@@ -52,38 +52,97 @@ def pruned(events: DataFrame, payloads: DataFrame, now: int, days: int = 30, eve
     return left, kept.join(gone.select(F.col("id").alias("event_id")), "event_id", "left_anti") if events_too else kept, gone
 
 
+def joined(spans: list[list[int]]) -> list[list[int]]:
+    """Spans of whole numbers, ascending and without neighbours: batch ids that follow each other are one span."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 class Store:
     """Events and their fold below one path, in buckets: events by source, groups by key.
 
-    A batch writes new versions of the buckets that it touches and then moves one small pointer file, which maps
-    buckets to versions; so a reader sees one state whole, and a batch that fails or comes twice leaves nothing that
-    anyone reads. Groups that a batch touches are folded from all their events, since a running maximum could not go
+    A batch writes new versions of the buckets that it touches and then adds one small pointer file, which maps
+    buckets to versions; the greatest number counts. So a reader sees one state whole, and a batch that fails or comes
+    twice leaves nothing that anyone reads. ``sweep`` removes what no pointer names any more, ``grow`` deals a store into
+    more buckets. Groups that a batch touches are folded from all their events, since a running maximum could not go
     down when a record is repaired; a group lists the buckets of its members, so only those are read. No watermark:
     late data is data.
     """
 
     def __init__(self, spark: SparkSession, path: str, policies: dict[str, str], buckets: int = BUCKETS):
-        self.spark, self.path, self.policies, self.buckets = spark, path.rstrip("/"), policies, buckets
+        self.spark, self.path, self.policies = spark, path.rstrip("/"), policies
+        self.buckets = self.pointer().get("buckets", buckets)
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        p, fs = self._fs(f"{self.path}/pointer")
+        return sorted(n for x in fs.listStatus(p) if (n := x.getPath().getName()).endswith(".json")) if fs.exists(p) else []
+
     def pointer(self) -> dict:
-        p, fs = self._fs(f"{self.path}/current.json")
-        if not fs.exists(p):
-            return {"version": 0, "batches": [], "policies": {}, "events": {}, "fold": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
+        names = self._pointers()
+        if not names:
+            return {"number": 0, "version": 0, "batches": [], "policies": {}, "events": {}, "fold": {}, "tables": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/pointer/{names[-1]}", wholetext=True).first()[0])
 
     def _point(self, state: dict) -> None:
-        p, fs = self._fs(f"{self.path}/current.json.tmp")
-        out = fs.create(p, True)
+        """Writes the next pointer aside and gives it its number: it is there whole or not at all."""
+        state |= {"number": state["number"] + 1, "buckets": self.buckets}
+        aside, fs = self._fs(f"{self.path}/pointer/{state['number']:012d}.tmp")
+        out = fs.create(aside, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        final, _ = self._fs(f"{self.path}/current.json")
-        fs.delete(final, False)
-        if not fs.rename(p, final):
-            raise RuntimeError(f"cannot move the pointer of {self.path}")
+        if not fs.rename(aside, self._fs(f"{self.path}/pointer/{state['number']:012d}.json")[0]):
+            raise RuntimeError(f"another writer has moved the pointer of {self.path}")
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        """A further table as it was last committed."""
+        version = self.pointer()["tables"].get(name)
+        return self.spark.createDataFrame([], schema) if version is None else self.spark.read.parquet(f"{self.path}/tables/{name}/v{version}")
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """New versions of further tables, which become visible together."""
+        state = self.pointer()
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.path}/tables/{name}/v{state['number'] + 1}")
+            state["tables"] = state["tables"] | {name: state["number"] + 1}
+        self._point(state)
+
+    def sweep(self) -> int:
+        """Deletes the buckets and pointers that the current state does not name; for when no reader is at an older one."""
+        state, gone = self.pointer(), 0
+        for what in ("events", "fold"):
+            named = {f"v{v}/bucket={b}" for b, v in state[what].items()}
+            top, fs = self._fs(f"{self.path}/{what}")
+            for version in fs.listStatus(top) if fs.exists(top) else []:
+                for bucket in fs.listStatus(version.getPath()):
+                    name = bucket.getPath().getName()
+                    if "=" in name and f"{version.getPath().getName()}/{name}" not in named:
+                        fs.delete(bucket.getPath(), True)
+                        gone += 1
+        for name in self._pointers()[:-1]:
+            p, fs = self._fs(f"{self.path}/pointer/{name}")
+            fs.delete(p, False)
+        return gone
+
+    def grow(self, buckets: int) -> None:
+        """Deals events and fold into another number of buckets, as one new version."""
+        state = self.pointer()
+        rows = self._read("events", state)
+        self.buckets = buckets
+        if rows is not None:
+            version, every = state["version"] + 1, set(range(max(buckets, *map(int, state["events"]), *map(int, state["fold"] or ["0"])) + 1))
+            self._write("events", version, rows.withColumn(folds.BUCKET, self._of_source()), every, state)
+            self._refold(state, version, None, every)
+            state["version"] = version
+        self._point(state)
 
     def _read(self, what: str, state: dict, only: set[int] | None = None) -> DataFrame | None:
         """The current buckets of events or fold, or some of them; null if there are none."""
@@ -119,7 +178,7 @@ class Store:
     def apply(self, batch: DataFrame, batch_id: int | None = None) -> dict[str, int]:
         """Writes a batch; a batch id that was applied before changes nothing. Returns how many rows were new or changed."""
         state = self.pointer()
-        if batch_id is not None and batch_id in state["batches"]:
+        if batch_id is not None and any(a <= batch_id <= b for a, b in state["batches"]):
             return {"new": 0, "changed": 0}
         version = state["version"] + 1
         hit = self._distinct(batch.select(self._of_source()))
@@ -131,7 +190,7 @@ class Store:
         counts = {r[0]: r[1] for r in merged.groupBy("_change").count().collect()}
         done = {"new": counts.get("new", 0), "changed": counts.get("changed", 0)}
         if batch_id is not None:
-            state["batches"] = [*state["batches"], batch_id][-1000:]
+            state["batches"] = joined([*state["batches"], [batch_id, batch_id]])
         moved = state["policies"] != self.policies and state["version"] > 0
         if any(done.values()) or moved:
             changed = merged.where("_change <> 'same'").drop("_change")

@@ -9,7 +9,7 @@ from spanledger.functions import model, show, text
 from spanledger.operators import derive, state
 from spanledger.plans import fold
 from spanledger.sources import connectors, export, prices, scan
-from spanledger.streaming import ingest
+from spanledger.streaming import ingest, loop
 
 from .test_cube import NOW, event, frame
 
@@ -234,3 +234,48 @@ def test_project_roots(spark):
     rules = spark.createDataFrame([("/w/a", "A"), ("/w/a/b", "B")], "prefix string, root string")
     got = {r["path"]: r["root"] for r in derive.merged_roots(paths, rules, [("q-[0-9]", "Q"), ("q", "R")]).collect()}
     assert got == {"/w/a/.worktrees/x/y": "A", "/w/a/b/c": "B", "/z/q-1": "Q", "/other": "/other"}
+
+
+def test_store_crashes_sweeps_and_grows(spark, tmp_path):
+    rows = [event(i, source_id=f"f{i}", request_id=f"r{i // 2}", output_tokens=i) for i in range(6)]
+    store = ingest.Store(spark, f"file://{tmp_path}/s", {}, buckets=4)
+    store.apply(frame(spark, rows[:4]), 1)
+    point, ingest.Store._point = ingest.Store._point, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        with pytest.raises(OSError):
+            store.apply(frame(spark, rows[4:]), 2)
+    finally:
+        ingest.Store._point = point
+    assert store.events().count() == 4 and store.apply(frame(spark, rows[4:]), 2) == {"new": 2, "changed": 0} and store.pointer()["batches"] == [[1, 2]]
+    before = sorted(map(str, store.fold().drop("member_buckets").collect()))
+    store.grow(9)
+    again = ingest.Store(spark, f"file://{tmp_path}/s", {}, buckets=4)
+    assert again.buckets == 9 and again.sweep() > 0 and sorted(map(str, again.fold().drop("member_buckets").collect())) == before and again.events().count() == 6
+
+
+def test_loop_from_files_to_tables(spark, tmp_path):
+    line = lambda i, **more: json.dumps({"type": "assistant", "uuid": f"u{i}", "sessionId": "s", "requestId": f"r{i}", "timestamp": f"2025-01-01T00:00:0{i}Z", "cwd": "/w", "message": {"model": "m", "usage": {"output_tokens": i}}} | more) + "\n"
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.jsonl").write_text(line(1) + "{broken\n" + line(2)[:20])
+    store = ingest.Store(spark, f"file://{tmp_path}/store", {}, buckets=4)
+    own = loop.Loop(spark, store, [loop.Target(connectors.CONNECTORS["claude-code"], str(tmp_path / "logs")), loop.Target(connectors.CONNECTORS["pi"], str(tmp_path / "nowhere"))], lambda: NOW)
+    feed = loop.ChangeFeed(store)
+    assert own.scan()["new"] == 1 and own.failures().count() == 1 and feed.poll()["events"] == 1 and feed.poll() is None
+    (tmp_path / "logs" / "a.jsonl").write_text(line(1) + "{broken\n" + line(2))
+    # a crash after the events and before their offsets: the next scan reads them again and changes nothing
+    commit, ingest.Store.commit = ingest.Store.commit, lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        assert own.scan() == {"new": 0, "changed": 0} and own.targets[0].failures == 1
+    finally:
+        ingest.Store.commit = commit
+    assert store.events().count() == 2 and own.scan() == {"new": 0, "changed": 0} and own.targets[0].failures == 0
+    assert [(r["offset"], r["seq"], r["status"]) for r in own.sources().collect()] == [((tmp_path / "logs" / "a.jsonl").stat().st_size, 4, "ok")]
+    for _ in range(2):
+        own.scan()
+    assert own.targets[1].quarantined and len([r for r, _ in own.told if r.endswith("nowhere")]) == 5
+    own.rediscovered(own.targets[1].root)
+    assert not own.targets[1].quarantined
+    (tmp_path / "logs" / "a.jsonl").unlink()
+    (tmp_path / "logs" / "b.jsonl").write_text(line(3))
+    assert own.scan()["new"] == 1 and {r["path"].rsplit("/", 1)[1]: r["status"] for r in own.sources().collect()} == {"a.jsonl": "gone", "b.jsonl": "ok"} and feed.poll()["events"] == 3
+    assert store.table("session_summary", "session_id string").first()["event_count"] == 3
