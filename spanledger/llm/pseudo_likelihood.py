@@ -32,8 +32,8 @@ HIDDEN = 32
 #: One token in so many is masked and predicted in training, in every document; scoring predicts each.
 MASKED = 4
 #: Targets of a step, its rate, tokens that a task holds before it trains on them, and tokens that are scored at once.
-STEP = 1024
-RATE = 0.3
+STEP = 2048
+RATE = 0.5
 CHUNK = 1 << 16
 BATCH = 1 << 13
 #: Distinct words that a task holds before it passes their counts on.
@@ -158,19 +158,23 @@ def windows(t: np.ndarray, edge: int) -> np.ndarray:
     return np.stack([t[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], 1)
 
 
+def _flat(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return at + np.arange(0, x.size, x.shape[1])
+
+
 def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of the places ``at`` of each row of logits; x becomes exponentials, whose sums come second."""
     x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), at]
+    own = x.ravel().take(_flat(x, at))
     np.exp(x, out=x)
-    total = x.sum(1)
+    total = x @ np.ones(x.shape[1], x.dtype)
     return own - np.log(total), total
 
 
 def _miss(x: np.ndarray, total: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Probabilities less 1 at the target, from what _softmax leaves."""
-    x /= total[:, None]
-    x[np.arange(len(x)), at] -= 1
+    x *= (1 / total)[:, None]
+    x.ravel()[_flat(x, at)] -= 1
     return x
 
 
@@ -225,10 +229,10 @@ def _moved(part: np.ndarray, rate: np.ndarray, miss: np.ndarray, given: np.ndarr
     """One step of rows of weights, the last of each a bias, by the misses of their outputs for what was given."""
     step = np.empty(part.shape, part.dtype)
     np.matmul(miss.T, given, out=step[:, :-1])
-    step[:, -1] = miss.sum(0)
+    np.matmul(np.ones(len(miss), miss.dtype), miss, out=step[:, -1])
     rate += step * step
-    step *= RATE
     step /= np.sqrt(rate)
+    step *= RATE
     part -= step
 
 
@@ -378,7 +382,7 @@ def reports(docs: DataFrame, model: Model | None = None, counts: DataFrame | Non
     scored = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, part double, hashes array<long>"))
     numbered = scored.withColumn("_row", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
     rare = numbered.select(F.xxhash64("_row.f", "_row.i").alias("_key"), F.explode("hashes").alias("_word"))
-    known = counts.select(word_key("word").alias("_word"), F.log(F.col("n").cast("double")).alias("_log"))
+    known = counts.select(word_key("word").alias("_word"), F.log(F.col("n").cast("double")).alias("_log")).hint("shuffle_hash")  # a row a word, dealt evenly
     more = rare.join(known, "_word", "left").groupBy("_key").agg(F.sum(F.coalesce("_log", F.log(F.lit(UNSEEN)))).alias("_more"))
     rows = numbered.select("doc_id", "n_tokens", "part", F.xxhash64("_row.f", "_row.i").alias("_key")).join(more, "_key", "left")
     total = F.col("part") + F.coalesce("_more", F.lit(0.0))
