@@ -378,6 +378,159 @@ def plan_fee_proration(spark, sf_dir):
     return spark.createDataFrame([(7.0,), (30.0,), (None,)], "days double").select("days", F.round(pricing.plan_fee(F.lit(20.0), F.col("days")), 9).alias("fee"))
 
 
+# Reports that are made of several tables: a query for each table.
+
+_MONTH = {"since": testbed.START}
+_BILLED = "CASE WHEN {0} = 'beta' THEN 'subscription' WHEN {0} = 'delta' AND provider = 'prov-0' AND model = 'm-0' THEN 'local' ELSE 'api' END"
+
+
+def _asked(metrics: str, dims: str, **chosen) -> str:
+    return f"({cube_sql(Spec(tuple(metrics.split()), tuple(dims.split()), chosen))})"
+
+
+def _part(name: str, sql: str, report: Callable[[cube.Context], dict[str, DataFrame]], part: str) -> None:
+    _FOUND[name] = (lambda spark, sf_dir: _rounded(report(context(spark, sf_dir))[part]), sql)
+
+
+_overview = lambda ctx: reports.overview(ctx, "30d")
+for _p, _m, _d, _more in (
+    ("totals", "events sessions tokens_total duration credits cost_total cost_api_equiv", "", {}), ("trend", "events tokens_total", "day", {}), ("trend_by_host", "tokens_total", "day host", {}), ("agents", "events sessions tokens_total cost_total", "agent", {}),
+    ("hosts", "events sessions", "host", {}), ("capabilities", "events", "capability_type", {}), ("errors", "events", "agent", {"status": ["error"]}), ("compacts", "events", "agent", {"type": ["context.compact"]}),
+):
+    _part(f"overview_{_p}", f"SELECT * FROM {_asked(_m, _d, **_MONTH, **_more)} q", _overview, _p)
+_part("overview_projects", f"SELECT * FROM {_asked('tokens_total events', 'project', **_MONTH)} q ORDER BY tokens_total DESC, project LIMIT 12", _overview, "projects")
+
+
+@register(testbed.sql(f"timestamp >= {testbed.START}") + f""", s AS (SELECT agent_key AS agent, sum(usd) AS api, CAST(sum(CASE WHEN cash OR usd IS NULL THEN usd ELSE 0 END) AS DOUBLE) AS marginal, bool_or(usd IS NULL) AS partial, min(mode) <> max(mode) AS mixed, bool_or(mode = 'subscription') AS plan
+ FROM (SELECT *, {_BILLED.format('agent_key')} AS mode FROM priced) GROUP BY 1), k AS (SELECT agent_id AS agent, sum(CAST(cost_reported AS DECIMAL(24,12))) AS reported FROM keyed GROUP BY 1),
+j AS (SELECT k.agent, s.*, k.reported, CASE WHEN plan AND k.agent = 'beta' THEN 20.0::DOUBLE * 30 / (365.25::DOUBLE / 12) END AS fee FROM k LEFT JOIN s ON s.agent = k.agent)
+SELECT agent, CAST(round(api, 6) AS DOUBLE) AS api_equivalent, round(marginal + coalesce(fee, 0), 6) AS cash, coalesce(partial, false) AS partial, round(fee, 6) AS plan_fee, coalesce(mixed, false) AS mixed_billing, CAST(round(reported, 6) AS DOUBLE) AS reported FROM j""")
+def cost_view(spark, sf_dir):
+    rows = reports.cost_view(context(spark, sf_dir, billing=True), since="30d")
+    return rows.withColumns({c: F.round(F.col(c).cast("decimal(38,12)"), _DIGITS).cast("double") for c in ("api_equivalent", "cash", "plan_fee", "reported")})
+
+
+_FAILED = f"({testbed.sql()} SELECT capability_type, {{}}count(CASE WHEN status = 'error' THEN 1 END) AS errors FROM ev WHERE capability_type IS NOT NULL GROUP BY ALL)"
+_CAPABLE = "events duration tokens_total cost_api_equiv"
+_part("capability_types", f"SELECT q.*, e.errors FROM {_asked(_CAPABLE, 'capability_type')} q JOIN {_FAILED.format('')} e USING (capability_type)", reports.capabilities, "types")
+_part("capability_names", f"""SELECT * FROM (SELECT q.*, e.errors, CAST(row_number() OVER (PARTITION BY q.capability_type ORDER BY q.events DESC, q.capability_name) AS INTEGER) AS nth
+ FROM {_asked(_CAPABLE, 'capability_type capability_name')} q JOIN {_FAILED.format('capability_name, ')} e USING (capability_type, capability_name)) WHERE nth <= 4""", lambda ctx: reports.capabilities(ctx, names=4), "names")
+_part("capability_agents", f"SELECT * FROM {_asked('events sessions', 'capability_type agent')} q WHERE capability_type <> ''", reports.capabilities, "agents")
+
+
+@register(testbed.sql() + ", h AS (SELECT DISTINCT agent_id AS agent, capability_type AS t FROM ev WHERE capability_type IS NOT NULL), c AS (SELECT unnest(['tool','skill','mcp','plugin','connector','command','subagent','hook']) AS t) SELECT a.agent, string_agg(h.t, ',' ORDER BY c.t) AS recorded, string_agg(CASE WHEN h.t IS NULL THEN c.t END, ',' ORDER BY c.t) AS missing FROM (SELECT DISTINCT agent FROM h) a CROSS JOIN c LEFT JOIN h ON h.agent = a.agent AND h.t = c.t GROUP BY 1")
+def capability_supports(spark, sf_dir):
+    return reports.supports(testbed.events(spark, sf_dir)).select("agent", *[F.nullif(F.array_join(F.array_sort(c), ","), F.lit("")).alias(c) for c in ("recorded", "missing")])
+
+
+@register(testbed.sql() + "SELECT * FROM (SELECT capability_type, capability_name, count(*) AS events, CAST(row_number() OVER (PARTITION BY capability_type ORDER BY count(*) DESC, capability_name) AS INTEGER) AS position FROM ev WHERE capability_type IS NOT NULL GROUP BY 1, 2) WHERE position <= 3")
+def capability_top_names(spark, sf_dir):
+    return reports.top_names(testbed.events(spark, sf_dir), 3)
+
+
+for _p, _m, _d in (("agents", "tokens_total events", "project agent"), ("models", "tokens_total", "project model"), ("capabilities", "events", "project capability_type")):
+    _part(f"project_{_p}", f"SELECT * FROM {_asked(_m, _d)} q", reports.projects, _p)
+_part("project_recent", testbed.sql() + """, s AS (SELECT session_id, count(*) AS event_count, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp FROM ev GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 800),
+c AS (SELECT session_id, project_id AS project, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, project_id) AS k FROM ev GROUP BY 1, 2)
+SELECT * FROM (SELECT s.*, c.project, CAST(row_number() OVER (PARTITION BY c.project ORDER BY last_timestamp DESC, session_id) AS INTEGER) AS nth FROM s JOIN c USING (session_id) WHERE c.k = 1) WHERE nth <= 8""", reports.projects, "recent")
+
+
+@register(testbed.sql() + "SELECT * FROM (SELECT project_id AS project, title AS cwd, count(*) AS events, CAST(row_number() OVER (PARTITION BY project_id ORDER BY count(*) DESC, title) AS INTEGER) AS nth FROM ev WHERE title IS NOT NULL GROUP BY 1, 2) WHERE nth <= 8")
+def project_folders(spark, sf_dir):
+    titled = F.to_json(F.struct(F.get_json_object("metadata", "$.value.title").alias("cwd")))
+    ctx = context(spark, sf_dir)
+    ctx.events = ctx.events.withColumn("metadata", titled)
+    return reports.projects(ctx)["folders"]
+
+
+_AGENT = "events sessions tokens_total duration credits cost_reported cost_api_equiv cost_total"
+_part("agents_recorded", f"SELECT *, true AS recorded FROM {_asked(_AGENT, 'agent')} q UNION ALL SELECT 'omega', {', '.join(['NULL'] * 8)}, false", lambda ctx: reports.agents(ctx, ["alpha", "omega"]), "agents")
+for _p, _m in (("hosts", "events sessions"), ("models", "tokens_total"), ("capabilities", "events")):
+    _d = {"hosts": "agent host", "models": "agent model", "capabilities": "agent capability_type"}[_p]
+    _part(f"agent_{_p}", f"SELECT * FROM {_asked(_m, _d)} q", reports.agents, _p)
+_part("models_priced", f"SELECT q.*, s.price_source, s.price_source IS NOT NULL AS priced FROM {_asked('tokens_total events cost_api_equiv', 'provider model')} q LEFT JOIN (VALUES ('prov-0', 'm-0', 'litellm'), ('prov-1', 'm-1', 'override')) s(provider, model, price_source) USING (provider, model)", reports.models, "models")
+
+
+@register(testbed.sql() + "SELECT provider, model, CAST(sum(i + o + cr + cw + re) AS BIGINT) AS tokens, CAST(max(dayno) AS BIGINT) AS last_day, concat_ws(',', CASE WHEN sum(cr) > 0 THEN 'cache_read_tokens' END, CASE WHEN sum(cw) > 0 THEN 'cache_write_tokens' END, CASE WHEN sum(i) > 0 THEN 'input_tokens' END, CASE WHEN sum(o) > 0 THEN 'output_tokens' END) AS missing FROM priced WHERE usd IS NULL GROUP BY 1, 2")
+def model_gaps(spark, sf_dir):
+    return reports.unpriced(context(spark, sf_dir)).withColumn("missing", F.array_join("missing", ","))
+
+
+@register(testbed.sql() + """SELECT 'empty' AS kind, 'src-' || n_nationkey AS id FROM nation WHERE 'src-' || n_nationkey NOT IN (SELECT source_id FROM ev) UNION ALL SELECT 'unreachable', 'src-' || n_nationkey FROM nation WHERE n_regionkey = 1
+ UNION ALL SELECT 'idle_projects', 'p-' || n_nationkey FROM nation WHERE 'p-' || n_nationkey NOT IN (SELECT project_id FROM ev) UNION ALL SELECT 'eventless', 's-' || c_custkey FROM customer WHERE 's-' || c_custkey NOT IN (SELECT session_id FROM ev)""")
+def coverage_gaps(spark, sf_dir):
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    named = lambda df, prefix, key: df.withColumn("id", F.concat(F.lit(prefix), F.col(key).cast("string")))
+    sources = named(nation, "src-", "n_nationkey").withColumn("status", F.when(F.col("n_regionkey") == 1, "gone").otherwise("ok"))
+    found = reports.coverage(sources, named(customer, "s-", "c_custkey"), testbed.events(spark, sf_dir), named(nation, "p-", "n_nationkey"))
+    parts = [df.select(F.lit(kind).alias("kind"), "id") for kind, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register(testbed.sql() + "SELECT 's-' || c_custkey AS native_id, 's-' || (c_custkey + 3) AS derived_id FROM customer WHERE c_custkey % 3 <> 0 AND 's-' || c_custkey NOT IN (SELECT session_id FROM ev) AND 's-' || (c_custkey + 3) NOT IN (SELECT session_id FROM ev)")
+def history_coverage(spark, sf_dir):
+    key = F.col("c_custkey")
+    index = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("s-"), key.cast("string")).alias("native_id"), F.concat(F.lit("s-"), (key + 3).cast("string")).alias("derived_id"), (key % 3 == 0).alias("readable"))
+    seen = testbed.events(spark, sf_dir).select(F.col("session_id").alias("id")).distinct()
+    return reports.history_coverage(index.drop("readable"), index.where("readable"), seen)
+
+
+@register(testbed.sql() + "SELECT capability_name, count(*) AS fired, count(CASE WHEN raw_seq % 3 = 0 THEN 1 END) AS failed FROM ev WHERE capability_type = 'hook' GROUP BY 1")
+def hook_failures(spark, sf_dir):
+    fired = testbed.events(spark, sf_dir).where("capability_type = 'hook'").withColumn("type", F.lit("hook.fire"))
+    return reports.hooks(fired.withColumn("status", F.when(F.col("raw_seq") % 3 == 0, "error").otherwise("ok")))
+
+
+@register(testbed.sql() + f"SELECT DISTINCT agent_id AS agent, provider, model, {_BILLED.format('agent_id')} AS mode FROM ev")
+def billing_settings(spark, sf_dir):
+    return reports.billing_settings(context(spark, sf_dir, billing=True))
+
+
+_TODAY = testbed.START + 29 * testbed.DAY
+
+
+@register(f"SELECT * FROM {_asked('events sessions tokens_total cost_total', '', since=_TODAY)} q")
+def status_today(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    ctx.now = _TODAY + testbed.DAY // 2
+    return _rounded(reports.status(ctx, spark.createDataFrame([], "agent_id string"))["today"])
+
+
+@register(testbed.sql() + "SELECT eff IS NOT NULL AS priced, count(*) AS buckets FROM priced GROUP BY 1")
+def pricing_report(spark, sf_dir):
+    return reports.pricing_report(context(spark, sf_dir))["priced"].select(F.col("_priced").alias("priced"), F.col("count").alias("buckets"))
+
+
+@register(testbed.sql() + """, s AS (SELECT session_id AS session, max(timestamp) AS last_timestamp, count(*) AS event_count FROM ev GROUP BY 1), p AS (SELECT ev.session_id AS session, count(*) AS payloads FROM conversations c JOIN ev ON ev.id = lpad(CAST(c.conv_id AS VARCHAR), 12, '0') GROUP BY 1)
+SELECT session, event_count, coalesce(payloads, 0) AS payloads FROM s LEFT JOIN p USING (session) ORDER BY last_timestamp DESC, session LIMIT 20""")
+def session_payloads(spark, sf_dir):
+    kept = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("event_id"))
+    return reports.sessions(context(spark, sf_dir), 20, kept).select("session", "event_count", "payloads")
+
+
+_ALL = "coalesce(input_tokens,0)+coalesce(output_tokens,0)+coalesce(cache_read_tokens,0)+coalesce(cache_write_tokens,0)+coalesce(reasoning_tokens,0)"
+_USED = "coalesce(input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens) IS NOT NULL"
+
+
+@register(testbed.sql() + f""", n AS (SELECT agent_id AS agent, count(*) AS events, count(CASE WHEN usage_source = 'reported' THEN 1 END) AS reported, count(CASE WHEN usage_source = 'estimated' THEN 1 END) AS estimated, count(CASE WHEN usage_source NOT IN ('reported', 'estimated') THEN 1 END) AS missing,
+ count(CASE WHEN type = 'generation.end' THEN 1 END) AS generations, count(CASE WHEN type = 'generation.end' AND usage_source IN ('reported', 'estimated') THEN 1 END) AS generations_with_usage, count(CASE WHEN coalesce(request_id, '') = '' THEN 1 END) AS no_request,
+ count(CASE WHEN coalesce(request_id, '') = '' AND {_USED} THEN 1 END) AS no_request_with_usage, count(CASE WHEN {_USED} THEN 1 END) AS usage_rows, CAST(sum({_ALL}) AS BIGINT) AS naive FROM ev GROUP BY 1),
+o AS (SELECT agent_key AS agent, CAST({_TOTAL} AS BIGINT) AS folded FROM fold GROUP BY 1),
+g AS (SELECT agent_id, req_key, coalesce(nullif(request_id, ''), id) AS one, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens FROM keyed WHERE {_USED}),
+m AS (SELECT agent_id AS agent, count(DISTINCT req_key) AS groups FROM g GROUP BY 1),
+w AS (SELECT agent_id AS agent, CAST({_TOTAL} AS BIGINT) AS global_folded FROM (SELECT agent_id, one, {', '.join(f'max(coalesce({t}, 0)) AS {t}' for t in TOKENS)} FROM g GROUP BY 1, 2) GROUP BY 1)
+SELECT n.*, o.folded, o.folded AS model_folded, coalesce(m.groups, 0) AS groups, coalesce(w.global_folded, 0) AS global_folded FROM n JOIN o USING (agent) LEFT JOIN m USING (agent) LEFT JOIN w USING (agent)""")
+def usage_audit(spark, sf_dir):
+    return reports.usage_audit(context(spark, sf_dir))
+
+
+@register(testbed.sql() + f""", c AS (SELECT day, session_id, {_TOTAL} AS v FROM req GROUP BY 1, 2), t AS (SELECT session_id, row_number() OVER (ORDER BY sum(v) DESC, session_id) AS r FROM c GROUP BY 1 HAVING sum(v) > 0)
+SELECT day, {', '.join(f'CAST(coalesce(sum(CASE WHEN least(t.r, 6) = {n} THEN v END), 0) AS BIGINT) AS v{n}' for n in range(1, 7))} FROM c LEFT JOIN t USING (session_id) GROUP BY 1""")
+def trend_pivot_top(spark, sf_dir):
+    rows = cube.query(Spec(("tokens_total",), ("day", "session")), context(spark, sf_dir)).rows
+    return reports.pivoted_top(rows, "day", "session", "tokens_total")["rows"]
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _FOUND.items()}
 

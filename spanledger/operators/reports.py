@@ -90,10 +90,27 @@ def resolve_names(given: list[str], dimension: DataFrame) -> list[str]:
     return [x for g in given for x in sorted(by.get(g.lower(), [g]))]
 
 
-def capabilities(ctx: cube.Context, catalog: DataFrame | None = None) -> dict[str, DataFrame]:
-    rows = ctx.events.where("capability_type is not null").groupBy("capability_type", "capability_name", F.col("agent_id").alias("agent")).agg(F.count("*").alias("events"), F.count_if(F.col("status") == "error").alias("errors"), F.max("timestamp").alias("last_seen"))
-    out = {"rows": rows, "missing": missing_capabilities(ctx.events), "top": top_names(ctx.events)}
-    return out | ({"never_used": never_used(ctx.events, catalog)} if catalog is not None else {})
+def capabilities(ctx: cube.Context, catalog: DataFrame | None = None, names: int = 25, **chosen) -> dict[str, DataFrame]:
+    """Types and their ``names`` most used names with duration, tokens, cost and errors; agents of each type; what each
+    agent records and what it lacks; with a catalog, what is installed and was never used."""
+    events = cube.filtered(ctx.events, chosen, ctx.clock())
+    failed = lambda *by: events.where("capability_type is not null").groupBy(*by).agg(F.count_if(F.col("status") == "error").alias("errors"))
+    figures = lambda dims, errors: ask(ctx, "events duration tokens_total cost_api_equiv", dims, **chosen).where("capability_type <> ''").join(errors, dims.split(), "left").na.fill(0, ["errors"])
+    nth = F.row_number().over(Window.partitionBy("capability_type").orderBy(F.desc("events"), "capability_name"))
+    out = {
+        "types": figures("capability_type", failed("capability_type")),
+        "names": figures("capability_type capability_name", failed("capability_type", F.coalesce("capability_name", F.lit("")).alias("capability_name"))).withColumn("nth", nth).where(F.col("nth") <= names),
+        "agents": ask(ctx, "events sessions", "capability_type agent", **chosen).where("capability_type <> ''"),
+        "supports": supports(events),
+    }
+    return out | ({"never_used": never_used(events, catalog)} if catalog is not None else {})
+
+
+def supports(events: DataFrame) -> DataFrame:
+    """For each agent with capabilities the types it records and those it lacks."""
+    every = F.array(*map(F.lit, CAPABILITY_TYPES))
+    seen = events.where("capability_type is not null").groupBy(F.col("agent_id").alias("agent")).agg(F.array_sort(F.collect_set("capability_type")).alias("recorded"))
+    return seen.withColumn("missing", F.array_except(every, "recorded"))
 
 
 def top_names(events: DataFrame, n: int = 10) -> DataFrame:
@@ -157,27 +174,48 @@ def unpriced(ctx: cube.Context) -> DataFrame:
 
 
 def cost_view(ctx: cube.Context, **chosen) -> DataFrame:
-    """Per agent: API equivalent and cash with floors and partial flags, its plan fee once, whether modes are mixed."""
+    """Per agent: API equivalent and cash, as floors with a flag if a price is missing, its plan's fee, whether modes are mixed.
+
+    Modes are those of the models seen. Cash is what is paid for tokens under them and, if one of them is a
+    subscription, the fee of the window, once an agent; a window without an end or a start has no fee.
+    """
     strict = ask(ctx, "cost_api_equiv cost_total cost_reported", "agent", **chosen)
-    known = cube.portions(ctx, chosen)
-    fees = {a: o.get("planUsdPerMonth") for a, o in (ctx.billing or {}).items()}
-    mixed = {a: len({o.get("mode") or "api", *(o.get("models") or {}).values()}) > 1 for a, o in (ctx.billing or {}).items()}
-    pick = lambda d, kind: F.coalesce(*[F.when(F.col("agent") == a, F.lit(v).cast(kind)) for a, v in d.items() if v is not None], F.lit(None).cast(kind))
+    known = cube.portions(ctx, chosen, modes=True)
+    fees = {a: o["planUsdPerMonth"] for a, o in (ctx.billing or {}).items() if o.get("planUsdPerMonth") is not None}
     days = window_days(resolve(chosen.get("since"), ctx.clock()), resolve(chosen.get("until"), ctx.clock()), ctx.clock())
-    rows = strict.join(known, "agent", "left")
+    per_month = F.coalesce(*[F.when(F.col("agent") == a, F.lit(float(v))) for a, v in fees.items()], F.lit(None).cast("double"))
+    rows = strict.join(known, "agent", "left").withColumn("plan_fee", F.when(F.col("on_plan"), pricing.plan_fee(per_month, F.lit(days).cast("double"))))
     return rows.select(
-        "agent", F.coalesce("cost_api_equiv", "api_equivalent", "cost_reported").alias("api_equivalent"), F.coalesce("cost_total", "cash", "cost_reported").alias("cash"), F.coalesce("partial", F.lit(False)).alias("partial"),
-        pricing.plan_fee(pick(fees, "double"), F.lit(days).cast("double")).alias("plan_fee"), F.coalesce(pick(mixed, "boolean"), F.lit(False)).alias("mixed_billing"))
+        "agent", F.coalesce("cost_api_equiv", "api_equivalent").alias("api_equivalent"), (F.col("cash") + F.coalesce("plan_fee", F.lit(0.0))).alias("cash"),
+        F.coalesce("partial", F.lit(False)).alias("partial"), "plan_fee", F.coalesce("mixed_billing", F.lit(False)).alias("mixed_billing"), F.col("cost_reported").alias("reported"))
 
 
 def usage_quality(ctx: cube.Context) -> DataFrame:
     """Naive and folded tokens of each agent, their ratio, and where usage comes from."""
     naive = ctx.events.groupBy(F.col("agent_id").alias("agent")).agg(
-        F.sum(_tokens()).alias("naive"), F.count_if(F.col("usage_source") == "reported").alias("reported"), F.count_if(F.col("usage_source") == "missing").alias("missing"), F.count_if(F.col("type") == "generation.end").alias("generations"))
+        F.sum(_tokens()).alias("naive"), F.count_if(F.col("usage_source") == "reported").alias("reported"), F.count_if(~F.coalesce(F.col("usage_source").isin("reported", "estimated"), F.lit(False))).alias("missing"), F.count_if(F.col("type") == "generation.end").alias("generations"))
     deduped = fold.folded(ctx.events, ctx.policies).groupBy(F.col("agent_key").alias("agent")).agg(F.sum(_tokens()).alias("deduped"))
     return naive.join(deduped, "agent").withColumn("inflation", F.when(F.col("deduped") == 0, F.lit(1.0)).otherwise(F.col("naive") / F.col("deduped")))
 
 
+def usage_audit(ctx: cube.Context, stored_policies: dict[str, str] | None = None) -> DataFrame:
+    """Where each agent's usage comes from, and its tokens unfolded, under its own rule, under the rules a store was
+    written with, and under one rule for all; own and stored differ if a fold went wrong."""
+    used = F.coalesce(*TOKENS).isNotNull()
+    said, alone = F.coalesce(F.col("usage_source").isin("reported", "estimated"), F.lit(False)), F.coalesce("request_id", F.lit("")) == ""
+    kind = F.col("type") == "generation.end"
+    counts = ctx.events.groupBy(F.coalesce("agent_id", F.lit("")).alias("agent")).agg(
+        F.count("*").alias("events"), F.count_if(F.col("usage_source") == "reported").alias("reported"), F.count_if(F.col("usage_source") == "estimated").alias("estimated"), F.count_if(~said).alias("missing"),
+        F.count_if(kind).alias("generations"), F.count_if(kind & said).alias("generations_with_usage"), F.count_if(alone).alias("no_request"), F.count_if(alone & used).alias("no_request_with_usage"),
+        F.count_if(used).alias("usage_rows"), F.sum(_tokens()).alias("naive"))
+    total = lambda rows, policies, name, *more: fold.folded(rows, policies).groupBy(F.col("agent_key").alias("agent")).agg(F.sum(_tokens()).alias(name), *more)
+    own = total(ctx.events, ctx.policies, "folded")
+    rows = ctx.events.where(used)
+    model = total(rows, ctx.policies if stored_policies is None else stored_policies, "model_folded", F.count("*").alias("groups"))
+    out = counts.join(own, "agent").join(model, "agent", "left").join(total(rows, {}, "global_folded"), "agent", "left")
+    return out.na.fill(0, ["model_folded", "global_folded", "groups"])
+
+
 def flagged(events: DataFrame, path: str) -> DataFrame:
     """Events of each agent whose metadata flag is set (guessed timestamps, side threads)."""
     flag = F.coalesce(F.get_json_object("metadata", path).isin("true", "1"), F.lit(False))
@@ -199,6 +237,20 @@ def pivoted(rows: DataFrame, by: str, series: str, value: str, names: list[str])
     return rows.groupBy(by).pivot(series, names).agg(F.sum(value)).na.fill(0, names)
 
 
+def pivoted_top(rows: DataFrame, by: str, series: str, value: str, top: int = 6) -> dict[str, DataFrame]:
+    """Buckets with a column for each of the largest series (v1 is the largest), zero where there is nothing.
+
+    Only series with a name and a total above zero count. If there are more than ``top``, the last column holds all
+    that are not among the first. ``series`` names the columns: rank, name, total. No name comes to the driver.
+    """
+    named = rows.where((F.col(by) != "") & (F.col(series) != ""))
+    totals = named.groupBy(series).agg(F.sum(value).alias("total")).where("total > 0")
+    largest = derive.top_n_other(totals, series, "total", top)
+    ranks = totals.select(series).join(largest.where(F.col("rank") < top).select(series, "rank"), series, "left").select(series, F.coalesce("rank", F.lit(top)).alias("_rank"))
+    columns = [F.coalesce(F.sum(F.when(F.col("_rank") == n, F.col(value))), F.lit(0)).alias(f"v{n}") for n in range(1, top + 1)]
+    return {"series": largest, "rows": rows.where(F.col(by) != "").join(ranks, series, "left").groupBy(by).agg(*columns)}
+
+
 def coverage(sources: DataFrame, sessions_: DataFrame, events: DataFrame, projects_: DataFrame) -> dict[str, DataFrame]:
     """Sources that are gone, sources without events, projects without sessions, sessions without events."""
     return {

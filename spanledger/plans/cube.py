@@ -162,10 +162,13 @@ def query(spec: Spec, ctx: Context, fold: DataFrame | None = None) -> Result:
     return Result(ordered(_aggregate(spec, dims, events, fold, ctx, mode), spec), totals, spec)
 
 
-def portions(ctx: Context, chosen: dict | None = None, by: tuple[str, ...] = ("agent",)) -> DataFrame:
-    """Known spend: priced buckets alone, by agent or more; api only under api billing, and in all modes; partial flags."""
+def portions(ctx: Context, chosen: dict | None = None, by: tuple[str, ...] = ("agent",), modes: bool = False) -> DataFrame:
+    """Known spend: priced buckets alone, by agent or more; api only under api billing, and in all modes; partial flags.
+    With modes, also whether the billing modes of what was spent differ, and whether one is a subscription."""
     events = filtered(ctx.events, chosen or {}, ctx.clock())
-    buckets = cost_buckets(folds.folded(events, ctx.policies), {n: dim(n) for n in by}, ctx.prices)
+    mode = billing_mode(ctx.billing)
+    buckets = cost_buckets(folds.folded(events, ctx.policies), {n: dim(n) for n in by}, ctx.prices).withColumn("_mode", mode)
     names = [F.col(f"_d_{n}").alias(n) for n in by]
-    paid = pricing.cash(F.col("_usd"), billing_mode(ctx.billing))
-    return buckets.groupBy(*names).agg(F.sum("_usd").cast("double").alias("api_equivalent"), F.sum(paid).cast("double").alias("cash"), F.bool_or(F.col("_usd").isNull()).alias("partial"))
+    paid = pricing.cash(F.col("_usd"), F.col("_mode"))
+    more = [(F.min("_mode") != F.max("_mode")).alias("mixed_billing"), F.bool_or(F.col("_mode") == "subscription").alias("on_plan")] if modes else []
+    return buckets.groupBy(*names).agg(F.sum("_usd").cast("double").alias("api_equivalent"), F.sum(paid).cast("double").alias("cash"), F.bool_or(F.col("_usd").isNull()).alias("partial"), *more)
