@@ -388,17 +388,16 @@ def _asked(metrics: str, dims: str, **chosen) -> str:
     return f"({cube_sql(Spec(tuple(metrics.split()), tuple(dims.split()), chosen))})"
 
 
-def _part(name: str, sql: str, report: Callable[[cube.Context], dict[str, DataFrame]], part: str) -> None:
-    _FOUND[name] = (lambda spark, sf_dir: _rounded(report(context(spark, sf_dir))[part]), sql)
+def _part(name: str, sql: str, report: Callable[..., dict[str, DataFrame]], part: str, **given) -> None:
+    _FOUND[name] = (lambda spark, sf_dir: _rounded(report(context(spark, sf_dir), only=(part,), **given)[part]), sql)
 
 
-_overview = lambda ctx: reports.overview(ctx, "30d")
 for _p, _m, _d, _more in (
     ("totals", "events sessions tokens_total duration credits cost_total cost_api_equiv", "", {}), ("trend", "events tokens_total", "day", {}), ("trend_by_host", "tokens_total", "day host", {}), ("agents", "events sessions tokens_total cost_total", "agent", {}),
     ("hosts", "events sessions", "host", {}), ("capabilities", "events", "capability_type", {}), ("errors", "events", "agent", {"status": ["error"]}), ("compacts", "events", "agent", {"type": ["context.compact"]}),
 ):
-    _part(f"overview_{_p}", f"SELECT * FROM {_asked(_m, _d, **_MONTH, **_more)} q", _overview, _p)
-_part("overview_projects", f"SELECT * FROM {_asked('tokens_total events', 'project', **_MONTH)} q ORDER BY tokens_total DESC, project LIMIT 12", _overview, "projects")
+    _part(f"overview_{_p}", f"SELECT * FROM {_asked(_m, _d, **_MONTH, **_more)} q", reports.overview, _p)
+_part("overview_projects", f"SELECT * FROM {_asked('tokens_total events', 'project', **_MONTH)} q ORDER BY tokens_total DESC, project LIMIT 12", reports.overview, "projects")
 
 
 @register(testbed.sql(f"timestamp >= {testbed.START}") + f""", s AS (SELECT agent_key AS agent, sum(usd) AS api, CAST(sum(CASE WHEN cash OR usd IS NULL THEN usd ELSE 0 END) AS DOUBLE) AS marginal, bool_or(usd IS NULL) AS partial, min(mode) <> max(mode) AS mixed, bool_or(mode = 'subscription') AS plan
@@ -414,7 +413,7 @@ _FAILED = f"({testbed.sql()} SELECT capability_type, {{}}count(CASE WHEN status
 _CAPABLE = "events duration tokens_total cost_api_equiv"
 _part("capability_types", f"SELECT q.*, e.errors FROM {_asked(_CAPABLE, 'capability_type')} q JOIN {_FAILED.format('')} e USING (capability_type)", reports.capabilities, "types")
 _part("capability_names", f"""SELECT * FROM (SELECT q.*, e.errors, CAST(row_number() OVER (PARTITION BY q.capability_type ORDER BY q.events DESC, q.capability_name) AS INTEGER) AS nth
- FROM {_asked(_CAPABLE, 'capability_type capability_name')} q JOIN {_FAILED.format('capability_name, ')} e USING (capability_type, capability_name)) WHERE nth <= 4""", lambda ctx: reports.capabilities(ctx, names=4), "names")
+ FROM {_asked(_CAPABLE, 'capability_type capability_name')} q JOIN {_FAILED.format('capability_name, ')} e USING (capability_type, capability_name)) WHERE nth <= 4""", reports.capabilities, "names", names=4)
 _part("capability_agents", f"SELECT * FROM {_asked('events sessions', 'capability_type agent')} q WHERE capability_type <> ''", reports.capabilities, "agents")
 
 
@@ -440,15 +439,15 @@ def project_folders(spark, sf_dir):
     titled = F.to_json(F.struct(F.get_json_object("metadata", "$.value.title").alias("cwd")))
     ctx = context(spark, sf_dir)
     ctx.events = ctx.events.withColumn("metadata", titled)
-    return reports.projects(ctx)["folders"]
+    return reports.projects(ctx, only=("folders",))["folders"]
 
 
 _AGENT = "events sessions tokens_total duration credits cost_reported cost_api_equiv cost_total"
-_part("agents_recorded", f"SELECT *, true AS recorded FROM {_asked(_AGENT, 'agent')} q UNION ALL SELECT 'omega', {', '.join(['NULL'] * 8)}, false", lambda ctx: reports.agents(ctx, ["alpha", "omega"]), "agents")
+_part("agents_recorded", f"SELECT *, true AS recorded FROM {_asked(_AGENT, 'agent')} q UNION ALL SELECT 'omega', {', '.join(['NULL'] * 8)}, false", reports.agents, "agents", known=["alpha", "omega"])
 for _p, _m in (("hosts", "events sessions"), ("models", "tokens_total"), ("capabilities", "events")):
     _d = {"hosts": "agent host", "models": "agent model", "capabilities": "agent capability_type"}[_p]
     _part(f"agent_{_p}", f"SELECT * FROM {_asked(_m, _d)} q", reports.agents, _p)
-_part("models_priced", f"SELECT q.*, s.price_source, s.price_source IS NOT NULL AS priced FROM {_asked('tokens_total events cost_api_equiv', 'provider model')} q LEFT JOIN (VALUES ('prov-0', 'm-0', 'litellm'), ('prov-1', 'm-1', 'override')) s(provider, model, price_source) USING (provider, model)", reports.models, "models")
+_part("models_priced", f"SELECT q.*, s.price_source, s.price_source IS NOT NULL AS priced FROM {_asked('tokens_total events cost_api_equiv', 'provider model')} q LEFT JOIN (VALUES ('prov-0', 'm-0', 'litellm'), ('prov-1', 'm-1', 'override')) s(provider, model, price_source) USING (provider, model)", lambda ctx, only: reports.models(ctx), "models")
 
 
 @register(testbed.sql() + "SELECT provider, model, CAST(sum(i + o + cr + cw + re) AS BIGINT) AS tokens, CAST(max(dayno) AS BIGINT) AS last_day, concat_ws(',', CASE WHEN sum(cr) > 0 THEN 'cache_read_tokens' END, CASE WHEN sum(cw) > 0 THEN 'cache_write_tokens' END, CASE WHEN sum(i) > 0 THEN 'input_tokens' END, CASE WHEN sum(o) > 0 THEN 'output_tokens' END) AS missing FROM priced WHERE usd IS NULL GROUP BY 1, 2")

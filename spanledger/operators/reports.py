@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,28 @@ def ask(ctx: cube.Context, metrics: str, dims: str = "", limit: int | None = Non
     return found if limit is None else found.limit(limit)
 
 
-def overview(ctx: cube.Context, since: str = "30d", **chosen) -> dict[str, DataFrame]:
+def _chosen(tables: dict[str, Callable[[], DataFrame]], only: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The tables of a report, or those of them that are asked for; the others are not planned."""
+    return {name: make() for name, make in tables.items() if not only or name in only}
+
+
+def overview(ctx: cube.Context, since: str = "30d", only: tuple[str, ...] = (), **chosen) -> dict[str, DataFrame]:
     """Totals, trend, agents, hosts, top projects, capabilities, errors, compactions and cost."""
     chosen = {"since": since, **chosen}
     days = window_days(resolve(since, ctx.clock()), None, ctx.clock())
     unit = granularity(days)
-    return {
-        "totals": ask(ctx, "events sessions tokens_total duration credits cost_total cost_api_equiv", **chosen),
-        "trend": ask(ctx, "events tokens_total", unit, **chosen),
-        "trend_by_host": ask(ctx, "tokens_total", f"{unit} host", **chosen),
-        "agents": ask(ctx, "events sessions tokens_total cost_total", "agent", **chosen),
-        "hosts": ask(ctx, "events sessions", "host", **chosen),
-        "projects": ask(ctx, "tokens_total events", "project", limit=12, **chosen),
-        "capabilities": ask(ctx, "events", "capability_type", **chosen),
-        "errors": ask(ctx, "events", "agent", **(chosen | {"status": ["error"]})),
-        "compacts": ask(ctx, "events", "agent", **(chosen | {"type": ["context.compact"]})),
-        "cost": cost_view(ctx, **chosen),
-    }
+    return _chosen({
+        "totals": lambda: ask(ctx, "events sessions tokens_total duration credits cost_total cost_api_equiv", **chosen),
+        "trend": lambda: ask(ctx, "events tokens_total", unit, **chosen),
+        "trend_by_host": lambda: ask(ctx, "tokens_total", f"{unit} host", **chosen),
+        "agents": lambda: ask(ctx, "events sessions tokens_total cost_total", "agent", **chosen),
+        "hosts": lambda: ask(ctx, "events sessions", "host", **chosen),
+        "projects": lambda: ask(ctx, "tokens_total events", "project", limit=12, **chosen),
+        "capabilities": lambda: ask(ctx, "events", "capability_type", **chosen),
+        "errors": lambda: ask(ctx, "events", "agent", **(chosen | {"status": ["error"]})),
+        "compacts": lambda: ask(ctx, "events", "agent", **(chosen | {"type": ["context.compact"]})),
+        "cost": lambda: cost_view(ctx, **chosen),
+    }, only)
 
 
 def sessions(ctx: cube.Context, limit: int = 50, payloads: DataFrame | None = None, prefix: str | None = None) -> DataFrame:
@@ -90,20 +97,20 @@ def resolve_names(given: list[str], dimension: DataFrame) -> list[str]:
     return [x for g in given for x in sorted(by.get(g.lower(), [g]))]
 
 
-def capabilities(ctx: cube.Context, catalog: DataFrame | None = None, names: int = 25, **chosen) -> dict[str, DataFrame]:
+def capabilities(ctx: cube.Context, catalog: DataFrame | None = None, names: int = 25, only: tuple[str, ...] = (), **chosen) -> dict[str, DataFrame]:
     """Types and their ``names`` most used names with duration, tokens, cost and errors; agents of each type; what each
     agent records and what it lacks; with a catalog, what is installed and was never used."""
     events = cube.filtered(ctx.events, chosen, ctx.clock())
     failed = lambda *by: events.where("capability_type is not null").groupBy(*by).agg(F.count_if(F.col("status") == "error").alias("errors"))
     figures = lambda dims, errors: ask(ctx, "events duration tokens_total cost_api_equiv", dims, **chosen).where("capability_type <> ''").join(errors, dims.split(), "left").na.fill(0, ["errors"])
     nth = F.row_number().over(Window.partitionBy("capability_type").orderBy(F.desc("events"), "capability_name"))
-    out = {
-        "types": figures("capability_type", failed("capability_type")),
-        "names": figures("capability_type capability_name", failed("capability_type", F.coalesce("capability_name", F.lit("")).alias("capability_name"))).withColumn("nth", nth).where(F.col("nth") <= names),
-        "agents": ask(ctx, "events sessions", "capability_type agent", **chosen).where("capability_type <> ''"),
-        "supports": supports(events),
+    tables = {
+        "types": lambda: figures("capability_type", failed("capability_type")),
+        "names": lambda: figures("capability_type capability_name", failed("capability_type", F.coalesce("capability_name", F.lit("")).alias("capability_name"))).withColumn("nth", nth).where(F.col("nth") <= names),
+        "agents": lambda: ask(ctx, "events sessions", "capability_type agent", **chosen).where("capability_type <> ''"),
+        "supports": lambda: supports(events),
     }
-    return out | ({"never_used": never_used(events, catalog)} if catalog is not None else {})
+    return _chosen(tables | ({"never_used": lambda: never_used(events, catalog)} if catalog is not None else {}), only)
 
 
 def supports(events: DataFrame) -> DataFrame:
@@ -130,35 +137,41 @@ def missing_capabilities(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("agent_id").alias("agent")).agg(F.collect_set("capability_type").alias("_s")).select("agent", F.array_except(every, "_s").alias("missing"))
 
 
-def projects(ctx: cube.Context, labels: DataFrame | None = None, limit: int = 50) -> dict[str, DataFrame]:
+def projects(ctx: cube.Context, labels: DataFrame | None = None, limit: int = 50, only: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Top projects, their mixes of agents, models and capabilities, working folders and recent sessions.
 
     Labels (project, display, root) join last, so two projects of one label stay two.
     """
-    top = ask(ctx, "tokens_total events sessions cost_total", "project", limit=limit)
-    if labels is not None:
-        top = top.join(labels, "project", "left").withColumn("label", derive.label(F.col("display"), F.col("root"), F.col("project"))).drop("display", "root")
+    def top() -> DataFrame:
+        rows = ask(ctx, "tokens_total events sessions cost_total", "project", limit=limit)
+        if labels is None:
+            return rows
+        return rows.join(labels, "project", "left").withColumn("label", derive.label(F.col("display"), F.col("root"), F.col("project"))).drop("display", "root")
+
     cwd = F.get_json_object("metadata", "$.cwd")
     folders = ctx.events.where(cwd.isNotNull()).groupBy(F.col("project_id").alias("project"), cwd.alias("cwd")).agg(F.count("*").alias("events"))
     nth = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
     recent = derive.session_summary(ctx.events).orderBy(F.desc("last_timestamp"), "session_id").limit(800).join(derive.session_projects(ctx.events).select("session_id", F.col("project_id").alias("project")), "session_id")
-    return {
+    return _chosen({
         "projects": top,
-        "agents": ask(ctx, "tokens_total events", "project agent"),
-        "models": ask(ctx, "tokens_total", "project model"),
-        "capabilities": ask(ctx, "events", "project capability_type"),
-        "folders": folders.withColumn("nth", nth("project", F.desc("events"), "cwd")).where("nth <= 8"),
-        "recent": recent.withColumn("nth", nth("project", F.desc("last_timestamp"), "session_id")).where("nth <= 8"),
-    }
+        "agents": lambda: ask(ctx, "tokens_total events", "project agent"),
+        "models": lambda: ask(ctx, "tokens_total", "project model"),
+        "capabilities": lambda: ask(ctx, "events", "project capability_type"),
+        "folders": lambda: folders.withColumn("nth", nth("project", F.desc("events"), "cwd")).where("nth <= 8"),
+        "recent": lambda: recent.withColumn("nth", nth("project", F.desc("last_timestamp"), "session_id")).where("nth <= 8"),
+    }, only)
 
 
-def agents(ctx: cube.Context, known: list[str] | None = None) -> dict[str, DataFrame]:
+def agents(ctx: cube.Context, known: list[str] | None = None, only: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Per agent, with mixes; known agents without events are listed as not recorded."""
-    rows = ask(ctx, "events sessions tokens_total duration credits cost_reported cost_api_equiv cost_total", "agent").withColumn("recorded", F.lit(True))
-    if known:
+    def each() -> DataFrame:
+        rows = ask(ctx, "events sessions tokens_total duration credits cost_reported cost_api_equiv cost_total", "agent").withColumn("recorded", F.lit(True))
+        if not known:
+            return rows
         listed = ctx.events.sparkSession.createDataFrame([(a,) for a in known], "agent string")
-        rows = rows.join(listed, "agent", "full").withColumn("recorded", F.coalesce("recorded", F.lit(False)))
-    return {"agents": rows, "hosts": ask(ctx, "events sessions", "agent host"), "models": ask(ctx, "tokens_total", "agent model"), "capabilities": ask(ctx, "events", "agent capability_type")}
+        return rows.join(listed, "agent", "full").withColumn("recorded", F.coalesce("recorded", F.lit(False)))
+
+    return _chosen({"agents": each, "hosts": lambda: ask(ctx, "events sessions", "agent host"), "models": lambda: ask(ctx, "tokens_total", "agent model"), "capabilities": lambda: ask(ctx, "events", "agent capability_type")}, only)
 
 
 def models(ctx: cube.Context) -> dict[str, DataFrame]:
