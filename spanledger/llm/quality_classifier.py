@@ -95,7 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
             ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int32))), b.column(1), b.column(2)], ["f", "quality", "toxic"])
 
-    found = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality", "toxic").mapInArrow(run, "f array<int>, quality int, toxic int").toArrow()
+    # The labelled side has ``sample`` rows at most, so it goes to the texts and no text is moved.
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality", "toxic").mapInArrow(run, "f array<int>, quality int, toxic int").toArrow()
     rows = [x.values.to_numpy().astype(np.int64) for x in found.column("f")]
     order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # sums don't depend on the order rows came in
     y = np.stack([found.column("quality").to_numpy(), found.column("toxic").to_numpy()], 1) if rows else np.empty((0, 2))
