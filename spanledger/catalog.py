@@ -91,10 +91,10 @@ _cube("fold_duration_by_capability", "duration events", "capability_type")
 _cube("credits_by_agent", "credits events", "agent")
 _cube("cost_reported_by_agent", "cost_reported events", "agent")
 _cube("cost_api_equiv_by_model", "cost_api_equiv tokens_total", "model")
-_cube("cost_api_equiv_by_day", "cost_api_equiv", "day", model=["m-0", "m-1"])
-_cube("cost_api_equiv_by_day_all", "cost_api_equiv", "day")
-_cube("cost_total_by_agent", "cost_total cost_api_equiv cost_reported", "agent", model=["m-0"])
-_cube("cost_total_by_agent_all", "cost_total cost_api_equiv cost_reported", "agent")
+_cube("cost_api_equiv_by_day", "cost_api_equiv", "day")
+_cube("filter_priced_cost_by_day", "cost_api_equiv", "day", model=["m-0", "m-1"])
+_cube("cost_total_by_agent", "cost_total cost_api_equiv cost_reported", "agent")
+_cube("filter_priced_cost_by_agent", "cost_total cost_api_equiv cost_reported", "agent", model=["m-0"])
 _cube("cost_total_by_agent_model", "cost_total cost_api_equiv cost_reported credits", "agent model")
 _cube("cost_by_billing_mode", "cost_total cost_api_equiv", "agent model", billing=True)
 _cube("grand_totals", "events sessions tokens_total duration credits cost_reported cost_api_equiv cost_total")
@@ -480,6 +480,17 @@ def hook_failures(spark, sf_dir):
     return reports.hooks(fired.withColumn("status", F.when(F.col("raw_seq") % 3 == 0, "error").otherwise("ok")))
 
 
+@register(testbed.sql() + """, h AS (SELECT capability_name AS name, count(*) AS fired, count(CASE WHEN raw_seq % 3 = 0 THEN 1 END) AS failed FROM ev WHERE capability_type = 'hook' GROUP BY 1)
+SELECT CAST(sum(fired) AS BIGINT) AS fired, CAST(sum(failed) AS BIGINT) AS failed, (SELECT name FROM h WHERE failed > 0 ORDER BY failed DESC, name LIMIT 1) AS top_failing FROM h""")
+def hook_totals(spark, sf_dir):
+    return reports.hook_totals(testbed.events(spark, sf_dir).withColumn("status", F.when(F.col("raw_seq") % 3 == 0, "error").otherwise("ok")))
+
+
+@register(testbed.sql() + "SELECT agent_id AS agent, count(*) AS total, count(CASE WHEN parent_event_id IS NULL THEN 1 END) AS orphan FROM ev WHERE type IN ('subagent.start', 'subagent.end') OR capability_type = 'subagent' OR sub GROUP BY 1")
+def subagent_linkage(spark, sf_dir):
+    return reports.linkage(testbed.events(spark, sf_dir))
+
+
 @register(testbed.sql() + f"SELECT DISTINCT agent_id AS agent, provider, model, {_BILLED.format('agent_id')} AS mode FROM ev")
 def billing_settings(spark, sf_dir):
     return reports.billing_settings(context(spark, sf_dir, billing=True))

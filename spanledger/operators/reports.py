@@ -282,7 +282,38 @@ def history_coverage(index: DataFrame, files: DataFrame, sessions_: DataFrame) -
 
 def hooks(events: DataFrame) -> DataFrame:
     """Firings and failures of each hook; the one that fails most comes first."""
-    return events.where("type = 'hook.fire'").groupBy("capability_name").agg(F.count("*").alias("fired"), F.count_if(F.col("status") == "error").alias("failed")).orderBy(F.desc("failed"), "capability_name")
+    return events.where("capability_type = 'hook'").groupBy("capability_name").agg(F.count("*").alias("fired"), F.count_if(F.col("status") == "error").alias("failed")).orderBy(F.desc("failed"), "capability_name")
+
+
+def hook_totals(events: DataFrame) -> DataFrame:
+    """One row: firings, failures, and the hook that fails most (ties to the smaller name; null if none fails)."""
+    worst = F.min_by(F.when(F.col("failed") > 0, F.col("capability_name")), F.when(F.col("failed") > 0, F.struct(-F.col("failed"), "capability_name")))
+    return hooks(events).agg(F.coalesce(F.sum("fired"), F.lit(0)).alias("fired"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), worst.alias("top_failing"))
+
+
+def server_states(events: DataFrame, installed: DataFrame) -> DataFrame:
+    """name, state of every server seen: sightings add up, none takes another back.
+
+    Installed and used servers are attached unless one sighting says that they failed or need authorization.
+    """
+    told = events.where("type = 'unknown' and subtype = 'attachment:deferred_tools_delta'")
+    lists = F.map_from_arrays(F.array(*map(F.lit, ("pending", "needs_auth", "failed"))), F.array(*[F.from_json(F.get_json_object("metadata", f"$.{k}_mcp_servers"), "array<string>") for k in ("pending", "needs_auth", "failed")]))
+    seen = told.select(F.explode(lists).alias("state", "_names")).select(F.explode("_names").alias("name"), "state").where("name is not null").distinct()
+    used = events.where("capability_type = 'mcp' and capability_name is not null").select(F.col("capability_name").alias("name"))
+    attached = installed.select("name").union(used).distinct().join(seen.where("state <> 'pending'"), "name", "left_anti")
+    return seen.unionByName(attached.withColumn("state", F.lit("attached")))
+
+
+def linkage(events: DataFrame) -> DataFrame:
+    """Events of subagents and side threads of each agent, and those of them without a parent."""
+    side = F.get_json_object("metadata", "$.subagentThread").isin("true", "1")
+    mine = F.coalesce(F.col("type").isin("subagent.start", "subagent.end"), F.lit(False)) | F.coalesce(F.col("capability_type") == "subagent", F.lit(False)) | F.coalesce(side, F.lit(False))
+    return events.where(mine).groupBy(F.coalesce("agent_id", F.lit("")).alias("agent")).agg(F.count("*").alias("total"), F.count_if(F.col("parent_event_id").isNull()).alias("orphan"))
+
+
+def retention(sources: DataFrame) -> DataFrame:
+    """One row: sources that are gone, that were rotated out, and that are read to their end."""
+    return sources.agg(F.count_if(F.col("status") == "gone").alias("gone"), F.count_if(F.col("status") == "rotated").alias("rotated"), F.count_if(F.col("status").isin("ok", "active")).alias("active"))
 
 
 def status(ctx: cube.Context, sources: DataFrame) -> dict[str, DataFrame]:
@@ -304,8 +335,9 @@ def pricing_report(ctx: cube.Context) -> dict[str, DataFrame]:
     return {"gaps": unpriced(ctx), "undated": ctx.prices.where("effective_from = 0"), "priced": cube.cost_buckets(fold.folded(ctx.events, ctx.policies), {}, ctx.prices).groupBy("_priced").count()}
 
 
-def doctor(ctx: cube.Context, current: dict[str, str], failures: DataFrame, stored: DataFrame | None = None, stored_policies: dict | None = None) -> dict:
+def doctor(ctx: cube.Context, current: dict[str, str], failures: DataFrame, stored: DataFrame | None = None, stored_policies: dict | None = None, sources: DataFrame | None = None, installed: DataFrame | None = None) -> dict:
+    """Tables on the health of a store. With its sources also retention, with the installed servers (name) their states."""
     return {
         "parse_errors": parse_errors(failures), "unknown": top_subtypes(ctx.events), "quality": usage_quality(ctx), "drift": parser_drift(ctx.events, current), "guessed": flagged(ctx.events, "$.timestampGuess"),
-        "orphans": derive.orphans(ctx.events).groupBy("agent_id").count(), "fold": fold.health(stored, ctx.events, stored_policies or {}, ctx.policies), "hosts": ask(ctx, "events sessions", "agent host"), "hooks": hooks(ctx.events),
-    } | ({"pricing": pricing_report(ctx)} if ctx.prices is not None else {})
+        "orphans": derive.orphans(ctx.events).groupBy("agent_id").count(), "fold": fold.health(stored, ctx.events, stored_policies or {}, ctx.policies), "hosts": ask(ctx, "events sessions", "agent host"), "hooks": hooks(ctx.events), "hook_totals": hook_totals(ctx.events), "links": linkage(ctx.events),
+    } | ({"retention": retention(sources)} if sources is not None else {}) | ({"servers": server_states(ctx.events, installed)} if installed is not None else {}) | ({"pricing": pricing_report(ctx)} if ctx.prices is not None else {})

@@ -1,5 +1,6 @@
 """Reports on small tables whose rows are worked out by hand, and the fold against one in memory."""
 
+import json
 import random
 
 import pytest
@@ -86,3 +87,16 @@ def test_gone_sources_and_roots_beside_each_other(spark, tmp_path):
     assert scan.variant_roots(str(tmp_path), "tool", ["logs"]) == [str(tmp_path / "tool"), str(tmp_path / "tool-beta")]
     assert scan.variant_roots(str(tmp_path), "tool", ["logs"], str(tmp_path / "else")) == [str(tmp_path / "else")]
     assert scan.variant_roots(str(tmp_path / "nothing"), "tool", ["logs"]) == []
+
+
+def test_servers_sources_and_links(spark):
+    told = lambda **lists: ("unknown", "attachment:deferred_tools_delta", None, None, json.dumps(lists))
+    rows = [told(failed_mcp_servers=["git"], pending_mcp_servers=["slow"]), told(needs_auth_mcp_servers=["mail", None]), ("mcp.invoke", None, "mcp", "log", None), ("tool.start", None, "subagent", "x", None), ("message.user", None, None, None, '{"subagentThread":true}')]
+    events = spark.createDataFrame([(*r, "a", None) for r in rows], "type string, subtype string, capability_type string, capability_name string, metadata string, agent_id string, parent_event_id string")
+    installed = spark.createDataFrame([("git",), ("mail",), ("slow",), ("web",)], "name string")
+    got = {tuple(r) for r in reports.server_states(events, installed).select("name", "state").collect()}
+    assert got == {("git", "failed"), ("slow", "pending"), ("mail", "needs_auth"), ("slow", "attached"), ("web", "attached"), ("log", "attached")}
+    assert reports.server_states(events.limit(0), installed.limit(0)).count() == 0
+    assert tuple(reports.linkage(events).first()) == ("a", 2, 2)
+    sources = spark.createDataFrame([("ok",), ("gone",), ("rotated",), ("ok",), (None,)], "status string")
+    assert tuple(reports.retention(sources).first()) == (1, 1, 2)
