@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from spanledger.functions import model
 from spanledger.functions.model import EVENT_SCHEMA
+from spanledger.functions.shared import stored
 from spanledger.functions.text import host_slug
+from spanledger.operators import derive
 from spanledger.sources.scan import json_at, record_time, split_malformed
 
 
@@ -38,6 +40,8 @@ class Connector:
     content: str = "$.message.content"
     types: dict[str, str] = field(default_factory=dict)  # record type to event type
     subagent: str | None = None
+    chain: str | None = None  # id of the side chain that a record belongs to
+    closing: tuple[str, ...] = ()  # id of the side chain whose end a record tells
     zero_is_missing: bool = False
     placeholder: str | None = None  # model of records whose usage does not count
 
@@ -50,7 +54,7 @@ _MESSAGES = {"assistant": "message.assistant", "user": "message.user", "attachme
 _STEPS = {"session": "session.start", "step-start": "generation.start", "step-finish": "generation.end", "tool": "tool.start", "text": "message.assistant", "patch": "unknown"}
 
 CONNECTORS = {c.agent: c for c in (
-    Connector("claude-code", "request_max", "3", fallback_request=True, provider="anthropic", usage=_MESSAGE_USAGE, host=("$.entrypoint",), types=_MESSAGES, subagent="$.isSidechain", placeholder="<synthetic>"),
+    Connector("claude-code", "request_max", "3", fallback_request=True, provider="anthropic", usage=_MESSAGE_USAGE, host=("$.entrypoint",), types=_MESSAGES, subagent="$.isSidechain", chain="$.agentId", closing=("$.toolUseResult.agentId", "$.toolUseResult.agent_id"), placeholder="<synthetic>"),
     Connector("qoder", "request_max", "2", fallback_request=True, provider="qoder", usage=_MESSAGE_USAGE, request=("$.requestTokenAnchor", "$.requestId"), credits=("$.message.usage.credits", "$.usage.credits"), types=_MESSAGES, subagent="$.isSidechain", zero_is_missing=True),
     Connector(
         "codex", "last_call_sum", "2", glob="rollout-*.jsonl", kind=("$.payload.type", "$.type"), record=("$.payload.id",), session=("$.payload.session_id",), request=("$.payload.response_id",), provider="openai", model=("$.payload.model", "$.payload.info.model"),
@@ -74,6 +78,16 @@ CONNECTORS = {c.agent: c for c in (
 )}
 
 
+#: Lists of servers in an attachment, by their names in the metadata.
+SERVER_STATES = {"pending_mcp_servers": "pendingMcpServers", "needs_auth_mcp_servers": "needsAuthMcpServers", "failed_mcp_servers": "failedMcpServers"}
+CALLS = ["tool.start", "mcp.invoke", "plugin.invoke", "skill.invoke"]
+
+
+def json_number(x: Column) -> Column:
+    """A number as JSON writes it: whole ones without a fraction."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
 def first_of(paths: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.nullif(json_at(p), F.lit("")) for p in paths]) if paths else F.lit(None).cast("string")
 
@@ -93,22 +107,31 @@ def tokens(c: Connector) -> dict[str, Column]:
     return {t: F.when(used, v).cast("long") for t, v in own.items()}
 
 
-def capability(name: Column) -> tuple[Column, Column]:
-    """Type and name of what a tool call uses, by the shape of the tool's name."""
-    server = F.nullif(F.regexp_extract(name, r"^mcp__(.+?)__.+$", 1), F.lit(""))
-    kind = F.when(server.isNotNull() & server.rlike("^plugin[_-]"), "plugin").when(server.isNotNull(), "mcp").when(name.isin("Task", "Agent", "spawn_agent"), "subagent").when(name == "Skill", "skill").when(name.isNotNull(), "tool")
-    return kind, F.when(server.isNotNull(), F.concat_ws("/", server, F.regexp_extract(name, r"^mcp__.+?__(.+)$", 1))).otherwise(name)
+def capability(name: Column, given: Column | None = None) -> tuple[Column, Column, Column]:
+    """Type, name and provider of what a tool call uses, by the shape of the tool's name and its input (JSON).
+
+    A server's tool is named without its server, which is the provider; skills and subagents by what the input says.
+    """
+    given = F.lit(None).cast("string") if given is None else given
+    server, tool = (F.nullif(F.regexp_extract(name, "^mcp__(.+?)__(.+)$", n), F.lit("")) for n in (1, 2))
+    entry = name.isin("Task", "Agent", "spawn_agent")
+    kind = F.when(server.isNotNull() & server.rlike("^plugin[_-]"), "plugin").when(server.isNotNull(), "mcp").when(entry, "subagent").when(name == "Skill", "skill").when(name.isNotNull(), "tool")
+    said = lambda *keys: F.coalesce(*[F.nullif(F.get_json_object(given, f"$.{k}"), F.lit("")) for k in keys])
+    named = F.when(server.isNotNull(), tool).when(entry, F.coalesce(said("subagent_type"), name)).when(name == "Skill", F.coalesce(said("skill", "command"), name)).otherwise(name)
+    return kind, named, F.when(server.isNotNull(), server).when(entry, name)
 
 
 def event_of_kind(kind: Column) -> Column:
-    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in {"mcp": "mcp.invoke", "plugin": "plugin.invoke", "skill": "skill.invoke", "subagent": "subagent.start"}.items()], F.lit("tool.start"))
+    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in {"mcp": "mcp.invoke", "plugin": "plugin.invoke", "skill": "skill.invoke"}.items()], F.lit("tool.start"))
 
 
 def normalized(scanned: DataFrame, c: Connector, clock: int) -> tuple[DataFrame, DataFrame]:
     """Events and failures of framed lines (path, modified, seq, offset, line, oversized).
 
-    A record makes one primary event, and each tool block in its content one more. A record of no known type becomes
-    ``unknown`` with its type as the subtype: nothing vanishes.
+    A record makes one primary event, and each tool block in its content one more, below the primary one. A record of
+    no known type becomes ``unknown`` with its type as the subtype, and so does an attachment that tells of no hook:
+    nothing vanishes. The first record of a side chain also starts it, and the one that brings its result ends it;
+    ``linked`` gives starts, ends, results and hooks the event that they belong to.
     """
     good, failures = split_malformed(scanned)
     at, origin = record_time(F.col("modified"), clock)
@@ -123,37 +146,95 @@ def normalized(scanned: DataFrame, c: Connector, clock: int) -> tuple[DataFrame,
     used = own["output_tokens"].isNotNull()
     mapped = F.coalesce(*[F.when(F.col("_kind") == k, F.lit(v)) for k, v in c.types.items()], F.lit("unknown"))
     role = F.coalesce(json_at("$.message.role"), json_at("$.payload.role"), json_at("$.role"))
+    attached = F.when(mapped == "hook.fire", F.coalesce(json_at("$.attachment.type"), F.lit("unknown")))
+    mapped = F.when(attached.isNotNull() & ~attached.startswith("hook"), F.lit("unknown")).otherwise(mapped)
     primary = F.when(used, F.lit("generation.end")).when((mapped == "message.assistant") & (role == "user"), F.lit("message.user")).otherwise(mapped)
     failed = F.coalesce(json_at("$.is_error") == "true", json_at("$.error").isNotNull() | (mapped == "error"), F.lit(False))
     side = F.coalesce(json_at(c.subagent) == "true", F.lit(False)) if c.subagent else F.lit(False)
     cwd = F.coalesce(json_at("$.cwd"), json_at("$.payload.cwd"), json_at("$.directory"))
-    metadata = F.to_json(F.struct(cwd.alias("cwd"), F.when(side, F.lit(True)).alias("subagentThread"), F.when(F.col("_origin") != "record", F.lit(True)).alias("timestampGuess"), F.col("_kind").alias("recordType"), F.struct(F.coalesce(json_at("$.title"), json_at("$.value.title")).alias("title")).alias("value")))
+    # columns of their own, so that events, blocks and edges don't each repeat what gives them
+    good = good.withColumns({"_used": used, "_mapped": mapped, "_attached": attached, "_primary": primary})
+    used, mapped, attached, primary = (F.col(n) for n in ("_used", "_mapped", "_attached", "_primary"))
+    chain = F.when(side, first_of((c.chain,))) if c.chain else F.lit(None).cast("string")
+    about = [cwd.alias("cwd"), F.when(side, F.lit(True)).alias("subagentThread"), F.when(F.col("_origin") != "record", F.lit(True)).alias("timestampGuess"), F.col("_kind").alias("recordType"), F.struct(F.coalesce(json_at("$.title"), json_at("$.value.title")).alias("title")).alias("value")]
+    metadata = lambda **more: F.to_json(F.struct(*about, *[v.alias(k) for k, v in ({"agent_id": chain} | more).items()]))
     host = F.coalesce(host_slug(first_of(c.host)), F.lit(c.default_host))
     provider = F.coalesce(first_of(c.provider_paths), F.lit(c.provider).cast("string"))
     common = {
         "agent_id": F.lit(c.agent), "host_id": F.concat(F.lit(f"{c.agent}-"), host), "source_id": F.col("_source"), "session_id": F.col("_session"), "project_id": F.when(cwd.isNotNull(), model.project_id(cwd)),
         "thread_id": F.when(side, first_of(("$.agentId", "$.uuid"))), "request_id": request, "timestamp": F.col("_ts"), "ingested_at": F.lit(clock), "schema_version": F.lit(1), "raw_seq": F.col("seq"), "raw_offset": F.col("offset"),
-        "parser_version": F.lit(c.parser_version), "metadata": metadata, "provider": F.when(first_of(c.model).isNotNull(), provider), "model": first_of(c.model),
+        "parser_version": F.lit(c.parser_version), "provider": F.when(first_of(c.model).isNotNull(), provider), "model": first_of(c.model),
     }
     discriminator = lambda x: model.event_id(F.col("_source"), F.col("seq"), F.col("type"), F.col("_ts"), x)
-    main = good.withColumns({"type": primary, "subtype": F.when(mapped == "unknown", F.col("_kind")), "status": F.when(failed, "error").otherwise("ok"), "usage_source": F.when(used, "reported").otherwise("missing"), **own, "credits": first_of(c.credits).try_cast("double"), "cost_reported": first_of(c.cost).try_cast("double"), "duration_ms": F.coalesce(json_at("$.durationMs"), json_at("$.attachment.durationMs"), json_at("$.duration_ms")).try_cast("long")})
-    tool = F.coalesce(json_at("$.payload.name"), json_at("$.name"), json_at("$.data.tool"), json_at("$.attachment.hookName"))
-    of, name = capability(F.when(F.col("type").isin("tool.start", "tool.end", "hook.fire"), tool))
-    of = F.when((F.col("type") == "hook.fire") & tool.isNotNull(), F.lit("hook")).otherwise(of)
-    main = main.withColumns({"capability_type": of, "capability_name": F.when(of.isNotNull(), name), "error_fingerprint": F.when(failed, model.error_fingerprint(F.coalesce(json_at("$.error.message"), json_at("$.error"), F.lit("")))), **common})
+    fires = mapped == "hook.fire"
+    code = F.coalesce(json_at("$.attachment.exitCode"), json_at("$.exitCode")).try_cast("double")
+    hook = F.coalesce(json_at("$.attachment.hookName"), json_at("$.hookName"), attached)
+    state = F.when(fires, F.when(code.isNull(), "unknown").when(code == 0, "ok").otherwise("error")).when(failed, "error").otherwise("ok")
+    told = F.when(fires, F.concat(F.lit("hook exit "), json_number(code), F.lit(" "), hook)).otherwise(F.coalesce(json_at("$.error.message"), json_at("$.error"), F.lit("")))
+    servers = {k: F.when(attached == "deferred_tools_delta", F.from_json(json_at(f"$.attachment.{v}"), "array<string>")) for k, v in SERVER_STATES.items()}
+    hooked = {"hook_event": F.when(fires, F.coalesce(json_at("$.attachment.hookEvent"), json_at("$.hookEvent"))), "exit_code": F.when(fires, code), "tool_use_id": F.when(fires, F.coalesce(json_at("$.attachment.toolUseID"), json_at("$.attachment.tool_use_id"), json_at("$.toolUseID")))}
+    main = good.withColumns({"type": primary, "subtype": F.when(fires, attached).when(mapped == "unknown", F.when(attached.isNotNull(), F.concat(F.lit("attachment:"), attached)).otherwise(F.col("_kind"))), "status": state, "usage_source": F.when(used, "reported").otherwise("missing"), **own, "credits": first_of(c.credits).try_cast("double"), "cost_reported": first_of(c.cost).try_cast("double"), "duration_ms": F.coalesce(json_at("$.durationMs"), json_at("$.attachment.durationMs"), json_at("$.duration_ms")).try_cast("long")})
+    tool = F.coalesce(json_at("$.payload.name"), json_at("$.name"), json_at("$.data.tool"))
+    of, name, by = capability(F.when(F.col("type").isin("tool.start", "tool.end"), tool))
+    main = main.withColumns({"capability_type": F.when(fires, F.lit("hook")).otherwise(of), "capability_name": F.when(fires, hook).when(of.isNotNull(), name), "capability_provider": by, "error_fingerprint": F.when(state == "error", model.error_fingerprint(told)), "metadata": metadata(**hooked, **servers), **common})
     main = main.withColumn("id", discriminator(F.lit("")))
-    blocks = F.from_json(json_at(c.content), "array<struct<type:string,id:string,name:string,tool_use_id:string,is_error:boolean>>")
+    blocks = F.from_json(json_at(c.content), "array<struct<type:string,id:string,name:string,tool_use_id:string,is_error:boolean,input:string>>")
     parts = good.select("*", F.posexplode(blocks).alias("_at", "_b")).where(F.col("_b.type").isin("tool_use", "tool_result", "toolCall"))
     result = F.col("_b.type") == "tool_result"
-    of, name = capability(F.when(~result, F.col("_b.name")))
-    parts = parts.withColumns({"capability_type": of, "capability_name": name, "type": F.when(result, "tool.result").otherwise(event_of_kind(of)), "subtype": F.coalesce("_b.id", "_b.tool_use_id"), "status": F.when(F.col("_b.is_error"), "error").otherwise("ok"), "usage_source": F.lit("missing")})
-    parts = parts.withColumns(common).withColumn("parent_event_id", F.lit(None).cast("string")).withColumn("id", discriminator(F.concat(F.lit("block"), F.col("_at").cast("string"))))
+    of, name, by = capability(F.when(~result, F.col("_b.name")), F.col("_b.input"))
+    above = F.when(~result, model.event_id(F.col("_source"), F.col("seq"), primary, F.col("_ts"), F.lit("")))
+    parts = parts.withColumns({"parent_event_id": above, "capability_type": of, "capability_name": name, "capability_provider": by, "type": F.when(result, "tool.result").otherwise(event_of_kind(of)), "subtype": F.coalesce("_b.id", "_b.tool_use_id"), "status": F.when(F.col("_b.is_error"), "error").otherwise("ok"), "usage_source": F.lit("missing")})
+    parts = parts.withColumns(common | {"metadata": metadata(subagent_type=F.get_json_object("_b.input", "$.subagent_type")), "request_id": F.when(~result, request)}).withColumn("id", discriminator(F.concat(F.lit("block"), F.col("_at").cast("string"))))
     shaped = lambda df: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields])
-    return shaped(main).unionByName(shaped(parts)), failures.withColumn("agent_id", F.lit(c.agent))
+    events = shaped(main).unionByName(shaped(parts))
+    edge = lambda rows, kind, of, calls: shaped(rows.withColumns({"type": F.lit(kind), "capability_type": F.lit("subagent"), "capability_name": of, "status": F.when(kind_failed, "error").otherwise("ok") if kind == "subagent.end" else F.lit("ok"), "usage_source": F.lit("missing")} | common | {"request_id": F.lit(None).cast("string"), "provider": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "metadata": metadata(agent_id=of, tool_use_id=calls)}).withColumn("id", discriminator(F.concat(F.lit(kind + ":"), of))))
+    kind_failed = F.coalesce(json_at("$.toolUseResult.isError"), json_at("$.toolUseResult.is_error")) == "true"
+    if c.chain:
+        # the first record of a chain, found by a grouped least number, so that no chain is sorted
+        inside = good.withColumn("_chain", chain).where("_chain is not null")
+        first = inside.groupBy("_source", "_session", "_chain").agg(F.min("seq").alias("seq"))
+        events = events.unionByName(edge(inside.join(first, ["_source", "_session", "_chain", "seq"], "left_semi"), "subagent.start", chain, F.lit(None).cast("string")))
+    if c.closing:
+        answered = F.element_at(F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == "tool_result"), lambda b: b["tool_use_id"]), lambda x: x.isNotNull()), 1)
+        events = events.unionByName(edge(good.where(first_of(c.closing).isNotNull()), "subagent.end", first_of(c.closing), F.when(F.size(F.filter(blocks, lambda b: (b["type"] == "tool_result") & b["tool_use_id"].isNotNull())) > 0, answered)))
+    return events, failures.withColumn("agent_id", F.lit(c.agent))
 
 
 def paired(events: DataFrame) -> DataFrame:
     """Tool results with the call that they answer: the same call id within a source."""
-    calls = events.where(F.col("type").isin("tool.start", "mcp.invoke", "plugin.invoke", "skill.invoke", "subagent.start") & F.col("subtype").isNotNull()).select("source_id", "subtype", F.col("id").alias("_call"), F.col("timestamp").alias("_from")).dropDuplicates(["source_id", "subtype"])
+    calls = events.where(F.col("type").isin(CALLS) & F.col("subtype").isNotNull()).select("source_id", "subtype", F.col("id").alias("_call"), F.col("timestamp").alias("_from")).dropDuplicates(["source_id", "subtype"])
     results = events.where("type = 'tool.result'").join(calls, ["source_id", "subtype"], "left")
     return results.select("id", F.col("_call").alias("parent_event_id"), (F.col("timestamp") - F.col("_from")).alias("duration_ms"))
+
+
+def linked(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """events whose results, hooks, chain starts and chain ends name the event that they belong to.
+
+    Results and hooks belong to the call of their id in their source, and results take over its capability. A side
+    chain belongs to the call that its end proves, else to the last subagent call of its session before it, and takes
+    its name from that call. ``known`` are earlier events of the same sources, which are looked at but not returned.
+    Events without an id to go by are not shuffled; what finds nothing stays as it is, with no parent.
+    """
+    of = lambda key: F.get_json_object("metadata", f"$.{key}")
+    edge = F.col("type").isin("subagent.start", "subagent.end") & of("agent_id").isNotNull()
+    called = F.col("type").isin(CALLS) & F.col("subtype").isNotNull()
+    narrow = lambda rows: rows.where(called | edge).select("id", "type", "subtype", "session_id", "source_id", "timestamp", "raw_seq", "metadata", "capability_type", "capability_name", "capability_provider")
+    every = narrow(events) if known is None else narrow(events).unionByName(narrow(known).join(events.select("id"), "id", "left_anti"))
+    every = stored(every)
+    calls = every.where(called)
+    last = calls.groupBy("source_id", F.col("subtype").alias("_call")).agg(F.max(F.struct("raw_seq", "id", "capability_type", "capability_name", "capability_provider")).alias("_c"))
+    key = F.when(F.col("type") == "tool.result", F.col("subtype")).when(F.col("type") == "hook.fire", of("tool_use_id"))
+    given = events.withColumns({"_call": key, "_edge": edge})
+    answers = given.where("_call is not null").join(last, ["source_id", "_call"], "left")
+    taken = {c: F.when((F.col("type") == "tool.result") & F.col("_c").isNotNull(), F.col(f"_c.{c}")).otherwise(F.col(c)) for c in ("capability_type", "capability_name", "capability_provider")}
+    answers = answers.withColumns({"parent_event_id": F.coalesce("_c.id", "parent_event_id"), **taken}).select(events.columns)
+    named = F.concat_ws("\u0000", "session_id", of("agent_id"))
+    begun = every.where((F.col("type") == "subagent.start") & edge).groupBy("session_id", named.alias("chain_id")).agg(F.min(F.struct(F.col("timestamp").alias("ts"), F.col("raw_seq").alias("seq"), "source_id")).alias("_f")).select("session_id", "chain_id", "_f.*")
+    spawns = calls.where("capability_type = 'subagent'").select("id", "session_id", "source_id", F.col("timestamp").alias("ts"), F.col("raw_seq").alias("seq"), F.col("subtype").alias("call_id"), of("subagent_type").alias("_named"))
+    ended = every.where((F.col("type") == "subagent.end") & edge).select(named.alias("chain_id"), of("tool_use_id").alias("call_id"))
+    # a chain that is known by its end alone still has its proof
+    chains = derive.subagent_links(begun, ended, spawns).unionByName(derive.proven_spawns(ended, spawns).join(begun, "chain_id", "left_anti").withColumn("how", F.lit("proof")))
+    chains = stored(chains).join(spawns.select(F.col("id").alias("spawn_id"), "_named"), "spawn_id", "left").withColumnRenamed("chain_id", "_chain")
+    edges = given.where("_edge").withColumn("_chain", named).join(chains, "_chain", "left")
+    edges = edges.withColumns({"parent_event_id": F.col("spawn_id"), "capability_name": F.coalesce("_named", "capability_name"), "capability_provider": F.when(F.col("_named").isNotNull(), "Agent").otherwise("agent"), "subtype": F.col("how")}).select(events.columns)
+    return given.where("_call is null and not _edge").select(events.columns).unionByName(answers).unionByName(edges)

@@ -171,6 +171,13 @@ class Store:
         found = self._read("events", self.pointer())
         return self.spark.createDataFrame([], EVENT_SCHEMA) if found is None else found.drop(folds.BUCKET)
 
+    def beside(self, batch: DataFrame) -> DataFrame:
+        """Stored events of the sources in a batch; only their buckets are read."""
+        found = self._read("events", self.pointer(), self._distinct(batch.select(self._of_source())))
+        if found is None:
+            return self.spark.createDataFrame([], EVENT_SCHEMA)
+        return found.drop(folds.BUCKET).join(batch.select("source_id").distinct(), "source_id", "left_semi").select(*EVENT_SCHEMA.fieldNames())
+
     def fold(self) -> DataFrame:
         found = self._read("fold", self.pointer())
         return folds.folded(self.events(), self.policies, certificate=True) if found is None else found.drop(folds.BUCKET)

@@ -81,7 +81,8 @@ class Loop:
         progress = own.where(F.col("parser_version") == t.connector.parser_version).select("path", "offset", "seq")
         lines = stored(scan.lines(self.spark, t.root, t.connector.glob, progress=progress))
         events, failures = connectors.normalized(lines, t.connector, self.clock())
-        done = self.store.apply(stored(events))
+        events = stored(events)
+        done = self.store.apply(stored(connectors.linked(events, self.store.beside(events))))
         read = scan.progress_of(lines).join(lines.groupBy("path").agg(F.max("modified").alias("modified")), "path")
         fresh = read.select("path", F.lit(t.connector.agent).alias("agent_id"), "offset", "seq", "modified", F.lit(t.connector.parser_version).alias("parser_version"), F.lit("ok").alias("status"))
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", t.connector.glob).load(t.root).select("path")

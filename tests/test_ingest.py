@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanledger import testbed
 from spanledger.functions import model, show, text
+from spanledger.functions.shared import stored
 from spanledger.operators import derive, state
 from spanledger.plans import fold
 from spanledger.sources import connectors, export, prices, scan
@@ -41,7 +42,7 @@ def test_claude_code_records(spark, tmp_path):
     assert sorted(r["type"] for r in rows) == sorted(["generation.end", "mcp.invoke", "tool.start", "message.user", "tool.result", "unknown", "message.assistant"])
     main = next(r for r in rows if r["type"] == "generation.end")
     assert (main["input_tokens"], main["output_tokens"], main["cache_read_tokens"], main["request_id"], main["timestamp"], main["provider"]) == (10, 5, 3, "r1", 1735689601000, "anthropic")
-    assert [r["capability_name"] for r in rows if r["capability_type"] == "mcp"] == ["git/log"]
+    assert [(r["capability_name"], r["capability_provider"], r["parent_event_id"]) for r in rows if r["capability_type"] == "mcp"] == [("log", "git", main["id"])]
     assert sorted(r["reason"] for r in failures.collect()) == ["malformed-json", "not-an-object"]
     assert events.select("id").distinct().count() == len(rows) and events.where(F.size(model.problems()) > 0).count() == 0
     pair = {r["id"]: r["parent_event_id"] for r in connectors.paired(events).collect()}
@@ -52,6 +53,47 @@ def test_claude_code_records(spark, tmp_path):
     assert [r["seq"] for r in scan.lines(spark, str(tmp_path), progress=progress).collect()] == [7, 8]
 
 
+def _lines(spark, *records):
+    return spark.createDataFrame([("p", 1, n, 10 * n, 1, json.dumps(r), False) for n, r in enumerate(records, 1)], scan.LINE_SCHEMA)
+
+
+def test_side_chains_hooks_and_results_find_their_event(spark):
+    at = lambda n, **more: {"uuid": f"u{n}", "sessionId": "s", "timestamp": 1735689600 + n, **more}
+    call = lambda i, name, **given: {"type": "tool_use", "id": i, "name": name, "input": given}
+    says = lambda n, *blocks, **more: at(n, type="assistant", message={"role": "assistant", "content": list(blocks)}, **more)
+    hears = lambda n, i, **more: at(n, type="user", message={"role": "user", "content": [{"type": "tool_result", "tool_use_id": i}]}, **more)
+    hook = lambda n, code, **more: at(n, type="attachment", attachment={"type": "hook_success", "hookName": "lint", "hookEvent": "PostToolUse", "toolUseID": "t1", "exitCode": code, **more})
+    first = [
+        says(1, call("t1", "Read"), call("a1", "Task", subagent_type="scout"), call("k1", "Skill", skill="draw")), says(2, call("a2", "Agent")),
+        says(3, isSidechain=True, agentId="x"), says(4, isSidechain=True, agentId="x"), says(5, isSidechain=True, agentId="y"), hook(6, 0), hook(7, 2), hook(8, None),
+        at(9, type="attachment", attachment={"type": "deferred_tools_delta", "failedMcpServers": ["git", 3], "pendingMcpServers": []}),
+    ]
+    then = [hears(10, "t1"), hears(11, "a1", toolUseResult={"agentId": "x"}), hears(12, "nowhere", toolUseResult={"agentId": "z", "isError": True})]
+    claude = connectors.CONNECTORS["claude-code"]
+    events = stored(connectors.normalized(_lines(spark, *first, *then), claude, NOW)[0])
+    rows = {(r["type"], r["raw_seq"], r["capability_name"]): r for r in connectors.linked(events).collect()}
+    ids = {k: r["id"] for k, r in rows.items()}
+    spawn, later = ids["tool.start", 1, "scout"], ids["tool.start", 2, "Agent"]
+    assert rows["skill.invoke", 1, "draw"]["parent_event_id"] == ids["message.assistant", 1, None]
+    assert len(rows) == events.count() == len(first) + len(then) + 4 + 3 + 2 + 2
+    assert events.where(F.size(model.problems()) > 0).count() == 0
+    # the end of x proves its call, y has only the last call before it, z has neither
+    found = {(r["type"], r["capability_name"]): (r["parent_event_id"], r["subtype"], r["capability_provider"], r["status"]) for r in rows.values() if r["type"].startswith("subagent")}
+    assert found == {("subagent.start", "scout"): (spawn, "proof", "Agent", "ok"), ("subagent.end", "scout"): (spawn, "proof", "Agent", "ok"), ("subagent.start", "y"): (later, "nearest", "agent", "ok"), ("subagent.end", "z"): (None, None, "agent", "error")}
+    result = rows["tool.result", 10, "Read"]
+    assert (result["parent_event_id"], result["capability_type"], result["request_id"]) == (ids["tool.start", 1, "Read"], "tool", None)
+    assert rows["tool.result", 12, None]["parent_event_id"] is None
+    hooks = [rows["hook.fire", n, "lint"] for n in (6, 7, 8)]
+    assert [h["status"] for h in hooks] == ["ok", "error", "unknown"] and {h["parent_event_id"] for h in hooks} == {ids["tool.start", 1, "Read"]}
+    assert [h["error_fingerprint"] is None for h in hooks] == [True, False, True]
+    odd = rows["unknown", 9, None]
+    assert odd["subtype"] == "attachment:deferred_tools_delta" and json.loads(odd["metadata"])["failed_mcp_servers"] == ["git", "3"]
+    # lines that come later find the calls that a store already holds
+    old, new = events.where(F.col("raw_seq") <= len(first)), events.where(F.col("raw_seq") > len(first))
+    again = {r["id"]: r["parent_event_id"] for r in connectors.linked(new, old).collect()}
+    assert again == {r["id"]: r["parent_event_id"] for r in rows.values() if r["raw_seq"] > len(first)}
+
+
 @pytest.mark.parametrize("agent,record,expected", [
     ("codex", {"type": "event_msg", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 10, "cached_input_tokens": 4, "output_tokens": 2}, "total_token_usage": {"input_tokens": 999}}}}, (6, 2, 4)),
     ("zcode", {"type": "model_usage", "logical_request_id": "r", "input_tokens": 10, "cache_read_input_tokens": 4, "cache_creation_input_tokens": 9, "output_tokens": 2}, (0, 2, 4)),
