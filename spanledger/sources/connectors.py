@@ -218,12 +218,14 @@ def linked(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     of = lambda key: F.get_json_object("metadata", f"$.{key}")
     edge = F.col("type").isin("subagent.start", "subagent.end") & of("agent_id").isNotNull()
     called = F.col("type").isin(CALLS) & F.col("subtype").isNotNull()
+    key = F.when(F.col("type") == "tool.result", F.col("subtype")).when(F.col("type") == "hook.fire", of("tool_use_id"))
+    if events.where(key.isNotNull() | edge).isEmpty():
+        return events
     narrow = lambda rows: rows.where(called | edge).select("id", "type", "subtype", "session_id", "source_id", "timestamp", "raw_seq", "metadata", "capability_type", "capability_name", "capability_provider")
     every = narrow(events) if known is None else narrow(events).unionByName(narrow(known).join(events.select("id"), "id", "left_anti"))
     every = stored(every)
     calls = every.where(called)
     last = calls.groupBy("source_id", F.col("subtype").alias("_call")).agg(F.max(F.struct("raw_seq", "id", "capability_type", "capability_name", "capability_provider")).alias("_c"))
-    key = F.when(F.col("type") == "tool.result", F.col("subtype")).when(F.col("type") == "hook.fire", of("tool_use_id"))
     given = events.withColumns({"_call": key, "_edge": edge})
     answers = given.where("_call is not null").join(last, ["source_id", "_call"], "left")
     taken = {c: F.when((F.col("type") == "tool.result") & F.col("_c").isNotNull(), F.col(f"_c.{c}")).otherwise(F.col(c)) for c in ("capability_type", "capability_name", "capability_provider")}
